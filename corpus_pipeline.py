@@ -13,7 +13,7 @@ from geoflow.llm import decontaminate, language, lines, neardup, packing
 from geoflow.llm.queries import CONTEXT, SITES, tokenizer_file
 
 #: A document is rejected if no language is found or its best language's share of the score is below this.
-LEAST_SHARE = 0.3
+LEAST_SHARE = 0.26
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,9 +102,11 @@ SQL = {
     "op6_line_dedup": f"""
 with l as (select source, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
 spread as (select line from l where trim(line) <> '' group by line having count(distinct coalesce(source, '')) >= {SITES}),
-placed as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
-marked as (select doc_id, text, parts, list_filter(parts, x -> not list_contains((select coalesce(list(line), []) from spread), x)) as kept from placed)
-select doc_id, cast(len(parts) as bigint) as n_lines, cast(len(parts) - len(kept) as bigint) as n_removed, md5(array_to_string(kept, chr(10))) as text_md5 from marked""",
+docs as (select row_number() over (order by doc_id, text) as r, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+placed as (select r, generate_subscripts(parts, 1) as place, unnest(parts) as line from docs),
+kept as (select r, count(*) as n, string_agg(line, chr(10) order by place) as text from placed where line not in (select line from spread) group by r)
+select doc_id, cast(len(parts) as bigint) as n_lines, cast(len(parts) - coalesce(n, 0) as bigint) as n_removed, md5(coalesce(kept.text, '')) as text_md5
+from docs left join kept using (r)""",
     "op7_quotation_linking": r"""
 with recursive m as (select row_number() over (order by conv_id, turn, role, text) as r, conv_id, cast(turn as bigint) as turn, role, string_split(coalesce(text, ''), chr(10)) as parts from conversations),
 l as (select r, conv_id, turn, generate_subscripts(parts, 1) as place, unnest(parts) as line from m),
@@ -119,8 +121,8 @@ link as (select q.r, arg_max(parent, length(q.passage) * 1000000 + parent_turn)
       from q join own using (conv_id, passage) where level > 0 and parent_turn < q.turn group by q.r),
 up as (select r, r as root from m where r not in (select r from link) union all select link.r, up.root from link join up on link.parent = up.r),
 f as (select m.*, reply_to, root, t.turn as thread_root from m left join link using (r) join up using (r) join (select r as root, turn from m) t using (root))
-select conv_id, turn, role, trim(array_to_string(list_filter(parts, x -> not starts_with(x, '>')), chr(10))) as body,
-  cast(len(list_filter(parts, x -> starts_with(x, '>'))) as bigint) as n_quoted, reply_to, thread_root,
+select conv_id, turn, role, trim(array_to_string(list_filter(parts, lambda x: not starts_with(x, '>')), chr(10))) as body,
+  cast(len(list_filter(parts, lambda x: starts_with(x, '>'))) as bigint) as n_quoted, reply_to, thread_root,
   row_number() over (partition by conv_id order by thread_root, root, turn, r) - 1 as position from f""",
 }
 
