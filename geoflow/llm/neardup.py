@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.tables import pin
+from ..functions.tables import partitions, pin
 from .common import small_batches
 
 #: Bands and rows of each: a pair at similarity 0.85 shares no band with a chance of 1.2e-5, at 0.8 of 7e-4.
@@ -21,6 +22,8 @@ MINIMA = BANDS * ROWS
 BITS = 4
 #: Shares of estimate below the threshold at which a pair is still confirmed: about five standard deviations.
 MARGIN = 0.15
+#: Members up to which a set is compared whole, by 16-bit codes; of larger ones a share.
+CODES = 512
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 1024
 
@@ -137,33 +140,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     hubs = banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     banded = pin(banded.join(hubs.select("bucket", F.col("h.node").alias("hub"), "size"), "bucket"))
     slim = classes.select("node", "n", "low")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(slim.toDF("a", "__na", "__la"), "a").join(slim.toDF("b", "__nb", "__lb"), "b")
-        rows = rows.filter(100 * F.least("__na", "__nb") >= percent * F.greatest("__na", "__nb"))
-        return rows.filter(estimate("__la", "__lb") >= percent / 100 - MARGIN).select("a", "b")
+    sets = ids.join(banded.select("node").distinct(), "node").groupBy("node").agg(F.min("__text").alias("__text"))
 
     @F.pandas_udf("array<long>")
     def whole_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingles(t, width).view(np.int64) for t in texts])
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = ids.join(nodes, "node").groupBy("node").agg(F.min("__text").alias("__text"))
-        return pin(_confirmed(pairs, texts.select("node", whole_sets("__text").alias("all")), percent))
+    sets = pin(sets.select("node", whole_sets("__text").alias("all")))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(slim.toDF("a", "__na", "__la"), "a").join(slim.toDF("b", "__nb", "__lb"), "b")
+        rows = rows.filter(100 * F.least("__na", "__nb") >= percent * F.greatest("__na", "__nb"))
+        return rows.filter(estimate("__la", "__lb") >= percent / 100 - MARGIN).select("a", "b")
 
-    tried = pin(likely(banded.filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()))
-    links = confirm(tried)
+    tried = likely(banded.filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    links = pin(_confirmed(tried, sets, percent))
     parts = pin(connected(links))
 
     rest = banded.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rest.groupBy("bucket", "component").count()
-    mixed = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", "component")).alias("most")).filter("parts > 1 and most.count > 0")
-    rest = rest.join(mixed.select("bucket", F.col("most.component").alias("main")), "bucket").join(slim, "node")
-    others = cross_candidates(rest, percent)
-    more = others.join(tried, ["a", "b"], "left_anti")
-    links = links.union(confirm(pin(more)))
+    mixed = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", "component")).alias("most")).filter("parts > 1")
+    rest = rest.join(mixed.select("bucket", F.col("most.component").alias("main")), "bucket")
+    rest = rest.join(slim, "node").join(sets.select("node", sample_codes(F.col("all")).alias("codes")), "node")
+    more = pin(cross_candidates(rest, percent))
+    links = links.union(pin(_confirmed(more, sets, percent)))
     parts = pin(connected(links))
 
     of_class = classes.select("key", "node").join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
@@ -171,12 +172,52 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     return out.select(F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "node").alias("component_id"))
 
 
+def sample_codes(all_hashes: Column) -> Column:
+    """16-bit codes of a set, or of a fixed share of it: 2**-level where it has more than ``CODES`` members.
+
+    The share is taken by the hashes' own low bits, so that two sets' shares at one level match.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.size(all_hashes) / CODES))).cast("int")
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
+    return F.transform(F.filter(all_hashes, lambda h: h.bitwiseAND(step) == 0), lambda h: F.shiftrightunsigned(h, 16).bitwiseAND(0xFFFF).cast("int"))
+
+
+def _compare_cell(x: pd.DataFrame, y: pd.DataFrame, percent: int, out: list[tuple[int, int]]) -> None:
+    """Adds pairs of a row of x and one of y that lie in different components and may be similar enough."""
+    ones, least = np.uint64(int("0001" * 16, 2)), percent / 100
+    need = (least - MARGIN) * (1 - 2.0**-BITS) + 2.0**-BITS
+    lows, n_y, c_y, id_y = np.stack(y["low"].to_numpy()).view(np.uint64), y["n"].to_numpy(), y["component"].to_numpy(), y["node"].to_numpy()
+    codes = [np.asarray(c) for c in y["codes"]]
+    for low, n, c, node, mine in zip(x["low"], x["n"], x["component"], x["node"], x["codes"], strict=True):
+        d = lows ^ np.asarray(low).view(np.uint64)[None, :]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        equal = 1 - np.bitwise_count(d & ones).sum(axis=1, dtype=np.int64) / MINIMA
+        ok = np.flatnonzero((equal >= need) & (c_y != c) & (100 * np.minimum(n_y, n) >= percent * np.maximum(n_y, n)))
+        if not len(ok):
+            continue
+        have = np.zeros(1 << 16, dtype=bool)
+        have[np.asarray(mine)] = True
+        ends = np.cumsum([len(codes[i]) for i in ok])
+        both = np.add.reduceat(np.append(have[np.concatenate([codes[i] for i in ok])], False).astype(np.int64), np.concatenate(([0], ends[:-1])))
+        size = np.diff(ends, prepend=0)
+        # Shared codes over the smaller share stand for shared members; equal codes by chance only raise them.
+        # A pair at the threshold shares 2 * least / (1 + least) of its members' mean, less what chance takes.
+        whole = np.minimum(len(mine), size)
+        chance = 5 * np.sqrt(np.maximum(whole, 1)) * 0.4 * (np.maximum(n, n_y[ok]) > CODES) + 0.5
+        good = both + chance >= least * np.minimum(len(mine), size)
+        tight = (n <= CODES) & (n_y[ok] <= CODES)
+        good &= ~tight | (both * (1 + least) >= least * (n + n_y[ok]))
+        out.extend((max(node, o), min(node, o)) for o in id_y[ok[good]].tolist())
+
+
 def cross_candidates(rest: DataFrame, percent: int) -> DataFrame:
     """Likely pairs (a, b) inside a bucket whose members lie in different components, found block by block.
 
-    ``rest``: bucket, node, component, main (the bucket's largest component), n, low. Members outside the main
-    component meet each other and the main ones; both kinds are dealt into blocks of about ``BLOCK`` rows, and
-    a task compares one block with one other.
+    ``rest``: bucket, node, component, main (the bucket's largest component), n, low, codes. Members outside the
+    main component meet each other and the main ones; both kinds are dealt into blocks of about ``BLOCK`` rows.
+    A cell pairs one block with one other; cells are sorted together in their partition and compared one
+    after the other, first by packed bits, then by codes of the set, so that few pairs leave a cell.
     """
     rest = rest.withColumn("minor", (F.col("component") != F.col("main")).cast("int"))
     sizes = rest.groupBy("bucket").agg(F.ceil(F.sum("minor") / BLOCK).alias("minors"), F.ceil(F.sum(1 - F.col("minor")) / BLOCK).alias("mains"))
@@ -184,30 +225,37 @@ def cross_candidates(rest: DataFrame, percent: int) -> DataFrame:
     block = F.pmod(F.xxhash64("node"), F.when(F.col("minor") == 1, F.col("minors")).otherwise(F.col("mains")))
     rest = rest.withColumn("block", block)
     # Cells (i, j): minor block i against minor block j >= i, or against main block j - minors.
-    as_row = F.when(F.col("minor") == 1, F.transform(F.sequence(F.col("block"), F.col("minors") + F.col("mains") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))))
-    as_column = F.when(
-        F.col("minor") == 1, F.transform(F.sequence(F.lit(0).cast("long"), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
-    ).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1), lambda i: F.struct(i.alias("i"), (F.col("minors") + F.col("block")).alias("j"), F.lit(1).alias("side"))))
-    cells = rest.withColumn("cell", F.explode(F.concat(F.coalesce(as_row, F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")), as_column)))
-    cells = cells.select("bucket", "cell.*", "node", "component", "n", "low")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        out = []
-        if len(x) and len(y):
-            lows_y, n_y, c_y, id_y = np.stack(y["low"]).view(np.uint64), y["n"].to_numpy(), y["component"].to_numpy(), y["node"].to_numpy()
-            ones = np.uint64(int("0001" * 16, 2))
-            need = (percent / 100 - MARGIN) * (1 - 2.0**-BITS) + 2.0**-BITS
-            for low, n, c, node in zip(x["low"], x["n"], x["component"], x["node"], strict=True):
-                d = lows_y ^ low.view(np.uint64)[None, :]
-                d |= d >> np.uint64(1)
-                d |= d >> np.uint64(2)
-                equal = 1 - np.bitwise_count(d & ones).sum(axis=1, dtype=np.int64) / MINIMA
-                ok = (equal >= need) & (c_y != c) & (100 * np.minimum(n_y, n) >= percent * np.maximum(n_y, n))
-                out.extend((max(node, o), min(node, o)) for o in id_y[ok].tolist())
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
-
-    return cells.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    spot = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    is_minor, zero, last = F.col("minor") == 1, F.lit(0).cast("long"), F.col("minors") + F.col("mains") - 1
+    as_row = F.transform(F.sequence("block", last), lambda j: spot(F.col("block"), j, 0))
+    as_column = F.transform(F.sequence(zero, F.when(is_minor, F.col("block")).otherwise(F.col("minors") - 1)), lambda i: spot(i, F.when(is_minor, F.col("block")).otherwise(F.col("minors") + F.col("block")), 1))
+    cells = rest.withColumn("cell", F.explode(F.when(is_minor, F.concat(as_row, as_column)).otherwise(as_column)))
+    cells = cells.select("bucket", "cell.*", "node", "component", "n", "low", "codes")
+    names = ["bucket", "i", "j"]
+    cells = cells.repartition(partitions(cells.sparkSession), *names).sortWithinPartitions(*names)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for rows in itertools.chain(batches, [None]):
+            if rows is not None:
+                held = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            keys = held[names].to_numpy()
+            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+            ends = np.append(starts[1:], len(held))
+            if rows is not None:  # the last cell may go on in the next batch
+                starts, ends, rest_at = starts[:-1], ends[:-1], starts[-1]
+            out: list[tuple[int, int]] = []
+            for s, e in zip(starts, ends, strict=True):
+                cell = held.iloc[s:e]
+                side = cell["side"].to_numpy()
+                if side.any() and not side.all():
+                    _compare_cell(cell[side == 0], cell[side == 1], percent, out)
+            held = held.iloc[rest_at:] if rows is not None else None
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+
+    return cells.mapInPandas(compare, "a long, b long").distinct()
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
