@@ -1,9 +1,200 @@
-"""Queries over the given tables."""
+"""Queries over the given tables, one for each operator or group of operators, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import vec
+from ..operators import compare, diffusion, fields, forms, knn, markov, mesh
+from . import views
+from .sql import SQL
+
+K, STEPS = 32, 20
+
+
+def shown(df: DataFrame, *keys: str, digits: int = 5, **columns) -> DataFrame:
+    """Keys as they are, other columns rounded."""
+    named = {c: F.col(c) for c in df.columns if c not in keys} if not columns else columns
+    return df.select(*keys, *[(F.round(v, digits) + 0.0).alias(k) for k, v in named.items()])
+
+
+def graph(spark: SparkSession, sf_dir: str) -> markov.Graph:
+    points = views.pts_embed(spark, sf_dir)
+    return markov.build(points, knn.knn(points, K))
+
+
+def p1_normalize(spark, sf_dir):
+    return shown(fields.normalize(views.pts_label(spark, sf_dir)), "cloud_id", "point_id")
+
+
+def p3_field_bounds(spark, sf_dir):
+    return shown(fields.field_bounds(views.field_embed(spark, sf_dir)), "cloud_id")
+
+
+def p4_coloured(spark, sf_dir):
+    rows = fields.coloured(views.pts_label(spark, sf_dir), views.field_embed(spark, sf_dir))
+    return rows.select("cloud_id", "point_id", (F.round("t", 5) + 0.0).alias("t"), *[F.round(F.col(c) / 8).cast("long").alias(c) for c in ("red", "green", "blue")])
+
+
+def p6_impulse(spark, sf_dir):
+    return fields.impulse(views.pts_label(spark, sf_dir))
+
+
+def p7_glyphs(spark, sf_dir):
+    points = views.pts_label(spark, sf_dir)
+    faces = fields.glyph_faces(points).groupBy("mesh_id").agg(F.sum(F.col("v0") + 2 * F.col("v1") + 3 * F.col("v2")).alias("face_sum"))
+    corners = fields.glyph_vertices(points).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"])
+    return shown(corners.join(faces, F.col("mesh_id") == F.col("cloud_id")).drop("mesh_id"), "cloud_id", "n", "face_sum")
+
+
+def p8_vectors(spark, sf_dir):
+    points = views.pts_embed(spark, sf_dir)
+    a, b = vec.vec(), (F.col("y"), F.col("z"), F.col("x"))
+    w, u = vec.wedge(a, b), vec.unit(a)
+    return shown(points, "point_id", dot=vec.dot(a, b), xy=w[0], yz=w[1], zx=w[2], norm=vec.norm(a), ux=u[0], uy=u[1], uz=u[2])
+
+
+def p9_geometric_product(spark, sf_dir):
+    rows = views.multivectors(spark, sf_dir)
+    p, w = vec.geometric_product(F.col("a"), F.col("b"), (3, 0, 0)), vec.geometric_product(F.col("a"), F.col("b"), (3, 0, 0), outer=True)
+    rows = rows.select("l_orderkey", "l_linenumber", p.alias("p"), w.alias("w"))
+    return rows.select("l_orderkey", "l_linenumber", *[(F.round(F.get(c, F.lit(i)), 8) + 0.0).alias(f"{c}{i}") for c in ("p", "w") for i in (0, 1, 3, 6, 7)])
+
+
+def p14_strided(spark, sf_dir):
+    return fields.strided(views.pts_embed(spark, sf_dir), 100).select("point_id")
+
+
+def p15_validity(spark, sf_dir):
+    points, faces = views.mesh_part(spark, sf_dir)
+    clouds = points.select("cloud_id").distinct().union(spark.range(1, 2).toDF("cloud_id"))
+    return fields.validity(clouds, points, faces)
+
+
+def m1_incidence(spark, sf_dir):
+    points, faces = views.mesh_orders(spark, sf_dir)
+    rows = mesh.incidence(points.filter("point_id % 7 <> 0"), faces)
+    return rows.groupBy("vertex_id").agg(F.array_join(F.sort_array(F.collect_list("face_id")), ",").alias("faces"))
+
+
+def m2_one_ring(spark, sf_dir):
+    return mesh.one_ring(*views.mesh_orders(spark, sf_dir)).select("src", "dst")
+
+
+def m3_csr_offsets(spark, sf_dir):
+    points, faces = views.mesh_orders(spark, sf_dir)
+    return mesh.csr_offsets(mesh.incidence(points, faces), points, "vertex_id").select("vertex_id", "degree", "first")
+
+
+def m4_face_normals(spark, sf_dir):
+    return shown(mesh.face_normals(*views.mesh_orders(spark, sf_dir)).drop("mesh_id"), "face_id", digits=8)
+
+
+def m5_curvature(spark, sf_dir):
+    return shown(mesh.curvature(*views.mesh_orders(spark, sf_dir)).drop("mesh_id"), "point_id", digits=4)
+
+
+def m7_flow_step(spark, sf_dir):
+    points, faces = views.mesh_orders(spark, sf_dir)
+    return shown(mesh.flow_step(points, mesh.one_ring(points, faces)).drop("cloud_id"), "point_id", digits=8)
+
+
+def m8_flow(spark, sf_dir):
+    return shown(mesh.flow(*views.mesh_part(spark, sf_dir), frames=6).drop("cloud_id"), "point_id")
+
+
+def n1_knn(spark, sf_dir):
+    return shown(knn.knn(views.pts_embed(spark, sf_dir), K).select("src", F.col("rank").cast("long").alias("rank"), "dst", "dist"), "src", "rank", "dst")
+
+
+def n1_knn_clouds(spark, sf_dir):
+    return shown(knn.knn(views.pts_label(spark, sf_dir), 8).select("cloud_id", "src", F.col("rank").cast("long").alias("rank"), "dst", "dist"), "cloud_id", "src", "rank", "dst")
+
+
+def n2_local_bandwidth(spark, sf_dir):
+    return shown(markov.local_bandwidth(knn.knn(views.pts_embed(spark, sf_dir), K)).drop("cloud_id"), "point_id")
+
+
+def n4_kernel_tuning(spark, sf_dir):
+    return shown(graph(spark, sf_dir).params.drop("cloud_id"))
+
+
+def n9_markov(spark, sf_dir):
+    return shown(graph(spark, sf_dir).markov.select("src", "dst", "w"), "src", "dst")
+
+
+def n10_symmetric(spark, sf_dir):
+    return shown(graph(spark, sf_dir).symk.select("src", "dst", "s"), "src", "dst")
+
+
+def n14_nodes(spark, sf_dir):
+    nodes = graph(spark, sf_dir).nodes
+    return shown(nodes, "point_id", mu=F.col("mu") * 1000, row_sum=F.col("row_sum"), bw=F.col("bw"), ix=F.col("ix"), iy=F.col("iy"), iz=F.col("iz"))
+
+
+def d1_markov_step(spark, sf_dir):
+    points = views.pts_embed(spark, sf_dir)
+    return shown(diffusion.step(graph(spark, sf_dir).markov, fields.height(points)).drop("cloud_id"), "point_id")
+
+
+def d3_heat_run(spark, sf_dir):
+    points = views.pts_embed(spark, sf_dir)
+    rows = diffusion.run(graph(spark, sf_dir).markov, fields.impulse(points), STEPS)
+    return shown(rows.select(F.col("step").cast("long").alias("step"), "point_id", "value"), "step", "point_id", digits=4)
+
+
+def d4_carre_du_champ(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    coords = g.nodes.select("cloud_id", "point_id", F.col("ix").alias("x"), F.col("iy").alias("y"), F.col("iz").alias("z"))
+    return shown(diffusion.carre_du_champ(g.markov, g.nodes, coords, [("x", "x"), ("x", "y"), ("z", "z")]).drop("cloud_id"), "point_id")
+
+
+def d8_data_immersion(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    both = views.pts_embed(spark, sf_dir).join(g.nodes.select("cloud_id", "point_id", "ix", "iy", "iz"), ["cloud_id", "point_id"])
+    return shown(diffusion.carre_du_champ(g.markov, g.nodes, both, [(a, f"i{b}") for a in "xyz" for b in "xyz"]).drop("cloud_id"), "point_id")
+
+
+def f_form_matrices(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    basis = views.pts_embed(spark, sf_dir).select("cloud_id", "point_id", F.array(F.lit(1.0), "x", "y", "z").alias("phi"))
+    rows = forms.form_matrices(forms.gamma_rows(g.markov, g.nodes, basis), 4)
+    rows = rows.filter(F.col("name").isin("g0", "g1", "g2", "d0", "e0", "e1")).select("name", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+    return shown(rows, "name", "row", "col")
+
+
+def q1_point_agreement(spark, sf_dir):
+    points = views.pts_label(spark, sf_dir)
+    moved = points.filter("point_id % 5 <> 0").withColumn("x", F.col("x") + F.col("y") / 10)
+    return shown(compare.point_agreement(points, moved), "cloud_id", "n", "unmatched")
+
+
+def q4_circular_agreement(spark, sf_dir):
+    angle = views.pts_label(spark, sf_dir).select("cloud_id", "point_id", F.atan2("y", "x").alias("value"))
+    turned = angle.withColumn("value", 0.7 - F.col("value") + 0.01 * F.sin(3 * F.col("value")))
+    return compare.circular_agreement(angle, turned).select("cloud_id", "conjugate", *[(F.round(c, 5) + 0.0).alias(c) for c in ("correlation", "mean", "p95", "most")])
+
+
+def q5_relative_error(spark, sf_dir):
+    points = views.pts_label(spark, sf_dir)
+    a, b = (points.select("cloud_id", "point_id", v.alias("value")) for v in (F.col("x"), -F.col("x") + F.col("y") / 20))
+    return shown(compare.relative_error(a, b), "cloud_id")
+
+
+QUERIES = (
+    p1_normalize, p3_field_bounds, p4_coloured, p6_impulse, p7_glyphs, p8_vectors, p9_geometric_product, p14_strided, p15_validity,
+    m1_incidence, m2_one_ring, m3_csr_offsets, m4_face_normals, m5_curvature, m7_flow_step, m8_flow, n1_knn, n1_knn_clouds, n2_local_bandwidth,
+    n4_kernel_tuning, n9_markov, n10_symmetric, n14_nodes, d1_markov_step, d3_heat_run, d4_carre_du_champ, d8_data_immersion, f_form_matrices,
+    q1_point_agreement, q4_circular_agreement, q5_relative_error,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
