@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,55 +19,50 @@ from .tokencount import byte_of_char
 PIECE = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Token ids of whole texts for a tokenizer that lower-cases and drops white space, one remembered word at a time.
 
     Pre-tokenization never joins what a blank or line feed divides, so that the ids of a text are those of its
     blank-separated parts in turn. A word of Latin letters with one full stop or comma after it has the ids of
-    its lower-case letters and then those of the mark. Each new word goes through the library once; what is
-    remembered is bounded.
+    its lower-case letters and then those of the mark; its letters are one piece, left to the library's merges.
+    Other words go through the whole library. Each new word is looked up once; what is remembered is bounded.
     """
 
     def __init__(self, path: str, most: int = 400_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenize = self.tokenizer.model.tokenize
         self.shown = {b: c for c, b in byte_of_char().items()}
-        self.memo: dict[str, bytes] = {}
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.marks = {m: self._library(m) for m in ".,"}
         self.letters: dict[str, bytes] = {}
 
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        plain, other = {}, []
-        for w in words:
-            core = w[:-1] if w[-1:] in (".", ",") else w
-            if core.isalpha() and max(core) < "\u0250" and len(low := core.lower()) == len(core):
-                plain[w] = low
-            else:
-                other.append(w)
-        if len(self.letters) > self.most:
-            self.letters.clear()
-        model = self.tokenizer.model
-        for low in set(plain.values()).difference(self.letters):  # normalized and one piece: only the merges are left
+    def _library(self, word: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def __missing__(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1:])
+        core = word[:-1] if mark else word
+        low = core.lower()
+        if not core.isalpha() or not core.isascii() and (max(core) >= "\u0250" or len(low) != len(core)):
+            ids = self[word] = self._library(word)
+            return ids
+        ids = self.letters.get(low)
+        if ids is None:
             spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.shown)
-            self.letters[low] = struct.pack(f"<{len(found := model.tokenize(spelt))}I", *[t.id for t in found])
-        marks = dict(zip(".,", self._library([".", ","]), strict=True))
-        for w, low in plain.items():
-            self.memo[w] = self.letters[low] + marks.get(w[-1], b"")
-        self.memo.update(zip(other, self._library(other), strict=True))
+            ids = self.letters[low] = b"".join([self.packed[t.id] for t in self.tokenize(spelt)])
+        ids = self[word] = ids + mark if mark else ids
+        return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        memo = self.memo
-        if new := list({w for words in split for w in words}.difference(memo)):
-            self._learn(new)
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        if len(self) > self.most:
+            self.clear()
+        if len(self.letters) > self.most:
+            self.letters.clear()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def cut_into_pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, text: str = "text") -> DataFrame:
@@ -84,11 +78,9 @@ def cut_into_pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, te
         encoder, end, width = WordEncoder(path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for texts in batches:
             out = []
-            texts = texts.tolist()
-            for i in range(0, len(texts), 64):
-                for ids in encoder.encode(texts[i : i + 64]):
-                    ids += end
-                    out.append([{"piece": k // width, "start": k // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k in range(0, len(ids), width) for part in (ids[k : k + width],)])
+            for text in texts:
+                ids = encoder.encode(text) + end
+                out.append([{"piece": k // width, "start": k // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k in range(0, len(ids), width) for part in (ids[k : k + width],)])
             yield pd.Series(out)
 
     names = ("piece", "start", "length", "ids_crc32")
