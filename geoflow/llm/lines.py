@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: log2 of the registers of a line's sketch: a standard error of about 2.3 per cent; few sites are counted exactly.
 SKETCH = 11
+#: Parts that the rows of one line are dealt into where they meet a table of lines.
+SALTS = 16
 
 
 def _lines(text: str) -> Column:
@@ -18,6 +20,12 @@ def _row(df: DataFrame, key: str, text: str) -> list[Column]:
     return [F.xxhash64(F.lit(n), F.col(key).cast("string"), text).alias(f"__r{n}") for n in (1, 2)]
 
 
+def _semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose line key (a, b) is among ``keys``; each key is sent ``SALTS`` times, so that a frequent line is dealt out."""
+    salted = keys.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["a", "b", "__salt"], "left_semi").drop("__salt")
+
+
 def spread_lines(df: DataFrame, sites: int, text: str = "text", site: str = "source") -> DataFrame:
     """128-bit keys (a, b) of the non-blank lines that occur on ``sites`` or more distinct sites.
 
@@ -29,12 +37,12 @@ def spread_lines(df: DataFrame, sites: int, text: str = "text", site: str = "sou
     lines = df.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(_lines(text)).alias("line")).filter(F.trim("line") != "")
     keys = lines.select("site", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
     often = keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= sites).select("a", "b")
-    keys = keys.join(often, ["a", "b"], "left_semi")
+    keys = _semi(keys, often)
     guess = keys.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH)).alias("guess"))
     error = 5 * 1.04 / 2 ** (SKETCH / 2)
     low, high = sites * (1 - error) - 1, sites * (1 + error) + 1
     sure, near = guess.filter(F.col("guess") > high), guess.filter(F.col("guess").between(low, high))
-    exact = keys.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("d")).filter(F.col("d") >= sites)
+    exact = _semi(keys, near).groupBy("a", "b").agg(F.countDistinct("site").alias("d")).filter(F.col("d") >= sites)
     return sure.select("a", "b").union(exact.select("a", "b"))
 
 
@@ -43,7 +51,7 @@ def removed_lines(df: DataFrame, sites: int, key: str = "doc_id", text: str = "t
     spread = spread_lines(df, sites, text, site)
     placed = df.select(*_row(df, key, text), F.posexplode(_lines(text)).alias("place", "line")).filter(F.trim("line") != "")
     placed = placed.select("__r1", "__r2", "place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-    return placed.join(spread, ["a", "b"], "left_semi").groupBy("__r1", "__r2").agg(F.collect_set("place").alias("__places"))
+    return _semi(placed, spread).groupBy("__r1", "__r2").agg(F.collect_set("place").alias("__places"))
 
 
 def without_boilerplate(df: DataFrame, sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source", counts: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ class WordEncoder(dict):
     Other words go through the whole library. Each new word is looked up once; what is remembered is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -65,6 +66,12 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each worker process, shared by its tasks."""
+    return WordEncoder(path)
+
+
 def cut_into_pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, text: str = "text") -> DataFrame:
     """One row per piece of each document: piece, start, length, ids_crc32; other columns are carried along.
 
@@ -75,7 +82,7 @@ def cut_into_pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, te
 
     @F.pandas_udf(PIECE)
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder, end, width = WordEncoder(path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        encoder, end, width = encoder_of(path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for texts in batches:
             out = []
             for text in texts:

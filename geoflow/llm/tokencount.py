@@ -287,6 +287,12 @@ class TokenCounter:
         return total
 
 
+@cache
+def counter_of(path: str) -> TokenCounter:
+    """One counter for each worker process, shared by its tasks."""
+    return TokenCounter(path)
+
+
 def with_token_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """Add the number of tokens of the whole text (null and empty: 0) by the byte-level BPE file at ``path``.
 
@@ -297,7 +303,7 @@ def with_token_counts(df: DataFrame, path: str, text: str = "text", name: str =
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = TokenCounter(path)
+        counter = counter_of(path)
         for texts in batches:
             yield pd.Series(counter.count(texts.tolist()))
 
