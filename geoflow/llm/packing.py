@@ -149,7 +149,7 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Fill, int]]:
     return [x for kinds in bins.values() for x in kinds.items()]
 
 
-def completions(room: int, left: np.ndarray, most_waste: int, tries: int = 4000, keep: int = 24) -> list[tuple[int, Fill]]:
+def completions(room: int, left: np.ndarray, most_waste: int, tries: int = 400, keep: int = 24) -> list[tuple[int, Fill]]:
     """Undominated fillings of ``room``, least waste first, each as (waste, filling).
 
     A filling is dominated if a piece that it does not hold could replace some of its pieces of no greater sum
@@ -195,7 +195,7 @@ def completions(room: int, left: np.ndarray, most_waste: int, tries: int = 4000,
     return sorted(set(found), key=lambda x: (x[0], tuple(-s for s, _ in x[1])))[:keep]
 
 
-def plan(counts: np.ndarray, capacity: int, nodes: int = 6000) -> list[tuple[Fill, int]]:
+def plan(counts: np.ndarray, capacity: int, nodes: int = 1000) -> list[tuple[Fill, int]]:
     """Fillings and how many sequences get each, by bin completion.
 
     The longest piece left is completed by an undominated filling, used as often as the counts allow; branches
