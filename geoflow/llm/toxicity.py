@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import pin
 from .common import small_batches
 
 #: Confirmed toxic and unlabelled documents that are learned from, at most.
@@ -31,9 +32,21 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def _weights(n: int, of: str, df: DataFrame, text: str, label: str, key: str, total: int) -> DataFrame:
-    share = min(1.0, n / total) if total else 0.0
-    return df.filter(F.pmod(F.xxhash64(F.lit(of), key), F.lit(1 << 40)) / float(1 << 40) < share).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(int(of == "toxic")).alias("positive"))
+def _one_of_each(df: DataFrame, text: str, key: str, positive: int) -> DataFrame:
+    """(text, positive): one text for each id, however many rows share it."""
+    return df.groupBy(key).agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("text")).select("text", F.lit(positive).alias("positive"))
+
+
+def sampled(pool: DataFrame, marked: DataFrame, text: str, key: str) -> DataFrame:
+    """(text, positive): what is learned from, written once to the shared folder.
+
+    Positives are the ``POSITIVE`` toxic ids of least hash; being so few, they are broadcast to the documents, so
+    that no text is shuffled to find them. Unlabelled rows are a share of the ids, about ``UNLABELLED`` of them.
+    """
+    ids = marked.filter("toxic = 1").orderBy(F.xxhash64(F.lit("toxic"), key), key).limit(POSITIVE).select(key)
+    share = UNLABELLED / max(pool.count(), UNLABELLED)
+    some = pool.filter(F.pmod(F.xxhash64(F.lit("unlabelled"), key), F.lit(1 << 40)) / float(1 << 40) < share)
+    return pin(_one_of_each(pool.join(F.broadcast(ids), key, "left_semi"), text, key, 1).union(_one_of_each(some, text, key, 0)))
 
 
 @dataclass
@@ -92,18 +105,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 def train(df: DataFrame, labels: DataFrame, allowed: Column, text: str = "text", key: str = "doc_id") -> Model | None:
     """Learn from ``allowed`` rows: confirmed toxic ones (label 1) and unlabelled ones of the whole table.
 
-    The class prior is the share of toxic rows among the allowed labelled ones. At most about ``POSITIVE`` and
-    ``UNLABELLED`` documents are taken, by least hash of the id; the features that set them apart best are
-    counted in parallel. None if no toxic row is known.
+    The class prior is the share of toxic rows among the allowed labelled ones. At most ``POSITIVE`` and about
+    ``UNLABELLED`` documents are taken; the features that set them apart best are counted in parallel. None if
+    no toxic row is known.
     """
     small_batches(df.sparkSession)
     marked = labels.filter(allowed & F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     n_labelled, n_toxic = marked.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n_toxic:
         return None
-    pool = df.filter(allowed)
-    toxic = pool.join(marked.filter("toxic = 1").select(key), key, "left_semi")
-    sample = _weights(POSITIVE, "toxic", toxic, text, text, key, n_toxic).union(_weights(UNLABELLED, "unlabelled", pool, text, text, key, pool.count()))
+    sample = sampled(df.filter(allowed).select(key, text), marked, text, key)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, memo = np.zeros((2, SPACE), dtype=np.int32), {}
