@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import compare, diffusion, fields, forms, knn, markov, mesh
+from ..functions.tables import pin
+from ..operators import compare, diffusion, fields, forms, hodge, knn, markov, mesh
 from . import views
 from .sql import SQL
 
@@ -152,20 +153,54 @@ def d4_carre_du_champ(spark, sf_dir):
     return shown(diffusion.carre_du_champ(g.markov, g.nodes, coords, [("x", "x"), ("x", "y"), ("z", "z")]).drop("cloud_id"), "point_id")
 
 
-def d8_data_immersion(spark, sf_dir):
-    g = graph(spark, sf_dir)
+def data_immersion(spark, sf_dir, g):
     both = views.pts_embed(spark, sf_dir).join(g.nodes.select("cloud_id", "point_id", "ix", "iy", "iz"), ["cloud_id", "point_id"])
-    return shown(diffusion.carre_du_champ(g.markov, g.nodes, both, [(a, f"i{b}") for a in "xyz" for b in "xyz"]).drop("cloud_id"), "point_id")
+    return diffusion.carre_du_champ(g.markov, g.nodes, both, [(a, f"i{b}") for a in "xyz" for b in "xyz"])
+
+
+def d8_data_immersion(spark, sf_dir):
+    return shown(data_immersion(spark, sf_dir, graph(spark, sf_dir)).drop("cloud_id"), "point_id")
+
+
+def monomials(spark, sf_dir):
+    return views.pts_embed(spark, sf_dir).select("cloud_id", "point_id", F.array(F.lit(1.0), "x", "y", "z").alias("phi"))
+
+
+def matrices(spark, sf_dir, g):
+    return forms.form_matrices(forms.gamma_rows(g.markov, g.nodes, monomials(spark, sf_dir)), 4)
 
 
 def f_form_matrices(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    basis = views.pts_embed(spark, sf_dir).select("cloud_id", "point_id", F.array(F.lit(1.0), "x", "y", "z").alias("phi"))
-    rows = forms.form_matrices(forms.gamma_rows(g.markov, g.nodes, basis), 4)
+    rows = matrices(spark, sf_dir, graph(spark, sf_dir))
     rows = rows.filter(F.col("name").isin("g0", "g1", "g2", "d0", "e0", "e1")).select("name", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
     return shown(rows, "name", "row", "col")
 
 
+def f13_hodge_laplacian(spark, sf_dir):
+    rows = hodge.hodge_laplacian(pin(matrices(spark, sf_dir, graph(spark, sf_dir))))
+    return shown(rows.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"), "row", "col")
+
+
+def f14_hodge_spectrum(spark, sf_dir):
+    found = pin(matrices(spark, sf_dir, graph(spark, sf_dir)))
+    laplacian = hodge.added(hodge.down_laplacian(found, 1), found.filter("name = 'e1'"), "hodge1")
+    return shown(hodge.spectrum(laplacian, found.filter("name = 'g1'")).select("cloud_id", "mode", "lambda"), "cloud_id", "mode")
+
+
+def one_form(spark, sf_dir, g):
+    """The column of the weak derivative that belongs to the second basis function, as a 1-form."""
+    return hodge.pointwise(monomials(spark, sf_dir), hodge.coefficients_of(matrices(spark, sf_dir, g), "d0", 1), 3)
+
+
+def f18_dual_vectors(spark, sf_dir):
+    return shown(hodge.dual_vectors(one_form(spark, sf_dir, graph(spark, sf_dir))).drop("cloud_id"), "point_id")
+
+
+def f24_ambient_field(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return shown(hodge.ambient_vectors(one_form(spark, sf_dir, g), data_immersion(spark, sf_dir, g)).drop("cloud_id"), "point_id")
+
+
 def q1_point_agreement(spark, sf_dir):
     points = views.pts_label(spark, sf_dir)
     moved = points.filter("point_id % 5 <> 0").withColumn("x", F.col("x") + F.col("y") / 10)
@@ -188,6 +223,7 @@ QUERIES = (
     p1_normalize, p3_field_bounds, p4_coloured, p6_impulse, p7_glyphs, p8_vectors, p9_geometric_product, p14_strided, p15_validity,
     m1_incidence, m2_one_ring, m3_csr_offsets, m4_face_normals, m5_curvature, m7_flow_step, m8_flow, n1_knn, n1_knn_clouds, n2_local_bandwidth,
     n4_kernel_tuning, n9_markov, n10_symmetric, n14_nodes, d1_markov_step, d3_heat_run, d4_carre_du_champ, d8_data_immersion, f_form_matrices,
+    f13_hodge_laplacian, f14_hodge_spectrum, f18_dual_vectors, f24_ambient_field,
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
 )
 

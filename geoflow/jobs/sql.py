@@ -114,6 +114,10 @@ def _products() -> str:
     return ", ".join(out)
 
 
+MATRICES = f"{GRAPH}, {WIDE}, {ALL_GAMMAS}, m as materialized ({_matrices()})"
+ONE_FORM = f"""{MATRICES},
+form as (select point_id, {", ".join(f"sum(case when m.row % 3 = {c} then value * (case m.row // 3 when 0 then 1 when 1 then x when 2 then y else z end) else 0 end) as w{c}" for c in range(3))} from pts, m where name = 'd0' and col = 1 group by point_id)"""
+
 SQL = {
     "p1_normalize": f"""with {LABEL}, box as (select cloud_id, (min(x) + max(x)) / 2 as cx, (min(y) + max(y)) / 2 as cy, (min(z) + max(z)) / 2 as cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) as e from pts group by cloud_id)
 select cloud_id, point_id, {", ".join(r(f"({a} - c{a}) * case when e > 1e-9 then 2 / e else 1 end", a) for a in "xyz")} from pts join box using (cloud_id)""",
@@ -149,6 +153,9 @@ case when area > 1e-12 then (2 * pi() - angles) / area else 0 end as k from g) s
     "d4_carre_du_champ": f"with {GRAPH}, s as (select point_id, ix as x, iy as y, iz as z from nodes), q as ({gamma([('g_x_x', 'x', 'x'), ('g_x_y', 'x', 'y'), ('g_z_z', 'z', 'z')], 's')}) select point_id, {each('g_x_x g_x_y g_z_z')} from q",
     "d8_data_immersion": f"with {GRAPH}, s as (select point_id, x, y, z, ix, iy, iz from nodes join pts using (point_id)), q as ({gamma([(f'g_{a}_i{b}', a, f'i{b}') for a in 'xyz' for b in 'xyz'], 's')}) select point_id, {each(' '.join(f'g_{a}_i{b}' for a in 'xyz' for b in 'xyz'))} from q",
     "f_form_matrices": f'with {GRAPH}, {WIDE}, {ALL_GAMMAS}, m as ({_matrices()}) select name, cast("row" as bigint) as "row", cast(col as bigint) as col, {r("value", "value")} from m',
+    "f13_hodge_laplacian": f'with {MATRICES}, p as (select a."row" as "row", b."row" as col, sum(a.value * b.value) as value from m a join m b on a.col = b.col where a.name = \'d0\' and b.name = \'d0\' group by a."row", b."row") select cast(p."row" as bigint) as "row", cast(p.col as bigint) as col, {r("p.value + m.value", "value")} from p join m on m.name = \'e1\' and m."row" = p."row" and m.col = p.col',
+    "f18_dual_vectors": f"with {ONE_FORM} select point_id, {r('w2', 'vx')}, {r('-w1', 'vy')}, {r('w0', 'vz')} from form",
+    "f24_ambient_field": f"with {ONE_FORM}, ds as (select point_id, x, y, z, ix, iy, iz from nodes join pts using (point_id)), dq as ({gamma([(f'g_{a}_i{b}', a, f'i{b}') for a in 'xyz' for b in 'xyz'], 'ds')}) select point_id, {', '.join(r(f'g_{a}_ix * w0 + g_{a}_iy * w1 + g_{a}_iz * w2', f'v{a}') for a in 'xyz')} from dq join form using (point_id)",
     "q1_point_agreement": f"with {LABEL} select cloud_id, cast(count(*) filter (point_id % 5 <> 0) as bigint) as n, cast(count(*) filter (point_id % 5 = 0) as bigint) as unmatched, {r('sqrt(avg(case when point_id % 5 <> 0 then y * y / 100 end) / 3)', 'rmse')}, {r('max(case when point_id % 5 <> 0 then abs(y / 10) end)', 'most')} from pts group by cloud_id",
     "q5_relative_error": f"with {LABEL} select cloud_id, {r('sqrt(least(sum((2 * x - y / 20) * (2 * x - y / 20)), sum(y * y / 400))) / sqrt(sum(x * x))', 'error')} from pts group by cloud_id",
     "q4_circular_agreement": f"""with {LABEL}, a as (select cloud_id, atan2(y, x) as v from pts), b as (select cloud_id, v, 0.7 - v + 0.01 * sin(3 * v) as o from a),
