@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,6 +21,10 @@ from .tokencount import byte_of_char
 PIECE = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
+#: Latin letters below U+0250 that lower-case to one letter below it, then a full stop or comma or nothing.
+LATIN = re.compile("([" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250") + "]+)([.,]?)").fullmatch
+
+
 class WordEncoder(dict):
     """Token ids of whole texts for a tokenizer that lower-cases and drops white space, one remembered word at a time.
 
@@ -29,7 +34,7 @@ class WordEncoder(dict):
     Other words go through the whole library. Each new word is looked up once; what is remembered is bounded.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -38,28 +43,37 @@ class WordEncoder(dict):
         self.shown = {b: c for c, b in byte_of_char().items()}
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.marks = {m: self._library(m) for m in ".,"}
+        self.earlier: dict[str, bytes] = {}  # words of the generation before this one
         self.letters: dict[str, bytes] = {}
 
     def _library(self, word: str) -> bytes:
         return b"".join([self.packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
-    def __missing__(self, word: str) -> bytes:
-        mark = self.marks.get(word[-1:])
-        core = word[:-1] if mark else word
-        low = core.lower()
-        if not core.isalpha() or not core.isascii() and (max(core) >= "\u0250" or len(low) != len(core)):
-            ids = self[word] = self._library(word)
-            return ids
+    def _of_letters(self, low: str) -> bytes:
         ids = self.letters.get(low)
         if ids is None:
             spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.shown)
-            ids = self.letters[low] = b"".join([self.packed[t.id] for t in self.tokenize(spelt)])
-        ids = self[word] = ids + mark if mark else ids
+            packed = self.packed
+            ids = self.letters[low] = b"".join([packed[t.id] for t in self.tokenize(spelt)])
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.earlier.get(word)
+        if ids is None:
+            found = LATIN(word)
+            if found is None:
+                ids = self._library(word)
+            else:
+                ids = self._of_letters(found[1].lower())
+                if found[2]:
+                    ids += self.marks[found[2]]
+        self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if len(self) > self.most:
+        if len(self) > self.most:  # words that are still in use are taken over from the generation before
+            self.earlier = dict(self)
             self.clear()
         if len(self.letters) > self.most:
             self.letters.clear()
