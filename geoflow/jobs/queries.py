@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.tables import pin
-from ..operators import compare, diffusion, fields, forms, hodge, knn, markov, mesh
+from ..operators import compare, diffusion, fields, forms, hodge, knn, markov, mesh, products, spectral
 from . import views
 from .sql import SQL
 
@@ -219,11 +219,79 @@ def q5_relative_error(spark, sf_dir):
     return shown(compare.relative_error(a, b), "cloud_id")
 
 
+N_BASIS = 6
+
+
+def e2_eigenbasis(spark, sf_dir):
+    """Products of the basis functions in the measure: 1 on the diagonal, 0 off it."""
+    g = graph(spark, sf_dir)
+    basis = spectral.eigenbasis(g.symk, g.nodes, N_BASIS, rounds=5)[0].join(g.nodes.select("cloud_id", "point_id", "mu"), ["cloud_id", "point_id"])
+    terms = basis.select("mu", "phi", F.posexplode("phi").alias("i", "x")).select("i", F.posexplode(F.transform("phi", lambda y: F.col("mu") * F.col("x") * y)).alias("j", "t"))
+    return shown(terms.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum("t").alias("product")), "i", "j", digits=4)
+
+
+def e3_eigenvalues(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return shown(spectral.eigenbasis(g.symk, g.nodes, N_BASIS, rounds=5)[1], "cloud_id", "mode", digits=4)
+
+
+def e4_condition(spark, sf_dir):
+    return shown(spectral.condition(matrices(spark, sf_dir, graph(spark, sf_dir))), "cloud_id", digits=2)
+
+
+def f11_up_laplacian(spark, sf_dir):
+    return shown(matrices(spark, sf_dir, graph(spark, sf_dir)).filter("name = 'e2'").select("row", "col", "value"), "row", "col", digits=4)
+
+
+def f17_projection(spark, sf_dir):
+    """Coefficients of the points' second coordinate, which is the basis' third function."""
+    form = views.pts_embed(spark, sf_dir).select("cloud_id", "point_id", F.array("y").alias("form"))
+    found = products.project(form, monomials(spark, sf_dir), graph(spark, sf_dir).nodes)
+    return shown(found.select(F.posexplode("coefficients").alias("i", "c")).select(F.col("i").cast("long").alias("i"), "c"), "i")
+
+
+def f20_wedge(spark, sf_dir):
+    """Two derivatives' wedge product and the sum of it and the turned one, which is 0."""
+    g, basis = graph(spark, sf_dir), monomials(spark, sf_dir)
+    found = pin(matrices(spark, sf_dir, g))
+    a, b = (hodge.coefficients_of(found, "d0", i) for i in (1, 2))
+    one, two = (products.wedge(x, 1, y, 1, basis, g.nodes).select("cloud_id", F.posexplode("coefficients").alias("i", c)) for x, y, c in ((a, b, "value"), (b, a, "turned")))
+    return shown(one.join(two, ["cloud_id", "i"]).withColumn("both", F.col("value") + F.col("turned")).drop("turned"), "cloud_id", "i")
+
+
+def f21_wedge_operator(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    alpha = hodge.coefficients_of(matrices(spark, sf_dir, g), "d0", 1)
+    return shown(products.wedge_operator(alpha, 1, 1, monomials(spark, sf_dir), g.nodes).select("row", "col", "value"), "row", "col")
+
+
+def f23_circular_coordinates(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    gammas = pin(forms.gamma_rows(g.markov, g.nodes, monomials(spark, sf_dir)))
+    turning = g.nodes.select("cloud_id").distinct().select("cloud_id", F.array(*[F.lit(v) for v in (0.0,) * 4 + (4.0, 0.0, -4.0) + (0.0,) * 5]).alias("coefficients"))
+    modes = products.circular_mode(gammas, turning, 0.1)
+    return shown(products.circular_coordinates(gammas.select("cloud_id", "point_id", "phi"), modes), "cloud_id", "point_id")
+
+
+def subspaces(spark, sf_dir):
+    points = views.pts_label(spark, sf_dir)
+    return compare.subspace_agreement(*[points.select("cloud_id", "point_id", F.array(v).alias("form")) for v in (F.col("x"), F.col("x") + F.col("y") / 2)])
+
+
+def q2_subspaces(spark, sf_dir):
+    return shown(subspaces(spark, sf_dir), "cloud_id")
+
+
+def q7_composite_score(spark, sf_dir):
+    return shown(compare.composite_score(subspaces(spark, sf_dir).join(q4_circular_agreement(spark, sf_dir), "cloud_id"), compare.ONE_FORM_SHARES), digits=4)
+
+
 QUERIES = (
     p1_normalize, p3_field_bounds, p4_coloured, p6_impulse, p7_glyphs, p8_vectors, p9_geometric_product, p14_strided, p15_validity,
     m1_incidence, m2_one_ring, m3_csr_offsets, m4_face_normals, m5_curvature, m7_flow_step, m8_flow, n1_knn, n1_knn_clouds, n2_local_bandwidth,
     n4_kernel_tuning, n9_markov, n10_symmetric, n14_nodes, d1_markov_step, d3_heat_run, d4_carre_du_champ, d8_data_immersion, f_form_matrices,
     f13_hodge_laplacian, f14_hodge_spectrum, f18_dual_vectors, f24_ambient_field,
+    e2_eigenbasis, e3_eigenvalues, e4_condition, f11_up_laplacian, f17_projection, f20_wedge, f21_wedge_operator, f23_circular_coordinates, q2_subspaces, q7_composite_score,
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
 )
 

@@ -52,7 +52,7 @@ def minors(g: np.ndarray, k: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
 
 
 def form_matrices(gammas: DataFrame, n1: int) -> DataFrame:
-    """Gram matrices g0 to g3, weak derivatives d0 to d2 and up energies e0 and e1, in one pass over ``gamma_rows``.
+    """Gram matrices g0 to g3, weak derivatives d0 to d2 and up energies e0 to e2, in one pass over ``gamma_rows``.
 
     ``n1`` is the number of modes used. Index of a k-form entry: mode * C(3, k) + component. Each task adds up its own
     points and sends one partial matrix set for each cloud; memory is that of the matrices and one batch.
@@ -93,3 +93,22 @@ def _one_batch(part: pd.DataFrame, n1: int) -> Iterator[tuple[str, np.ndarray]]:
     yield "e0", np.einsum("p,pij->ij", mu, inner)
     curl = np.einsum("p,pil,pjk->ijlk", mu, inner, metric, optimize=True) - np.einsum("p,pki,pjl->ijlk", mu, mixed, mixed, optimize=True)
     yield "e1", flat(curl)
+    yield "e2", flat(_up_two(mu, metric, mixed, inner))
+
+
+def _up_two(mu: np.ndarray, metric: np.ndarray, mixed: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Up energy of 2-forms: det D times (inner less the part that D explains), D the metric on rows J and columns K."""
+    n1 = inner.shape[1]
+    out = np.zeros((n1, len(PAIRS), n1, len(PAIRS)))
+    for j, rows in enumerate(PAIRS):
+        for k, cols in enumerate(PAIRS):
+            d = metric[:, rows][:, :, cols]
+            det = np.linalg.det(d)
+            inverse, sound = np.empty_like(d), np.abs(det) > 1e-8
+            inverse[sound] = np.linalg.inv(d[sound])
+            for p in np.flatnonzero(~sound):  # singular values over 1e-8 are inverted
+                u, s, v = np.linalg.svd(d[p])
+                inverse[p] = (v.T * np.where(s > 1e-8, 1 / np.maximum(s, 1e-8), 0)) @ u.T
+            explained = np.einsum("pki,pkj,pjl->pil", mixed[:, cols], inverse, mixed[:, rows], optimize=True)
+            out[:, j, :, k] = np.einsum("p,pil->il", mu * det, inner - explained)
+    return out

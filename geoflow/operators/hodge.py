@@ -27,7 +27,7 @@ def pseudo_inverse(m: np.ndarray, rcond: float = RCOND) -> np.ndarray:
     return (vectors[:, kept] / values[kept]) @ vectors[:, kept].T
 
 
-def _dense(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+def dense(rows: pd.DataFrame) -> dict[str, np.ndarray]:
     out = {}
     for name, part in rows.groupby("name"):
         m = np.zeros((part["row"].max() + 1, part["col"].max() + 1))
@@ -40,7 +40,7 @@ def _per_cloud(matrices: DataFrame, names: list[str], made: str, step: Callable[
     """One matrix ``made`` from the ``names`` of each cloud that has them all."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _dense(rows)
+        found = dense(rows)
         m = step(*[found[n] for n in names]) if len(found) == len(set(names)) else np.zeros((0, 0))
         r, c = np.indices(m.shape)
         return pd.DataFrame({"cloud_id": rows["cloud_id"].iat[0], "name": made, "row": r.ravel(), "col": c.ravel(), "value": m.ravel()})
@@ -90,7 +90,7 @@ def spectrum(laplacian: DataFrame, mass: DataFrame, rcond: float = RCOND) -> Dat
     both = laplacian.withColumn("name", F.lit("l")).union(mass.select(*laplacian.columns).withColumn("name", F.lit("m")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _dense(rows)
+        found = dense(rows)
         if len(found) < 2 or found["l"].shape != found["m"].shape:
             return pd.DataFrame(columns=["cloud_id", "mode", "lambda", "coefficients"], dtype=object)
         lam, vectors = _whitened(found["l"], found["m"], rcond)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.fields import glyph_faces, glyph_vertices
+
 
 def _write_lines(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("cloud_id", "at").sortWithinPartitions("cloud_id", "at").select("cloud_id", "line").write.partitionBy("cloud_id").text(path)
@@ -41,3 +43,36 @@ def write_points_csv(points: DataFrame, columns: list[str], path: str) -> None:
     """Comma-separated columns of each cloud in order of points, under a header."""
     head = points.select("cloud_id").distinct().select("cloud_id", F.lit(-1).cast("long").alias("at"), F.lit(",".join(columns)).alias("line"))
     _write_lines(head.union(_body(points, columns, ",")), path)
+
+
+def write_heat_obj(points: DataFrame, faces: DataFrame | None, path: str) -> None:
+    """OBJ of coloured points (red, green, blue bytes) and their faces, or without faces ``p`` lines of 1,000 points.
+
+    Where the number of points is a multiple of 1,000 a bare ``p`` line ends the file.
+    """
+    at = lambda section, place: F.struct(F.lit(section).alias("section"), place.cast("long").alias("place")).alias("at")
+    numbers = [F.col(c).cast("string") for c in "xyz"] + [(F.col(c) / 255).cast("string") for c in ("red", "green", "blue")]
+    lines = points.select("cloud_id", at(0, F.col("point_id")), F.concat_ws(" ", F.lit("v"), *numbers).alias("line"))
+    if faces is not None:
+        corners = [(F.col(f"v{i}") + 1).cast("string") for i in range(3)]
+        more = faces.select(F.col("mesh_id").alias("cloud_id"), at(1, F.col("face_id")), F.concat_ws(" ", F.lit("f"), *corners).alias("line"))
+    else:
+        rows = points.select("cloud_id", F.floor(F.col("point_id") / 1000).alias("part"), (F.col("point_id") + 1).alias("number"))
+        rows = rows.groupBy("cloud_id", "part").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+        last = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n")).filter("n % 1000 = 0")
+        rows = rows.union(last.select("cloud_id", (F.col("n") / 1000).cast("long"), F.array().cast("array<long>")))
+        more = rows.select("cloud_id", at(1, F.col("part")), F.concat_ws(" ", F.lit("p"), F.col("numbers").cast("array<string>")).alias("line"))
+    _write_lines(lines.union(more), path)
+
+
+def write_solid_ply(points: DataFrame, path: str, radius: float = 0.01) -> None:
+    """ASCII PLY in which each coloured point is a tetrahedron of four vertices and four faces."""
+    at = lambda section, place: F.struct(F.lit(section).alias("section"), place.cast("long").alias("place")).alias("at")
+    colours = points.select("cloud_id", "point_id", "red", "green", "blue")
+    corners = glyph_vertices(points, radius).withColumn("point_id", F.expr("vertex_id div 4")).join(colours, ["cloud_id", "point_id"])
+    shown = corners.select("cloud_id", at(1, F.col("vertex_id")), F.concat_ws(" ", *[F.col(c).cast("string") for c in ("x", "y", "z", "red", "green", "blue")]).alias("line"))
+    sides = glyph_faces(points).select(F.col("mesh_id").alias("cloud_id"), at(2, F.col("face_id")), F.concat_ws(" ", F.lit("3"), *[F.col(f"v{i}").cast("string") for i in range(3)]).alias("line"))
+    names = "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue"))
+    n = points.groupBy("cloud_id").agg((4 * F.count(F.lit(1))).alias("n"))
+    text = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), F.col("n"), F.lit(f"\n{names}element face "), F.col("n"), F.lit("\nproperty list uchar int vertex_index\nend_header"))
+    _write_lines(n.select("cloud_id", at(0, F.lit(0)), text.alias("line")).union(shown).union(sides), path)

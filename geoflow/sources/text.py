@@ -1,11 +1,13 @@
-"""Readers of text files with points: CSV and OBJ. Ids follow the order of lines inside each file."""
+"""Readers of text files with points: CSV, OBJ and PLY. Ids follow the order of lines inside each file."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import gapless_rank
+from ..functions.tables import pin
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,3 +40,53 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     right = (F.size("v") == 3) & F.forall("v", lambda v: F.coalesce(v >= 0, F.lit(False)))
     sound = faces.filter(right).select("file", "at", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(3)])
     return _with_ids(points, "point_id").select("file", "point_id", "x", "y", "z"), _with_ids(sound, "face_id").select("file", "face_id", "v0", "v1", "v2"), faces.filter(~right).select("file", "line")
+
+
+def read_obj_colours(spark: SparkSession, path: str) -> DataFrame:
+    """(file, point_id, x, y, z, red, green, blue) of OBJ vertices; colours are null unless every vertex of the file has them.
+
+    Colours over 1 are taken as bytes, for the whole file; results lie in 0 to 1. Lines with fewer than three numbers go.
+    """
+    rows = numbered_lines(spark, path).withColumn("t", F.split(F.trim("line"), r"\s+")).filter(F.get("t", F.lit(0)) == "v")
+    names = ("x", "y", "z", "red", "green", "blue")
+    rows = rows.select("file", "at", *[F.get("t", F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(names)]).dropna(subset=names[:3])
+    whole = F.count_if(F.col("red").isNull() | F.col("green").isNull() | F.col("blue").isNull()) == 0
+    files = rows.groupBy("file").agg(whole.alias("__all"), F.max(F.greatest("red", "green", "blue")).alias("__most"))
+    rows = _with_ids(rows, "point_id").join(files, "file")
+    scale = F.when(F.col("__most") > 1, 255.0).otherwise(1.0)
+    colours = [F.when(F.col("__all"), F.least(F.greatest(F.col(n) / scale, F.lit(0.0)), F.lit(1.0))).alias(n) for n in names[3:]]
+    return rows.select("file", "point_id", *names[:3], *colours)
+
+
+def read_ply(spark: SparkSession, path: str, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """(file, point_id, *columns) of ASCII PLY vertices; a property that a file lacks is null, rows too short are dropped.
+
+    Only header lines of a file meet in one task; list properties and comments are passed over. Files that are
+    not ASCII PLY have no rows.
+    """
+    lines = pin(gapless_rank(numbered_lines(spark, path), ["file"], [F.col("at")], "nth").select("file", "nth", F.trim("line").alias("line")))
+    ends = lines.filter("line = 'end_header'").groupBy("file").agg(F.min("nth").alias("end"))
+
+    def header(rows: pd.DataFrame) -> pd.DataFrame:
+        names, count, inside = [], 0, False
+        at = rows.sort_values("nth")["line"].tolist()
+        for word in map(str.split, at):
+            if word[:1] == ["element"]:
+                inside = word[1] == "vertex"
+                count = int(word[2]) if inside else count
+            elif word[:1] == ["property"] and inside and len(word) >= 3 and word[1] != "list":
+                names.append(word[2])
+        sound = at[0] == "ply" and "ascii" in at[1]
+        return pd.DataFrame({"file": [rows["file"].iat[0]], "end": [rows["end"].iat[0]], "n": [count if sound else 0], "names": [names]})
+
+    heads = lines.join(ends, "file").filter("nth < end").groupBy("file").applyInPandas(header, "file string, end long, n long, names array<string>")
+    body = lines.join(heads, "file").filter("nth > end and nth <= end + n").withColumn("t", F.split("line", r"\s+")).filter(F.size("t") >= F.size("names"))
+    values = F.map_from_arrays("names", F.slice("t", F.lit(1), F.size("names")))
+    rows = body.select("file", F.col("nth").alias("at"), *[F.try_element_at(values, F.lit(c)).try_cast("double").alias(c) for c in columns])
+    return _with_ids(rows, "point_id").select("file", "point_id", *columns)
+
+
+def read_numeric_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of CSV files with a header as doubles; cells that are missing or no numbers are NaN."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(*[F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(float("nan"))).alias(c) for c in rows.columns])
