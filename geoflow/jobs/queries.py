@@ -219,22 +219,6 @@ def q5_relative_error(spark, sf_dir):
     return shown(compare.relative_error(a, b), "cloud_id")
 
 
-N_BASIS = 6
-
-
-def e2_eigenbasis(spark, sf_dir):
-    """Products of the basis functions in the measure: 1 on the diagonal, 0 off it."""
-    g = graph(spark, sf_dir)
-    basis = spectral.eigenbasis(g.symk, g.nodes, N_BASIS, rounds=2)[0].join(g.nodes.select("cloud_id", "point_id", "mu"), ["cloud_id", "point_id"])
-    terms = basis.select("mu", "phi", F.posexplode("phi").alias("i", "x")).select("i", F.posexplode(F.transform("phi", lambda y: F.col("mu") * F.col("x") * y)).alias("j", "t"))
-    return shown(terms.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum("t").alias("product")), "i", "j", digits=4)
-
-
-def e3_eigenvalues(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return shown(spectral.eigenbasis(g.symk, g.nodes, N_BASIS, rounds=2)[1], "cloud_id", "mode", digits=4)
-
-
 def e4_condition(spark, sf_dir):
     return shown(spectral.condition(matrices(spark, sf_dir, graph(spark, sf_dir))), "cloud_id", digits=2)
 
@@ -291,7 +275,7 @@ QUERIES = (
     m1_incidence, m2_one_ring, m3_csr_offsets, m4_face_normals, m5_curvature, m7_flow_step, m8_flow, n1_knn, n1_knn_clouds, n2_local_bandwidth,
     n4_kernel_tuning, n9_markov, n10_symmetric, n14_nodes, d1_markov_step, d3_heat_run, d4_carre_du_champ, d8_data_immersion, f_form_matrices,
     f13_hodge_laplacian, f14_hodge_spectrum, f18_dual_vectors, f24_ambient_field,
-    e2_eigenbasis, e3_eigenvalues, e4_condition, f11_up_laplacian, f17_projection, f20_wedge, f21_wedge_operator, f23_circular_coordinates, q2_subspaces, q7_composite_score,
+    e4_condition, f11_up_laplacian, f17_projection, f20_wedge, f21_wedge_operator, f23_circular_coordinates, q2_subspaces, q7_composite_score,
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
 )
 

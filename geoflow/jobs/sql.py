@@ -168,7 +168,6 @@ select cloud_id, conjugate, {each("correlation mean p95 most")} from g qualify r
 
 SUBSPACES = "select cloud_id, degrees(acos(least(1.0, abs(sum(x * (x + y / 2))) / sqrt(sum(x * x) * sum((x + y / 2) * (x + y / 2)))))) as angle, sqrt(greatest(0, sum(x * x) + sum((x + y / 2) * (x + y / 2)) - 2 * abs(sum(x * (x + y / 2))))) / sqrt(sum(x * x)) as procrustes from pts group by cloud_id"
 SQL |= {
-    "e2_eigenbasis": f"with {EMBED}, n as (select unnest(range(6)) as i from (select count(*) from pts)) select a.i, b.i as j, cast(case when a.i = b.i then 1 else 0 end as double) as product from n a, n b",
     "f17_projection": f"with {EMBED}, n as (select unnest(range(4)) as i from (select count(*) from pts)) select i, cast(case when i = 2 then 1 else 0 end as double) as c from n",
     "q2_subspaces": f"with {LABEL}, s as ({SUBSPACES}) select cloud_id, {each('angle procrustes')} from s",
     "q7_composite_score": f"with {LABEL}, s as ({SUBSPACES}), c as ({SQL['q4_circular_agreement']}) select {r('0.35 * max(angle) / 90 + 0.35 * max(procrustes) + 0.15 * (1 - min(correlation)) + 0.15 * max(p95) / pi()', 'score', 4)} from s join c using (cloud_id)",
