@@ -34,7 +34,7 @@ class WordEncoder(dict):
     Other words go through the whole library. Each new word is looked up once; what is remembered is bounded.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
