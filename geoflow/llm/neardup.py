@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -15,22 +17,35 @@ from pyspark.sql.window import Window
 from ..functions.tables import partitions, pin
 from .common import small_batches
 
-#: Bands and rows of each: a pair at similarity 0.85 shares no band with a chance of 1.2e-5, at 0.8 of 7e-4.
-BANDS, ROWS = 24, 6
-MINIMA = BANDS * ROWS
+#: Bands and rows of each, the first that shares no band at the threshold with a chance of at most ``MISS``:
+#: 24 x 6 from 0.85 on (1.2e-5), 32 x 5 from 0.8 on (3e-6; 24 x 6 would miss 7e-4 there), and so on.
+SCHEMES, MISS = ((24, 6), (32, 5), (44, 4), (64, 3), (80, 2), (160, 1)), 1.2e-5
 #: Bits kept of each minimum, packed sixteen to a long.
 BITS = 4
-#: Shares of estimate below the threshold at which a pair is still confirmed: about five standard deviations.
-MARGIN = 0.15
+#: Shares of estimate below the threshold at which a pair is still confirmed, from 0.85 on and below: about five standard deviations.
+MARGIN, WIDE_MARGIN = 0.15, 0.16
 #: Members up to which a set is compared whole, by 16-bit codes; of larger ones a share.
 CODES = 512
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 1024
 
-_rng = np.random.default_rng(5)
-_MULTIPLY = (_rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1))[:, None]
-_ADD = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
-_BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+
+def scheme(percent: int) -> tuple[int, int]:
+    """Bands and rows of each for a threshold."""
+    return next((x for x in SCHEMES if (1 - (percent / 100) ** x[1]) ** x[0] <= MISS), SCHEMES[-1])
+
+
+def margin(percent: int) -> float:
+    return MARGIN if percent >= 85 else WIDE_MARGIN
+
+
+@functools.cache
+def _hashes(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and summands of the minima's hash functions, and factors of the band keys."""
+    rng = np.random.default_rng(5)
+    multiply = (rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1))[:, None]
+    add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)[:, None]
+    return multiply, add, rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,20 +68,21 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(at)
 
 
-def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signature(found: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys from the full minima, and the minima's low bits packed into longs."""
     x = (found >> np.uint64(32)).astype(np.uint32)
-    least = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
+    multiply, add, factors = _hashes(bands, rows)
+    least = np.full(bands * rows, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(x), 1024):
-        least = np.minimum(least, (_MULTIPLY * x[None, i : i + 1024] + _ADD).min(axis=1))
+        least = np.minimum(least, (multiply * x[None, i : i + 1024] + add).min(axis=1))
     wide = _mix(least.astype(np.uint64) + np.uint64(1))
-    keys = _mix((wide.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    keys = _mix((wide.reshape(bands, rows) * factors).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
     low = ((wide >> np.uint64(40)) & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
     packed = (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
     return keys.view(np.int64), packed.view(np.int64)
 
 
-def estimate(a: Column | str, b: Column | str) -> Column:
+def estimate(a: Column | str, b: Column | str, minima: int) -> Column:
     """Similarity from packed bits: equal groups of bits are counted and corrected for chance collisions."""
     ones = int("0001" * 16, 2)
 
@@ -75,7 +91,7 @@ def estimate(a: Column | str, b: Column | str) -> Column:
         d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
         return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(ones))
 
-    equal = 1 - F.aggregate(F.zip_with(a, b, unlike), F.lit(0), lambda n, d: n + d) / F.lit(float(MINIMA))
+    equal = 1 - F.aggregate(F.zip_with(a, b, unlike), F.lit(0), lambda n, d: n + d) / F.lit(float(minima))
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
@@ -117,11 +133,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     that share a band key are candidates. Round one links each member of a band bucket with the bucket's hub
     (its member of least hash), so that candidates grow linearly. Round two compares, in blocks, only those
     members of a bucket that round one left in different components; members of one component need no
-    comparison. The packed low bits discard pairs estimated below the threshold less ``MARGIN``; the others are
+    comparison. The packed low bits discard pairs estimated below the threshold less ``margin``; the others are
     confirmed on whole sets. Null text, and text without words, has 0 shingles and is linked with nothing. Rows of
     null id get the component of their class, or null; rows of one id and text share a component.
     """
     small_batches(df.sparkSession)
+    n_bands, n_rows = scheme(percent)
     ids = df.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
 
     @F.pandas_udf("n long, key binary, bands array<long>, low array<long>")
@@ -130,7 +147,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
             rows = []
             for t in texts:
                 found = shingles(t, width)
-                rows.append((len(found), blake2b(found.tobytes(), digest_size=16).digest(), *signature(found)) if len(found) else (0, None, None, None))
+                rows.append((len(found), blake2b(found.tobytes(), digest_size=16).digest(), *signature(found, n_bands, n_rows)) if len(found) else (0, None, None, None))
             yield pd.DataFrame(rows, columns=["n", "key", "bands", "low"])
 
     base = pin(ids.select("node", sketch("__text").alias("s")).select("node", "s.*"))
@@ -152,7 +169,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     def likely(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(slim.toDF("a", "__na", "__la"), "a").join(slim.toDF("b", "__nb", "__lb"), "b")
         rows = rows.filter(100 * F.least("__na", "__nb") >= percent * F.greatest("__na", "__nb"))
-        return rows.filter(estimate("__la", "__lb") >= percent / 100 - MARGIN).select("a", "b")
+        return rows.filter(estimate("__la", "__lb", n_bands * n_rows) >= percent / 100 - margin(percent)).select("a", "b")
 
     tried = likely(banded.filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
     links = pin(_confirmed(tried, sets, percent))
@@ -184,15 +201,15 @@ def sample_codes(all_hashes: Column) -> Column:
 
 def _compare_cell(x: pd.DataFrame, y: pd.DataFrame, percent: int, out: list[tuple[int, int]]) -> None:
     """Adds pairs of a row of x and one of y that lie in different components and may be similar enough."""
-    ones, least = np.uint64(int("0001" * 16, 2)), percent / 100
-    need = (least - MARGIN) * (1 - 2.0**-BITS) + 2.0**-BITS
+    ones, least, minima = np.uint64(int("0001" * 16, 2)), percent / 100, math.prod(scheme(percent))
+    need = (least - margin(percent)) * (1 - 2.0**-BITS) + 2.0**-BITS
     lows, n_y, c_y, id_y = np.stack(y["low"].to_numpy()).view(np.uint64), y["n"].to_numpy(), y["component"].to_numpy(), y["node"].to_numpy()
     codes = [np.asarray(c) for c in y["codes"]]
     for low, n, c, node, mine in zip(x["low"], x["n"], x["component"], x["node"], x["codes"], strict=True):
         d = lows ^ np.asarray(low).view(np.uint64)[None, :]
         d |= d >> np.uint64(1)
         d |= d >> np.uint64(2)
-        equal = 1 - np.bitwise_count(d & ones).sum(axis=1, dtype=np.int64) / MINIMA
+        equal = 1 - np.bitwise_count(d & ones).sum(axis=1, dtype=np.int64) / minima
         ok = np.flatnonzero((equal >= need) & (c_y != c) & (100 * np.minimum(n_y, n) >= percent * np.maximum(n_y, n)))
         if not len(ok):
             continue
@@ -258,12 +275,12 @@ def cross_candidates(rest: DataFrame, percent: int) -> DataFrame:
     return cells.mapInPandas(compare, "a long, b long").distinct()
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group; of rows with one id and group the first by text.
 
-    Rows of null id are kept, each by itself.
+    Groups are of similarity ``percent`` or more on five-word shingles. Rows of null id are kept, each by itself.
     """
-    found = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text)
+    found = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text, percent=percent)
     losers = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
     rows = df.join(losers, id_col, "left_anti").select(df.columns)
     once = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(text)
