@@ -12,14 +12,10 @@ from geoflow.functions.tables import pin, table
 from geoflow.llm import decontaminate, language, lines, neardup, packing
 from geoflow.llm.queries import CONTEXT, SITES, tokenizer_file
 
-#: A document is rejected if no language is found or its best language's share of the score is below this.
-LEAST_SHARE = 0.26
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those that resemble none of the languages."""
-    found = language.with_language(docs, language.train(docs, F.lit(True)))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    return language.spoken_rows(docs, language.train(docs, F.lit(True)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

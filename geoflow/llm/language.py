@@ -17,6 +17,8 @@ WIDTH, ORDERS = 1 << 15, 4
 #: Labelled documents of each language that are learned from, and landmarks among them.
 TRAIN, LANDMARKS = 300, 16
 RIDGE = 1e-2
+#: A language's bound of resemblance: this share of what all but one in a hundred of its labelled documents reach.
+BOUND_SHARE, BOUND_QUANTILE = 0.5, 0.01
 #: Documents and code points of one matrix product.
 BLOCK, BLOCK_CHARS = 64, 400_000
 
@@ -40,16 +42,46 @@ def presence(texts: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Landmarks as packed presence bits, and for each the weight of each language."""
+    """Landmarks as packed presence bits, for each the weight of each language and its own, and each language's bound of resemblance."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    owners: np.ndarray
+    bounds: np.ndarray
 
 
-def kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+def overlap(x: np.ndarray, z: np.ndarray, both: np.ndarray | None = None) -> np.ndarray:
+    """Shared n-grams over the smaller of both numbers, so that short and very long texts are not put at a disadvantage."""
+    return (x @ z.T if both is None else both) / np.maximum(np.minimum(x.sum(1)[:, None], z.sum(1)[None, :]), 1)
+
+
+def nearest(overlaps: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Each row's largest overlap with a landmark of each language."""
+    out = np.zeros((len(overlaps), n))
+    for k in range(n):
+        out[:, k] = overlaps[:, owners == k].max(1, initial=0)
+    return out
+
+
+def bounds_of(x: np.ndarray, label: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
+    """Each language's bound, from its labelled rows' overlap with its landmarks other than themselves.
+
+    A language of one row has nothing to compare and takes the least bound of the others; 0 if there is none.
+    """
+    out = np.full(n, np.nan)
+    for k in range(n):
+        rows, marks = np.flatnonzero(label == k), chosen[label[chosen] == k]
+        if len(rows) > 1:
+            found = np.where(rows[:, None] == marks[None, :], -1, overlap(x[rows], x[marks])).max(1)
+            found = found[found >= 0]
+            out[k] = BOUND_SHARE * np.quantile(found, BOUND_QUANTILE)
+    return np.nan_to_num(out, nan=np.nanmin(out) if (~np.isnan(out)).any() else 0.0)
+
+
+def kernel(x: np.ndarray, z: np.ndarray, both: np.ndarray | None = None) -> np.ndarray:
     """Shared n-grams over the geometric mean of both numbers, as one matrix product."""
-    return (x @ z.T) / np.sqrt(np.maximum(x.sum(1), 1)[:, None] * np.maximum(z.sum(1), 1)[None, :])
+    return (x @ z.T if both is None else both) / np.sqrt(np.maximum(x.sum(1), 1)[:, None] * np.maximum(z.sum(1), 1)[None, :])
 
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
@@ -68,13 +100,17 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     target = np.where(label[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
     gram = phi.T @ (phi * share[:, None]) + RIDGE / len(x) * np.eye(phi.shape[1])
     solved = np.linalg.solve(gram, phi.T @ (target * share[:, None]))
-    return Model(languages, np.packbits(z.astype(bool), axis=1), np.r_[root @ solved[:-1], solved[-1:]].astype(np.float32))
+    return Model(languages, np.packbits(z.astype(bool), axis=1), np.r_[root @ solved[:-1], solved[-1:]].astype(np.float32), label[chosen], bounds_of(x, label, chosen, len(languages)))
 
 
-def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The language of each text and a score in (0, 1): the soft-max share of its margin."""
+def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language of each text, a score in (0, 1), the soft-max share of its margin, and its resemblance.
+
+    Resemblance is the largest overlap with a language's landmarks, over that language's bound: below 1 a text is
+    unlike labelled documents of every language. A further language can raise it but never lower it.
+    """
     z = np.unpackbits(model.landmarks, axis=1).astype(np.float32)
-    names, scores = [], []
+    names, scores, alike = [], [], []
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -82,16 +118,21 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
             size += len(texts[j])
             j += 1
         part = texts[i:j]
-        margins = np.c_[kernel(presence(part).astype(np.float32), z), np.ones(len(part), dtype=np.float32)] @ model.weights
+        x = presence(part).astype(np.float32)
+        both = x @ z.T
+        margins = np.c_[kernel(x, z, both), np.ones(len(part), dtype=np.float32)] @ model.weights
+        like = nearest(overlap(x, z, both), model.owners, len(model.languages))
+        like = np.where(model.bounds > 0, like / np.where(model.bounds > 0, model.bounds, 1), np.inf).max(1)
         share = np.exp(3 * (margins - margins.max(1, keepdims=True)))
         best = margins.argmax(1)
         found = share[np.arange(len(part)), best] / share.sum(1)
-        for t, k, s in zip(part, best, found, strict=True):
+        for t, k, s, r in zip(part, best, found, like, strict=True):
             spoken = any(map(str.isalpha, t))
             names.append(model.languages[k] if spoken else "und")
             scores.append(float(s) if spoken else 0.0)
+            alike.append(float(r) if spoken else 0.0)
         i = j
-    return names, np.array(scores)
+    return names, np.array(scores), np.array(alike)
 
 
 def train(df: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
@@ -124,12 +165,29 @@ def with_language(df: DataFrame, model: Model | None, text: str = "text") -> Dat
     small_batches(df.sparkSession)
     if model is None:
         return df.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    rows = _predicted(df.drop("lang_pred", "score"), model, text)
+    return rows.select(*[c for c in rows.columns if c != "__found"], "__found.lang_pred", "__found.score")
+
+
+def spoken_rows(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has letters and resembles a language of the model (see ``predict``).
+
+    Neither the languages' number nor the text's length decides. Without a model all texts with letters stay.
+    """
+    small_batches(df.sparkSession)
+    if model is None:
+        return df.filter(F.col(text).rlike(r"\p{L}"))
+    found = _predicted(df, model, text).filter((F.col("__found.lang_pred") != "und") & (F.col("__found.resemblance") >= 1))
+    return found.drop("__found")
+
 
-    @F.pandas_udf("lang_pred string, score double")
+def _predicted(df: DataFrame, model: Model, text: str) -> DataFrame:
+    """``df`` with what ``predict`` finds as the struct ``__found``."""
+
+    @F.pandas_udf("lang_pred string, score double, resemblance double")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, scores = predict(model, texts.tolist())
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            names, scores, alike = predict(model, texts.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "resemblance": alike})
 
-    rows = df.drop("lang_pred", "score").withColumn("__found", found(F.coalesce(F.col(text), F.lit(""))))
-    return rows.select(*[c for c in rows.columns if c != "__found"], "__found.lang_pred", "__found.score")
+    return df.withColumn("__found", found(F.coalesce(F.col(text), F.lit(""))))

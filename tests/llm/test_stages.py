@@ -1,7 +1,9 @@
 """Stages of the pipeline on inputs of their own, against brute force."""
 
 import numpy as np
+import pytest
 
+import corpus_pipeline
 from geoflow.llm import neardup
 
 
@@ -30,8 +32,6 @@ def test_pipeline_drops_near_copies_from_080_up(spark):
                 copy[at + int(rng.integers(0, 10))] = f"other{i}x{at}"
             texts[3 * i + more] = " ".join(copy)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    import corpus_pipeline
-
     want = {d for d, g in brute_components(texts, 80).items() if d == g}
     assert len(want) == 80
     assert {r.doc_id for r in corpus_pipeline.dedup_documents(spark, df, "").collect()} == want
@@ -43,3 +43,30 @@ def test_bands_miss_few_pairs_at_each_threshold():
         bands, rows = neardup.scheme(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= 1.2e-5 and bands * rows % 16 == 0
     assert neardup.scheme(85) == (24, 6)
+
+
+@pytest.mark.parametrize("n", [2, 4, 20])
+def test_language_stage_keeps_and_rejects_alike_for_any_number_of_languages(spark, n):
+    rng = np.random.default_rng(8)
+
+    def sampler():
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 14, replace=False)
+        words = ["".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(400)]
+        chance = 1 / np.arange(1, 401)
+        return lambda size: " ".join(rng.choice(words, size, p=chance / chance.sum()))
+
+    rows = []
+    for k in range(n):
+        say = sampler()
+        rows += [(say(rng.integers(60, 300)), f"l{k}") for _ in range(24)]
+        rows += [(say(size), None) for size in (5, 20, 6000)]
+    clean = set(range(len(rows)))
+    odd = [chr(c) for c in range(0x3B1, 0x3C9)]
+    rows += [(" ".join("".join(rng.choice(odd, 6)) for _ in range(100)), None), ("12 34 !", None), ("", None), (None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()} == clean
+
+
+def test_language_stage_without_labels_keeps_what_has_letters(spark):
+    df = spark.createDataFrame([(0, "plain words", None), (1, "12 !", None), (2, None, None), (3, "日本", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()} == {0, 3}
