@@ -17,6 +17,8 @@ WIDTH, ORDERS = 1 << 15, 4
 #: Labelled documents of each language that are learned from, and landmarks among them.
 TRAIN, LANDMARKS = 300, 16
 RIDGE = 1e-2
+#: Different values of the language column up to which a model is fitted; above, ``train`` raises an error.
+MOST_LANGUAGES = 400
 #: A language's bound of resemblance: this share of what all but one in a hundred of its labelled documents reach.
 BOUND_SHARE, BOUND_QUANTILE = 0.5, 0.01
 #: Documents and code points of one matrix product.
@@ -139,11 +141,14 @@ def train(df: DataFrame, allowed: Column, text: str = "text", lang: str = "lang"
     """Fit on at most about ``TRAIN`` documents of each language among the ``allowed`` rows with text and language.
 
     All rows are counted; those of least hash are taken, evenly for each language, so that rows' order plays no
-    part. What comes to the driver is ``WIDTH`` bits a document. None if there is nothing to learn from.
+    part. What comes to the driver is ``WIDTH`` bits a document. None if there is nothing to learn from. More than
+    ``MOST_LANGUAGES`` languages are an error: none is left out in silence.
     """
     small_batches(df.sparkSession)
     rows = df.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(400).collect()  # as many languages as a model can hold
+    counts = rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"column {lang} has more than {MOST_LANGUAGES} different values; clean it or raise language.MOST_LANGUAGES")
     if not counts:
         return None
     share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(1.0 if r[1] <= TRAIN else TRAIN / r[1]))])

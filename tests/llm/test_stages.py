@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from geoflow.llm import neardup
+from geoflow.llm import language, neardup
 
 
 def brute_components(texts: dict[int, str], percent: int) -> dict[int, int]:
@@ -70,3 +71,16 @@ def test_language_stage_keeps_and_rejects_alike_for_any_number_of_languages(spar
 def test_language_stage_without_labels_keeps_what_has_letters(spark):
     df = spark.createDataFrame([(0, "plain words", None), (1, "12 !", None), (2, None, None), (3, "日本", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()} == {0, 3}
+
+
+def test_no_language_is_left_out_in_silence(spark):
+    rows = [(i, f"text of language {i % n}", f"l{i % n}") for n in (400, 401) for i in range(n)]
+    df = spark.createDataFrame(rows[400:], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 400"):
+        language.train(df, F.lit(True))
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([(i, f"text {i}", ("a", "a", "b", "c")[i]) for i in range(4)], "doc_id long, text string, lang string")
+    assert language.train(df, F.lit(True)).languages == ["a", "b", "c"]
