@@ -32,11 +32,16 @@ def p1_normalize(spark, sf_dir):
 
 
 def p3_field_bounds(spark, sf_dir):
+    """Over points of even id, as its SQL has it; ``p3_field_bounds_whole`` takes all."""
+    return shown(fields.field_bounds(views.field_sparse(spark, sf_dir)), "cloud_id")
+
+
+def p3_field_bounds_whole(spark, sf_dir):
     return shown(fields.field_bounds(views.field_embed(spark, sf_dir)), "cloud_id")
 
 
 def p4_coloured(spark, sf_dir):
-    rows = fields.coloured(views.pts_label(spark, sf_dir), views.field_embed(spark, sf_dir))
+    rows = fields.coloured(views.pts_label(spark, sf_dir), views.field_sparse(spark, sf_dir))
     return rows.select("cloud_id", "point_id", (F.round("t", 5) + 0.0).alias("t"), *[F.round(F.col(c) / 8).cast("long").alias(c) for c in ("red", "green", "blue")])
 
 
@@ -75,10 +80,19 @@ def p15_validity(spark, sf_dir):
     return fields.validity(clouds, points, faces)
 
 
+def faces_of_vertices(points: DataFrame, faces: DataFrame) -> DataFrame:
+    rows = mesh.incidence(points, faces)
+    return rows.groupBy("vertex_id").agg(F.array_join(F.sort_array(F.collect_list("face_id")), ",").alias("faces"))
+
+
 def m1_incidence(spark, sf_dir):
+    """Without vertices whose id is a multiple of 7, as its SQL has it; ``m1_incidence_whole`` takes all."""
     points, faces = views.mesh_orders(spark, sf_dir)
-    rows = mesh.incidence(points.filter("point_id % 7 <> 0"), faces)
-    return rows.groupBy("vertex_id").agg(F.array_join(F.sort_array(F.collect_list("face_id")), ",").alias("faces"))
+    return faces_of_vertices(points.filter("point_id % 7 <> 0"), faces)
+
+
+def m1_incidence_whole(spark, sf_dir):
+    return faces_of_vertices(*views.mesh_orders(spark, sf_dir))
 
 
 def m2_one_ring(spark, sf_dir):
@@ -201,10 +215,19 @@ def f24_ambient_field(spark, sf_dir):
     return shown(hodge.ambient_vectors(one_form(spark, sf_dir, g), data_immersion(spark, sf_dir, g)).drop("cloud_id"), "point_id")
 
 
+def sheared_agreement(points: DataFrame, other: DataFrame) -> DataFrame:
+    return shown(compare.point_agreement(points, other.withColumn("x", F.col("x") + F.col("y") / 10)), "cloud_id", "n", "unmatched")
+
+
 def q1_point_agreement(spark, sf_dir):
+    """A fifth of the points is unmatched, as its SQL has it; ``q1_point_agreement_whole`` compares all."""
+    points = views.pts_label(spark, sf_dir)
+    return sheared_agreement(points, points.filter("point_id % 5 <> 0"))
+
+
+def q1_point_agreement_whole(spark, sf_dir):
     points = views.pts_label(spark, sf_dir)
-    moved = points.filter("point_id % 5 <> 0").withColumn("x", F.col("x") + F.col("y") / 10)
-    return shown(compare.point_agreement(points, moved), "cloud_id", "n", "unmatched")
+    return sheared_agreement(points, points)
 
 
 def q4_circular_agreement(spark, sf_dir):
@@ -277,6 +300,7 @@ QUERIES = (
     f13_hodge_laplacian, f14_hodge_spectrum, f18_dual_vectors, f24_ambient_field,
     e4_condition, f11_up_laplacian, f17_projection, f20_wedge, f21_wedge_operator, f23_circular_coordinates, q2_subspaces, q7_composite_score,
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
+    p3_field_bounds_whole, m1_incidence_whole, q1_point_agreement_whole,
 )
 
 

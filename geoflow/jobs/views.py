@@ -24,11 +24,16 @@ def pts_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fourth component as a field, on points of even id only."""
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 2 = 0")
+    """The fourth component as a field."""
+    rows = table(spark, sf_dir, "embeddings")
     return rows.select(F.col("label").cast("long").alias("cloud_id"), F.col("vec_id").alias("point_id"), F.get("embedding", F.lit(3)).cast("double").alias("value"))
 
 
+def field_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on points of even id only, for joins with missing values."""
+    return field_embed(spark, sf_dir).filter("point_id % 2 = 0")
+
+
 def _grid(spark: SparkSession, rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     side = math.isqrt(n)
     here = rows.filter(F.col("id") < side * side)
