@@ -100,9 +100,10 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes on ``edges`` (a, b): the component is its smallest node.
 
     Alternating large and small star steps on a distributed edge table, which is pinned after each round;
-    only two numbers a round come to the driver.
+    only two numbers a round come to the driver. The rounds needed grow with the logarithm of the nodes; a table
+    that still changes after ``rounds`` is an error, never a half-done answer.
     """
-    edges = pin(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = pin(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
@@ -110,11 +111,13 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        edges = pin(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct())
+        edges = pin(small.filter("e.b <> e.m").select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     found = edges.groupBy("a").agg(F.min("b").alias("component"))
     return found.select(F.col("a").alias("node"), "component").union(found.select("component", "component").distinct())
 
@@ -126,20 +129,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("__a") + F.size("__b") - both)).select("a", "b")
 
 
+def _shared_ids(base: DataFrame) -> DataFrame:
+    """(a, b): keys of sets that rows of one id have, each with the least of them. Usually there are none."""
+    keyed = base.filter("id is not null and n > 0").select("id", "key")
+    several = keyed.groupBy("id").agg(F.min("key").alias("b"), F.max("key").alias("top")).filter("b <> top")
+    return keyed.join(several.select("id", "b"), "id").filter("key <> b").select(F.col("key").alias("a"), "b").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of ``df``.
+    """(id, n_shingles, component_id), one row for each row of ``df``.
 
-    Rows with equal sets fall into one class at once, by aggregation. Each class has a MinHash signature; classes
-    that share a band key are candidates. Round one links each member of a band bucket with the bucket's hub
-    (its member of least hash), so that candidates grow linearly. Round two compares, in blocks, only those
-    members of a bucket that round one left in different components; members of one component need no
+    Rows with equal sets fall into one class at once, by aggregation. Each class has a number and a MinHash
+    signature; classes that share a band key are candidates. Round one links each member of a band bucket with the
+    bucket's hub (its member of least hash), so that candidates grow linearly. Round two compares, in blocks, only
+    those members of a bucket that round one left in different components; members of one component need no
     comparison. The packed low bits discard pairs estimated below the threshold less ``margin``; the others are
-    confirmed on whole sets. Null text, and text without words, has 0 shingles and is linked with nothing. Rows of
-    null id get the component of their class, or null; rows of one id and text share a component.
+    confirmed on whole sets. component_id is the smallest id of all classes in the component.
+
+    Null text, and text without words, has 0 shingles and is linked with nothing: component_id is the row's own id.
+    Rows of one id but different texts stand for one document: their classes are in one component. Rows of null id
+    get the component of their class (null if no row of it has an id) and link nothing themselves. An empty table
+    gives an empty result; other columns are not looked at.
     """
     small_batches(df.sparkSession)
     n_bands, n_rows = scheme(percent)
-    ids = df.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    ids = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    ids = ids.withColumn("h", F.xxhash64("__text"))
 
     @F.pandas_udf("n long, key binary, bands array<long>, low array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -150,14 +165,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
                 rows.append((len(found), blake2b(found.tobytes(), digest_size=16).digest(), *signature(found, n_bands, n_rows)) if len(found) else (0, None, None, None))
             yield pd.DataFrame(rows, columns=["n", "key", "bands", "low"])
 
-    base = pin(ids.select("node", sketch("__text").alias("s")).select("node", "s.*"))
-    classes = base.filter("n > 0").groupBy("key").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
-    classes = pin(classes.filter("node is not null"))
+    base = pin(ids.select("id", "h", sketch("__text").alias("s")).select("id", "h", "s.*"))
+    classes = base.filter("n > 0").groupBy("key").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("sample"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    classes = pin(classes.filter("sample is not null").withColumn("node", F.monotonically_increasing_id()))
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     banded = pin(banded.join(hubs.select("bucket", F.col("h.node").alias("hub"), "size"), "bucket"))
     slim = classes.select("node", "n", "low")
-    sets = ids.join(banded.select("node").distinct(), "node").groupBy("node").agg(F.min("__text").alias("__text"))
+    wanted = banded.select("node").distinct().join(classes, "node").select("node", "sample.id", "sample.h")
+    sets = ids.join(wanted, ["id", "h"]).groupBy("id", "h", "node").agg(F.min("__text").alias("__text"))  # one of repeated rows
 
     @F.pandas_udf("array<long>")
     def whole_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -172,7 +188,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
         return rows.filter(estimate("__la", "__lb", n_bands * n_rows) >= percent / 100 - margin(percent)).select("a", "b")
 
     tried = likely(banded.filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
-    links = pin(_confirmed(tried, sets, percent))
+    of_key = lambda key, node: classes.select(F.col("key").alias(key), F.col("node").alias(node))
+    shared = _shared_ids(base).toDF("ka", "kb").join(of_key("ka", "a"), "ka").join(of_key("kb", "b"), "kb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = pin(_confirmed(tried, sets, percent)).union(pin(shared))
     parts = pin(connected(links))
 
     rest = banded.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -184,9 +202,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     links = links.union(pin(_confirmed(more, sets, percent)))
     parts = pin(connected(links))
 
-    of_class = classes.select("key", "node").join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    out = base.select("node", "n", "key").join(of_class, "key", "left")
-    return out.select(F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "node").alias("component_id"))
+    linked = classes.select("key", "node", F.col("sample.id").alias("own")).join(parts, "node", "left")
+    least = linked.filter("component is not null").groupBy("component").agg(F.min("own").alias("least"))
+    of_class = linked.join(least, "component", "left").select("key", F.coalesce("least", "own").alias("component_id"))
+    out = base.select("id", "n", "key").join(of_class, "key", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def sample_codes(all_hashes: Column) -> Column:
@@ -278,7 +298,10 @@ def cross_candidates(rest: DataFrame, percent: int) -> DataFrame:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group; of rows with one id and group the first by text.
 
-    Groups are of similarity ``percent`` or more on five-word shingles. Rows of null id are kept, each by itself.
+    Groups are of similarity ``percent`` or more on five-word shingles. Of repeated rows of one id and text one stays;
+    rows of one id and several texts are one document and stay or go together. Rows of null id are kept, each by
+    itself; null texts and texts without words are in no group and stay. An empty table gives an empty result. The
+    columns are those of ``df``, whatever they are called.
     """
     found = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text, percent=percent)
     losers = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
