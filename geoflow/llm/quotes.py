@@ -19,30 +19,31 @@ def normal(passage: Column) -> Column:
 
 
 def passages(rows: DataFrame) -> DataFrame:
-    """(__row, conv, turn, level, passage): runs of lines of one quote level, and each of their lines; normalised, not empty.
+    """(__row, conv, turn, tie, level, passage): runs of lines of one quote level, and each of their lines; normalised, not empty.
 
-    ``rows`` has __row, conv, turn and text. Level 0 is a message's own text; '> > x' has level 2.
+    ``rows`` has __row, conv, turn, tie and text. Level 0 is a message's own text; '> > x' has level 2.
     """
-    lines = rows.select("__row", "conv", "turn", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = rows.select("__row", "conv", "turn", "tie", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     lines = lines.withColumn("level", F.length(F.replace(F.regexp_extract("line", rf"({MARKS})", 1), F.lit(" "), F.lit(""))))
     lines = lines.withColumn("line", F.regexp_replace("line", MARKS, ""))
     of_row = Window.partitionBy("__row").orderBy("place")
     lines = lines.withColumn("new", (F.col("level") != F.lag("level", 1, -1).over(of_row)).cast("int"))
     lines = lines.withColumn("run", F.sum("new").over(of_row))
-    runs = lines.groupBy("__row", "conv", "turn", "level", "run").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
+    runs = lines.groupBy("__row", "conv", "turn", "tie", "level", "run").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
     whole = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     every = F.array_union(F.array(normal(whole)), F.transform("lines", lambda x: normal(x["line"])))
-    return runs.select("__row", "conv", "turn", "level", F.explode(every).alias("passage")).filter("passage <> ''")
+    return runs.select("__row", "conv", "turn", "tie", "level", F.explode(every).alias("passage")).filter("passage <> ''")
 
 
 def reply_links(found: DataFrame) -> DataFrame:
     """(__row, parent, reply_to): the earlier message of the same conversation that a message quotes.
 
-    A quoted passage belongs to the first message that has it as own text. Of several the longest passage
-    decides, then the later message. Passages are joined by hash and compared in full.
+    A quoted passage belongs to the first message that has it as own text; of messages of one turn to the first by
+    ``tie``. Of several passages the longest decides, then the later message. Passages are joined by hash and
+    compared in full. Messages of null turn own nothing and answer nothing.
     """
-    hashed = found.withColumn("h", F.xxhash64("passage"))
-    own = hashed.filter("level = 0").groupBy("conv", "h", "passage").agg(F.min(F.struct("turn", "__row")).alias("first"))
+    hashed = found.filter("turn is not null").withColumn("h", F.xxhash64("passage"))
+    own = hashed.filter("level = 0").groupBy("conv", "h", "passage").agg(F.min(F.struct("turn", "tie", "__row")).alias("first"))
     quoted = hashed.filter("level > 0").select("__row", "conv", "turn", "h", "passage").distinct()
     links = quoted.join(own, ["conv", "h", "passage"]).filter("first.turn < turn")
     best = links.groupBy("__row").agg(F.max(F.struct(F.length("passage").alias("n"), F.col("first.turn").alias("turn"), F.col("first.__row").alias("parent"))).alias("b"))
@@ -68,11 +69,12 @@ def reply_ordered(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text
     none), thread_root (first turn of the reply chain) and position (gapless from 0 in a conversation: threads by
     their root, then by turn, so that a reply follows what it answers). A conversation of any size is spread over
     tasks. Null text is empty; null ids form one conversation, null turns come first and quote or answer nothing;
-    repeated rows are separate messages. Columns of the new names are replaced.
+    repeated rows are separate messages. Columns of the new names are replaced; other columns, whatever they are
+    called, are carried along. An empty table gives an empty result.
     """
     new = ("body", "n_quoted", "reply_to", "thread_root", "position")
     rows = pin(df.drop(*new).withColumn("__row", F.monotonically_increasing_id()))
-    slim = rows.select("__row", F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    slim = rows.select("__row", F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("conv"), F.col(turn).cast("long").alias("turn"), F.xxhash64(text).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     links = pin(reply_links(passages(slim)))
     tops = roots(links).join(slim.select(F.col("__row").alias("root"), F.col("turn").alias("root_turn")), "root")
     lines = F.split("text", "\n")
