@@ -58,11 +58,12 @@ def without_boilerplate(df: DataFrame, sites: int = 10, key: str = "doc_id", tex
     """Cut from each text the lines that occur on ``sites`` or more distinct sites; rows all stay.
 
     Null text stays null; a text of such lines alone becomes empty. Rows of one id and text are treated alike.
-    With ``counts`` the columns n_lines and n_removed are added (or replaced). An empty table gives an empty result.
+    With ``counts`` the columns n_lines and n_removed are added (or replaced); null text counts as one empty line.
+    An empty table gives an empty result.
     """
     rows = df.select("*", *_row(df, key, text)).join(removed_lines(df, sites, key, text, site), ["__r1", "__r2"], "left")
     some = F.col("__places").isNotNull()
     kept = F.when(some, F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__places", i)), "\n")).otherwise(F.col(text))
-    more = {"n_lines": F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"), "n_removed": F.when(some, F.size("__places")).otherwise(0).cast("long")} if counts else {}
+    more = {"n_lines": F.size(_lines(text)).cast("long"), "n_removed": F.when(some, F.size("__places")).otherwise(0).cast("long")} if counts else {}
     columns = [kept.alias(text) if c == text else F.col(c) for c in df.columns if c not in more]
     return rows.select(*columns, *[v.alias(k) for k, v in more.items()])
