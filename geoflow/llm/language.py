@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,10 @@ from .common import small_batches
 WIDTH, ORDERS = 1 << 15, 4
 #: Labelled documents of each language that are learned from, and landmarks among them.
 TRAIN, LANDMARKS = 300, 16
+#: Labelled documents and landmarks of all languages together, at most: with more than 40 languages each has fewer.
+TRAIN_ALL, LANDMARKS_ALL = 12_000, 1_600
+#: Labelled documents unpacked at a time.
+FIT_BLOCK = 512
 RIDGE = 1e-2
 #: Different values of the language column up to which a model is fitted; above, ``train`` raises an error.
 MOST_LANGUAGES = 400
@@ -66,7 +70,7 @@ def nearest(overlaps: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def bounds_of(x: np.ndarray, label: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
+def bounds_of(unpacked: Callable[[np.ndarray], np.ndarray], label: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
     """Each language's bound, from its labelled rows' overlap with its landmarks other than themselves.
 
     A language of one row has nothing to compare and takes the least bound of the others; 0 if there is none.
@@ -75,7 +79,7 @@ def bounds_of(x: np.ndarray, label: np.ndarray, chosen: np.ndarray, n: int) -> n
     for k in range(n):
         rows, marks = np.flatnonzero(label == k), chosen[label[chosen] == k]
         if len(rows) > 1:
-            found = np.where(rows[:, None] == marks[None, :], -1, overlap(x[rows], x[marks])).max(1)
+            found = np.where(rows[:, None] == marks[None, :], -1, overlap(unpacked(rows), unpacked(marks))).max(1)
             found = found[found >= 0]
             out[k] = BOUND_SHARE * np.quantile(found, BOUND_QUANTILE)
     return np.nan_to_num(out, nan=np.nanmin(out) if (~np.isnan(out)).any() else 0.0)
@@ -87,22 +91,28 @@ def kernel(x: np.ndarray, z: np.ndarray, both: np.ndarray | None = None) -> np.n
 
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
-    """One-versus-rest kernel ridge regression on (language, packed presence); landmarks are taken evenly."""
+    """One-versus-rest kernel ridge regression on (language, packed presence); landmarks are taken evenly.
+
+    Rows stay packed, 4 KB each, but for ``FIT_BLOCK`` of them at a time.
+    """
     languages = sorted({lang for lang, _ in rows})
     rows = sorted(rows)
-    x = np.unpackbits(np.stack([np.frombuffer(b, dtype=np.uint8) for _, b in rows]), axis=1).astype(np.float32)
+    packed = np.stack([np.frombuffer(b, dtype=np.uint8) for _, b in rows])
+    unpacked = lambda at: np.unpackbits(packed[at], axis=1).astype(np.float32)
     label = np.array([languages.index(lang) for lang, _ in rows])
-    chosen = np.concatenate([(at := np.flatnonzero(label == k))[np.linspace(0, len(at) - 1, min(LANDMARKS, len(at))).astype(int)] for k in range(len(languages))])
-    z = x[chosen]
+    landmarks = max(1, min(LANDMARKS, LANDMARKS_ALL // len(languages)))
+    chosen = np.concatenate([(at := np.flatnonzero(label == k))[np.linspace(0, len(at) - 1, min(landmarks, len(at))).astype(int)] for k in range(len(languages))])
+    z = unpacked(chosen)
     value, vector = np.linalg.eigh(kernel(z, z).astype(np.float64))
     kept = value > 1e-6 * value.max()
     root = vector[:, kept] / np.sqrt(value[kept])
-    phi = np.c_[kernel(x, z) @ root, np.ones(len(x))]
+    mapped = np.concatenate([kernel(unpacked(slice(i, i + FIT_BLOCK)), z) @ root for i in range(0, len(packed), FIT_BLOCK)])
+    phi = np.c_[mapped, np.ones(len(mapped))]
     share = 1 / np.bincount(label)[label]  # each language weighs the same
     target = np.where(label[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
-    gram = phi.T @ (phi * share[:, None]) + RIDGE / len(x) * np.eye(phi.shape[1])
+    gram = phi.T @ (phi * share[:, None]) + RIDGE / len(phi) * np.eye(phi.shape[1])
     solved = np.linalg.solve(gram, phi.T @ (target * share[:, None]))
-    return Model(languages, np.packbits(z.astype(bool), axis=1), np.r_[root @ solved[:-1], solved[-1:]].astype(np.float32), label[chosen], bounds_of(x, label, chosen, len(languages)))
+    return Model(languages, np.packbits(z.astype(bool), axis=1), np.r_[root @ solved[:-1], solved[-1:]].astype(np.float32), label[chosen], bounds_of(unpacked, label, chosen, len(languages)))
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -138,11 +148,12 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
 
 
 def train(df: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
-    """Fit on at most about ``TRAIN`` documents of each language among the ``allowed`` rows with text and language.
+    """Fit on about ``TRAIN`` documents of each language among the ``allowed`` rows with text and language.
 
     All rows are counted; those of least hash are taken, evenly for each language, so that rows' order plays no
-    part. What comes to the driver is ``WIDTH`` bits a document. None if there is nothing to learn from. More than
-    ``MOST_LANGUAGES`` languages are an error: none is left out in silence.
+    part; with many languages fewer of each, about ``TRAIN_ALL`` in all. What comes to the driver is ``WIDTH`` bits
+    a document. None if there is nothing to learn from. More than ``MOST_LANGUAGES`` languages are an error: none is
+    left out in silence. Repeated rows are taken or left together; other columns are not looked at.
     """
     small_batches(df.sparkSession)
     rows = df.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -151,7 +162,8 @@ def train(df: DataFrame, allowed: Column, text: str = "text", lang: str = "lang"
         raise ValueError(f"column {lang} has more than {MOST_LANGUAGES} different values; clean it or raise language.MOST_LANGUAGES")
     if not counts:
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(1.0 if r[1] <= TRAIN else TRAIN / r[1]))])
+    each = min(TRAIN, TRAIN_ALL // len(counts))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(1.0 if r[1] <= each else each / r[1]))])
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit("train"), key, text), F.lit(1 << 40)) / float(1 << 40) < F.coalesce(share[F.col(lang)], F.lit(0.0)))
 
     @F.pandas_udf("binary")
@@ -177,7 +189,9 @@ def with_language(df: DataFrame, model: Model | None, text: str = "text") -> Dat
 def spoken_rows(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The rows of ``df`` whose text has letters and resembles a language of the model (see ``predict``).
 
-    Neither the languages' number nor the text's length decides. Without a model all texts with letters stay.
+    Neither the languages' number nor the text's length decides. Null texts and texts without letters go; without a
+    model all texts with letters stay. Repeated rows are treated alike; the columns are those of ``df``, whatever they
+    are called; an empty table gives an empty result.
     """
     small_batches(df.sparkSession)
     if model is None:
