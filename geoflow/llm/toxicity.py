@@ -37,14 +37,14 @@ def _one_of_each(df: DataFrame, text: str, key: str, positive: int) -> DataFrame
     return df.groupBy(key).agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("text")).select("text", F.lit(positive).alias("positive"))
 
 
-def sampled(pool: DataFrame, marked: DataFrame, text: str, key: str) -> DataFrame:
+def sampled(pool: DataFrame, marked: DataFrame, text: str, key: str, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> DataFrame:
     """(text, positive): what is learned from, written once to the shared folder.
 
-    Positives are the ``POSITIVE`` toxic ids of least hash; being so few, they are broadcast to the documents, so
-    that no text is shuffled to find them. Unlabelled rows are a share of the ids, about ``UNLABELLED`` of them.
+    Positives are the ``positive`` toxic ids of least hash; being so few, they are broadcast to the documents, so
+    that no text is shuffled to find them. Unlabelled rows are a share of the ids, about ``unlabelled`` of them.
     """
-    ids = marked.filter("toxic = 1").orderBy(F.xxhash64(F.lit("toxic"), key), key).limit(POSITIVE).select(key)
-    share = UNLABELLED / max(pool.count(), UNLABELLED)
+    ids = marked.filter("toxic = 1").orderBy(F.xxhash64(F.lit("toxic"), key), key).limit(positive).select(key)
+    share = unlabelled / max(pool.count(), unlabelled)
     some = pool.filter(F.pmod(F.xxhash64(F.lit("unlabelled"), key), F.lit(1 << 40)) / float(1 << 40) < share)
     return pin(_one_of_each(pool.join(F.broadcast(ids), key, "left_semi"), text, key, 1).union(_one_of_each(some, text, key, 0)))
 
@@ -78,43 +78,50 @@ def _shape(n_words: int, found: Counter) -> tuple[list[int], np.ndarray, np.ndar
     return list(found), np.log1p(count), np.log1p(100 * count / max(n_words, 20))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Linear logistic classifier by the non-negative risk estimator.
+def risk_gradient(w: np.ndarray, b: float, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """(risk of positives, risk of negatives, slopes by w, slope by b) of the non-negative risk estimator, logistic loss.
 
     Risk: prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]). Where the second term is negative, the
-    step goes against it instead, as positives would else be fitted as negatives without end.
+    slopes are those that lead it back up, as positives would else be fitted as negatives without end.
     """
+    sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -40, 40)))
+    fp, fu = positive @ w + b, unlabelled @ w + b
+    plus = prior * np.logaddexp(0, -fp).mean()
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    p_plus, p_minus, u_minus = -prior * (1 - sigmoid(fp)) / len(fp), prior * sigmoid(fp) / len(fp), sigmoid(fu) / len(fu)
+    gp, gu = (p_plus - p_minus, u_minus) if negative >= 0 else (p_minus, -u_minus)
+    return plus, negative, positive.T @ gp + unlabelled.T @ gu, gp.sum() + gu.sum()
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Linear logistic classifier by the non-negative risk estimator, with adaptive steps along its slopes."""
     w, b = np.zeros(positive.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -40, 40)))
     for k in range(1, steps + 1):
-        fp, fu = positive @ w + b, unlabelled @ w + b
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        p_plus, p_minus, u_minus = -prior * (1 - sigmoid(fp)) / len(fp), prior * sigmoid(fp) / len(fp), sigmoid(fu) / len(fu)
-        if negative >= 0:
-            gp, gu = p_plus - p_minus, u_minus
-        else:
-            gp, gu = p_minus, -u_minus
-        g = np.append(positive.T @ gp + unlabelled.T @ gu + decay * w, gp.sum() + gu.sum())
+        _, _, by_w, by_b = risk_gradient(w, b, positive, unlabelled, prior)
+        g = np.append(by_w + decay * w, by_b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return w, float(b)
 
 
-def train(df: DataFrame, labels: DataFrame, allowed: Column, text: str = "text", key: str = "doc_id") -> Model | None:
+def train(
+    df: DataFrame, labels: DataFrame, allowed: Column, text: str = "text", key: str = "doc_id", positive: int = POSITIVE, unlabelled: int = UNLABELLED, features: int = FEATURES
+) -> Model | None:
     """Learn from ``allowed`` rows: confirmed toxic ones (label 1) and unlabelled ones of the whole table.
 
-    The class prior is the share of toxic rows among the allowed labelled ones. At most ``POSITIVE`` and about
-    ``UNLABELLED`` documents are taken; the features that set them apart best are counted in parallel. None if
-    no toxic row is known.
+    The class prior is the share of toxic rows among the allowed labelled ones. At most ``positive`` and about
+    ``unlabelled`` documents are taken; the ``features`` that set them apart best are counted in parallel. None if no
+    toxic row is known. An id counts as toxic if any label of it says so; null ids and labels are left out; of
+    several texts of an id the least is taken; other columns are not looked at.
     """
     small_batches(df.sparkSession)
     marked = labels.filter(allowed & F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     n_labelled, n_toxic = marked.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n_toxic:
         return None
-    sample = sampled(df.filter(allowed).select(key, text), marked, text, key)
+    sample = sampled(df.filter(allowed).select(key, text), marked, text, key, positive, unlabelled)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, memo = np.zeros((2, SPACE), dtype=np.int32), {}
@@ -141,7 +148,7 @@ def train(df: DataFrame, labels: DataFrame, allowed: Column, text: str = "text",
     p1, p0 = F.col("n1") / n1, F.col("n0") / n0
     both = (F.col("n1") + F.col("n0")) / (n1 + n0)
     z = F.abs(p1 - p0) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-6)) * (1 / n1 + 1 / n0) + 1e-9)
-    best = counts.filter("feature >= 0 and n1 + n0 >= 4").orderBy(z.desc(), "feature").limit(FEATURES).collect()
+    best = counts.filter("feature >= 0 and n1 + n0 >= 4").orderBy(z.desc(), "feature").limit(features).collect()
     counts.unpersist()
     column = {r["feature"]: i for i, r in enumerate(best)}
 
@@ -163,7 +170,8 @@ def train(df: DataFrame, labels: DataFrame, allowed: Column, text: str = "text",
 def with_toxicity(df: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
     """Add ``name``: 0 to 1, higher where label 1 is likelier; null and empty texts get the score of no features.
 
-    Row-wise over whole texts; without a model the score is 0. A column of this name is replaced.
+    Row-wise over whole texts; without a model the score is 0. A column of this name is replaced, all others are
+    carried along, whatever they are called; an empty table gives an empty result.
     """
     small_batches(df.sparkSession)
     if model is None:
