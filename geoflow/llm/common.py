@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+#: Bytes of one Arrow batch: a batch ends early where texts are very long.
+BATCH_BYTES = 16 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small enough for a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches of whole texts small enough for a worker's memory, by rows and by bytes.
+
+    Only ever lowers what the session asks for. The setting stays, as the plans that need it run later.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def whole_text(df: DataFrame, name: str = "text") -> Column:
