@@ -21,17 +21,17 @@ from .tokencount import byte_of_char
 PIECE = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
-#: Latin letters below U+0250 that lower-case to one letter below it, then a full stop or comma or nothing.
-LATIN = re.compile("([" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250") + "]+)([.,]?)").fullmatch
+#: Latin letters below U+0250 that lower-case to one letter below it, then marks of ASCII other than the apostrophe, or none.
+LATIN = re.compile("([" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250") + "]+)([!-&(-/:-@[-`{-~]*)").fullmatch
 
 
 class WordEncoder(dict):
     """Token ids of whole texts for a tokenizer that lower-cases and drops white space, one remembered word at a time.
 
     Pre-tokenization never joins what a blank or line feed divides, so that the ids of a text are those of its
-    blank-separated parts in turn. A word of Latin letters with one full stop or comma after it has the ids of
-    its lower-case letters and then those of the mark; its letters are one piece, left to the library's merges.
-    Other words go through the whole library. Each new word is looked up once; what is remembered is bounded.
+    blank-separated parts in turn. A word of Latin letters with marks after it has the ids of its lower-case
+    letters and then those of the marks; its letters are one piece, left to the library's merges. Other words go
+    through the whole library. Each new word is looked up once; what is remembered is bounded.
     """
 
     def __init__(self, path: str, most: int = 150_000) -> None:
@@ -42,7 +42,7 @@ class WordEncoder(dict):
         self.tokenize = self.tokenizer.model.tokenize
         self.shown = {b: c for c, b in byte_of_char().items()}
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
-        self.marks = {m: self._library(m) for m in ".,"}
+        self.marks: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}  # words of the generation before this one
         self.letters: dict[str, bytes] = {}
 
@@ -57,6 +57,14 @@ class WordEncoder(dict):
             ids = self.letters[low] = b"".join([packed[t.id] for t in self.tokenize(spelt)])
         return ids
 
+    def _of_marks(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            ids = self.marks[marks] = self._library(marks)
+        return ids
+
     def __missing__(self, word: str) -> bytes:
         ids = self.earlier.get(word)
         if ids is None:
@@ -66,7 +74,7 @@ class WordEncoder(dict):
             else:
                 ids = self._of_letters(found[1].lower())
                 if found[2]:
-                    ids += self.marks[found[2]]
+                    ids += self._of_marks(found[2])
         self[word] = ids
         return ids
 
@@ -106,7 +114,9 @@ def cut_into_pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, te
 
     names = ("piece", "start", "length", "ids_crc32")
     kept = [c for c in df.columns if c not in names]
-    rows = df.withColumn("__pieces", pieces(F.coalesce(F.col(text), F.lit("")))).select(*[c for c in kept if c != text], F.explode("__pieces").alias("__p"))
+    rows = df.withColumn("__pieces", pieces(F.coalesce(F.col(text), F.lit(""))))
+    # Outer, though each document has a piece: of a plain explode Spark derives a filter, for which it would run the function a second time.
+    rows = rows.select(*[c for c in kept if c != text], F.explode_outer("__pieces").alias("__p"))
     return rows.select(*[c for c in kept if c != text], *[F.col(f"__p.{n}").alias(n) for n in names])
 
 
@@ -182,11 +192,14 @@ def completions(room: int, left: np.ndarray, most_waste: int, tries: int = 400,
     def undominated(fill: Fill, waste: int) -> bool:
         if not waste:
             return True
+        others = left.copy()
+        for s, k in fill:
+            others[s] -= k
         held = [s for s, k in fill for _ in range(min(k, 3))][:6]
         sums = {0}
         for s in held:
             sums |= {t + s for t in sums}
-        return not any(left[t + 1 : t + waste + 1].any() for t in sums)  # a sum of t could be one longer piece
+        return not any(others[t + 1 : t + waste + 1].any() for t in sums)  # a sum of t could be one longer piece
 
     def grow(at: int, space: int, fill: Fill) -> None:
         budget[0] -= 1
