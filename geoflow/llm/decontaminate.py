@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ class ItemAutomaton:
     An item of fewer words, but not none, counts as a window by itself.
     """
 
-    def __init__(self, items: list[tuple[str, str]], window: int = 10) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int = 10) -> None:
         self.window, self.vocabulary = window, {}
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -43,8 +44,8 @@ class ItemAutomaton:
                 for x in ids:
                     last = self._extend(last, x)
         self.shortest = min((min(window, len(ids)) for _, ids in read), default=window)
-        self.owners: dict[int, set[str]] = {}  # of the state that holds a whole window
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        self.owners: dict[int, set[str | None]] = {}  # of the state that holds a whole window
+        self.short: dict[int, list[tuple[int, str | None]]] = {}
         for name, ids in read:
             need, state, size = min(window, len(ids)), 0, 0
             for x in ids:
@@ -101,13 +102,13 @@ class ItemAutomaton:
             state = self.link[state]
         return state
 
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Merged spans of hit words (first and last index) and the names of the items found."""
         known = self.vocabulary.get
         ids = np.fromiter((known(w, -1) for w in words), dtype=np.int64, count=len(words))
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).view(np.int8), [0]))))
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         step, link, length, window = self.step, self.link, self.length, self.window
         for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if stop - start < self.shortest:
@@ -141,41 +142,77 @@ class ItemAutomaton:
         return spans, items
 
 
-def with_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """Add ``hits``: struct of n_words, spans of hit words and the ids of the items found, sorted as strings.
+_automata: dict[bytes, ItemAutomaton] = {}
 
-    The items are measured first; each part of them of up to about ``AUTOMATON_WORDS`` words goes to the workers, which
-    build its automaton and stream whole texts through it. Only one part is in memory at a time. Null or
-    empty texts and items have no words; items of equal text or id are all found; an empty table of items hits nothing.
+
+def automaton_of(held: list[tuple[str | None, str]], window: int) -> ItemAutomaton:
+    """The automaton of these items; a worker process keeps the last one, so that its tasks share it."""
+    key = hashlib.sha256(repr((window, held)).encode("utf-8", "surrogatepass")).digest()
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = ItemAutomaton(held, window)
+    return _automata[key]
+
+
+def _bounded_items(items: DataFrame, window: int, most: int) -> DataFrame:
+    """(name, words, n): items of more than ``most`` words are cut into parts that overlap by all but one word of a window."""
+
+    @F.pandas_udf("array<struct<words:string,n:long>>")
+    def parts(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            words = words_of(t)
+            if len(words) <= most:
+                out.append([{"words": t, "n": len(words)}])
+            else:
+                cut = [words[i : i + most] for i in range(0, len(words) - window + 1, most - window + 1)]
+                out.append([{"words": b" ".join(w).decode("utf-8", "surrogatepass"), "n": len(w)} for w in cut])
+        return pd.Series(out)
+
+    return items.select("name", F.explode_outer(parts("words")).alias("p")).select("name", "p.words", "p.n").filter("n > 0")
+
+
+def with_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, name: str = "hits") -> DataFrame:
+    """Add ``name``: struct of n_words, spans of hit words and the ids of the items found, sorted as strings.
+
+    The items are measured first; each part of them of about ``AUTOMATON_WORDS`` words at most goes to the workers,
+    which build its automaton and stream whole texts through it. Only one part is in memory at a time; a longer item
+    is cut into overlapping parts, so that no window is lost. Null or empty texts and items have no words; items
+    of equal text or id are all found; an item of null id hits words like any other but has no id to be named by,
+    so that it is not among the items found; an empty table of items hits nothing. A column called ``name`` is
+    replaced, all others are carried along.
     """
     small_batches(df.sparkSession)
-    items = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("words")).filter("name is not null and words is not null")
-    size = items.agg(F.sum(F.size(F.split("words", r"\s+")))).first()[0] or 0
+    df = df.drop(name)
+    items = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("words")).filter("words is not null")
+    items = pin(_bounded_items(items, window, max(window, AUTOMATON_WORDS // 2)))
+    size = items.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-2 * size // AUTOMATON_WORDS))
 
     def searched(rows: DataFrame, part: int) -> DataFrame:
         here = items.filter(F.pmod(F.xxhash64("name", "words"), F.lit(parts)) == part) if parts > 1 else items
-        held = [(r.name, r.words) for r in here.collect()]  # at most about AUTOMATON_WORDS words
+        held = sorted(((r.name, r.words) for r in here.select(F.col("name"), "words").collect()), key=repr)  # at most about AUTOMATON_WORDS words
 
         @F.pandas_udf(HITS)
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            automaton = ItemAutomaton(held, window)
+            automaton = automaton_of(held, window)
             for texts in batches:
                 out = []
                 for t in texts:
                     words = words_of(t)
                     spans, names = automaton.search(words)
-                    out.append((len(words), spans, sorted(names)))
+                    out.append((len(words), spans, sorted(names - {None})))
                 yield pd.DataFrame(out, columns=["n_words", "spans", "items"])
 
-        return rows.withColumn("hits", find(F.coalesce(F.col(text), F.lit(""))))
+        # Called nondeterministic so that a filter on its result does not run it a second time.
+        return rows.withColumn(name, find.asNondeterministic()(F.coalesce(F.col(text), F.lit(""))))
 
     if parts == 1:
         return searched(df, 0)
     rows = pin(df.withColumn("__row", F.monotonically_increasing_id()))
     found = None
     for part in range(parts):
-        one = searched(rows.select("__row", text), part).select("__row", "hits")
+        one = searched(rows.select("__row", text), part).select("__row", name)
         found = one if found is None else found.union(one)
 
     @F.pandas_udf(HITS)
@@ -191,19 +228,20 @@ def with_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
             out.append((hits[0]["n_words"], spans, sorted({i for h in hits for i in h["items"]})))
         return pd.DataFrame(out, columns=["n_words", "spans", "items"])
 
-    found = found.groupBy("__row").agg(F.collect_list("hits").alias("several")).select("__row", merged("several").alias("hits"))
+    found = found.groupBy("__row").agg(F.collect_list(name).alias("several")).select("__row", merged("several").alias(name))
     return rows.join(found, "__row").drop("__row")
 
 
-def n_hit() -> F.Column:
+def n_hit(name: str = "hits") -> F.Column:
     """Hit words of a row of ``with_hits``."""
-    return F.aggregate("hits.spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return F.aggregate(f"{name}.spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
 
 
 def cleaned(df: DataFrame, items: DataFrame, text: str = "text", most_cover: float = 0.5) -> DataFrame:
     """Cut hit spans out of each text; rows of which more than ``most_cover`` of the words are hit are dropped.
 
-    Texts without a hit stay as they are, null ones too. The columns are those of ``df``.
+    Texts without a hit stay as they are, null ones too. The columns are those of ``df``, whatever they are called;
+    repeated rows are treated alike; an empty table gives an empty result.
     """
 
     @F.pandas_udf("string")
@@ -221,5 +259,5 @@ def cleaned(df: DataFrame, items: DataFrame, text: str = "text", most_cover: flo
             out.append(t)
         return pd.Series(out)
 
-    rows = with_hits(df, items, text).filter(n_hit() <= most_cover * F.col("hits.n_words"))
-    return rows.withColumn(text, cut(text, "hits.spans")).select(*df.columns)
+    rows = with_hits(df, items, text, name="__hits").filter(n_hit("__hits") <= most_cover * F.col("__hits.n_words"))
+    return rows.withColumn(text, cut(text, "__hits.spans")).select(*df.columns)
