@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,27 @@ def pin(df: DataFrame) -> DataFrame:
     stage which is run again after a lost executor sees the very same rows. The folder is the one that the
     cluster names in ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is taken.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder, set as ``pin`` says."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``pin``, as Parquet files in the shared folder.
+
+    For steps that repeat: a checkpoint keeps the estimated size of the plan behind it, which multiplies from join to
+    join until planning takes longer than the work; of files the true size is known.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

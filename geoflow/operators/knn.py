@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import pin
+from ..functions.tables import stored
 
 #: Queries of one cell that one task answers, and distances held at a time.
 CELL_QUERIES, CHUNK = 4096, 4_000_000
@@ -25,7 +25,7 @@ def knn(points: DataFrame, k: int = 32, rounds: int = 40) -> DataFrame:
     points = points.select("cloud_id", "point_id", "x", "y", "z")
     box = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"o{c}") for c in "xyz"], *[F.max(c).alias(f"m{c}") for c in "xyz"])
     extent = F.greatest(*[F.col(f"m{c}") - F.col(f"o{c}") for c in "xyz"], F.lit(1e-9))
-    box = pin(box.select("cloud_id", "n", "ox", "oy", "oz", extent.alias("extent"), (extent / F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("n") / (2.0 * max(k, 1)))))).alias("h0")))
+    box = stored(box.select("cloud_id", "n", "ox", "oy", "oz", extent.alias("extent"), (extent / F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("n") / (2.0 * max(k, 1)))))).alias("h0")))
     base = points.join(box, "cloud_id")
     left, done = base, None
     for r in range(rounds):
@@ -61,7 +61,7 @@ def knn(points: DataFrame, k: int = 32, rounds: int = 40) -> DataFrame:
                     out.append(pd.DataFrame({"cloud_id": key[0], "src": np.repeat(q["point_id"].to_numpy()[i : i + step], m), "rank": np.tile(np.arange(m), len(p)), "dst": ids[best].ravel(), "dist": near.ravel(), "sure": np.repeat(sure, m)}))
             return pd.concat(out) if out else pd.DataFrame({"cloud_id": [], "src": [], "rank": [], "dst": [], "dist": [], "sure": []})
 
-        found = pin(asked.groupBy(*keys, "part").cogroup(sent.groupBy(*keys, "part")).applyInPandas(search, KNN))
+        found = stored(asked.groupBy(*keys, "part").cogroup(sent.groupBy(*keys, "part")).applyInPandas(search, KNN))
         good = found.filter("sure").drop("sure")
         done = good if done is None else done.union(good)
         open_ = found.filter("rank = 0 and not sure").select("cloud_id", F.col("src").alias("point_id"))

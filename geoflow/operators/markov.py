@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import gapless_rank
-from ..functions.tables import pin
+from ..functions.tables import stored
 
 #: Scales at which a kernel is tried: powers of 2 from -10, a quarter apart.
 SCALES = 2.0 ** (np.arange(80) / 4 - 10)
@@ -138,17 +138,17 @@ def immersion(markov: DataFrame, points: DataFrame) -> DataFrame:
 
 def build(points: DataFrame, knn: DataFrame, knn_bw: int = 8, beta: float = -0.5, c: float = 0.0) -> Graph:
     """The whole graph of a cloud of points and its neighbours; empty tables give empty results."""
-    knn = pin(knn)
-    bw_a = pin(local_bandwidth(knn, knn_bw))
+    knn = stored(knn)
+    bw_a = stored(local_bandwidth(knn, knn_bw))
     in_a = scaled(knn, bw_a)
-    par_a = pin(tune_kernel(in_a))
-    bw_b = pin(bandwidth_b(density_a(in_a, bw_a, par_a), beta))
-    in_b = pin(scaled(knn, bw_b).select("cloud_id", "src", "rank", "dst", "dist", "v"))
-    par_b = pin(tune_kernel(in_b))
-    markov = pin(transition(in_b, density_b(in_b, bw_b, par_b), par_b, beta, c))
-    symk = pin(symmetric(markov))
+    par_a = stored(tune_kernel(in_a))
+    bw_b = stored(bandwidth_b(density_a(in_a, bw_a, par_a), beta))
+    in_b = stored(scaled(knn, bw_b).select("cloud_id", "src", "rank", "dst", "dist", "v"))
+    par_b = stored(tune_kernel(in_b))
+    markov = stored(transition(in_b, density_b(in_b, bw_b, par_b), par_b, beta, c))
+    symk = stored(symmetric(markov))
     time = (F.greatest("eps", F.lit(1e-12)) * F.col("bw") * F.col("bw") / 4).alias("bw")
     nodes = measure(symk).join(bw_b.join(par_b, "cloud_id").select("cloud_id", "point_id", time), ["cloud_id", "point_id"])
     nodes = nodes.join(immersion(markov, points), ["cloud_id", "point_id"])
     params = par_a.toDF("cloud_id", "eps_a", "dim_a").join(par_b.toDF("cloud_id", "eps_b", "dim_b"), "cloud_id").withColumn("alpha", alpha(F.col("dim_b"), beta, c))
-    return Graph(knn, markov, symk, pin(nodes), params)
+    return Graph(knn, markov, symk, stored(nodes), params)

@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoflow.operators import compare, forms, hodge, products, spectral
+from geoflow.operators import compare, forms, hodge, knn, markov, products, spectral
+from geoflow.sources.samples import torus
 from geoflow.sources.sinks import write_heat_obj, write_solid_ply
 from geoflow.sources.text import read_numeric_csv, read_obj_colours, read_ply
 
+NODES = "cloud_id long, point_id long, row_sum double, mu double, ix double, iy double, iz double"
 BASIS = "cloud_id long, point_id long, phi array<double>"
 FORM = "cloud_id long, point_id long, form array<double>"
 COEFFICIENTS = "cloud_id long, coefficients array<double>"
@@ -20,8 +22,8 @@ def kernel(spark):
     s = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2))
     rows = [(3, i, j, float(s[i, j])) for i in range(60) for j in range(60)]
     total = s.sum(axis=1)
-    nodes = [(3, i, float(t), float(t / total.sum())) for i, t in enumerate(total)]
-    return s, total, spark.createDataFrame(rows, "cloud_id long, src long, dst long, s double"), spark.createDataFrame(nodes, "cloud_id long, point_id long, row_sum double, mu double")
+    nodes = [(3, i, float(t), float(t / total.sum()), *map(float, x[i])) for i, t in enumerate(total)]
+    return s, total, spark.createDataFrame(rows, "cloud_id long, src long, dst long, s double"), spark.createDataFrame(nodes, NODES)
 
 
 def test_eigenbasis_equals_a_dense_solver(spark, kernel):
@@ -39,9 +41,26 @@ def test_eigenbasis_equals_a_dense_solver(spark, kernel):
     assert spectral.eigenfunction(basis, 1).count() == 60 and spectral.eigenfunction(basis, 9).count() == 0
 
 
+def test_eigenbasis_in_many_blocks_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "BLOCK_POINTS", 64)
+    points = torus(spark, 400, seed=3)
+    g = markov.build(points, knn.knn(points, 24))
+    basis, values = spectral.eigenbasis(g.symk, g.nodes, 8, degree=6)
+    m = np.zeros((400, 400))
+    for r in g.symk.collect():
+        m[r.src, r.dst] = r.s
+    total = m.sum(axis=1)
+    want = np.linalg.eigvalsh(m / np.sqrt(np.outer(total, total)))
+    want = np.sort(want[np.argsort(-np.abs(want))[:8]])[::-1]
+    got = np.array([r["lambda"] for r in values.orderBy("mode").collect()])
+    phi = np.array([r.phi for r in basis.orderBy("point_id").collect()])
+    assert np.allclose(got, want, atol=1e-7) and np.allclose(phi.T @ (phi * (total / total.sum())[:, None]), np.eye(8), atol=1e-6)
+    assert np.allclose((m / total[:, None]) @ phi, phi * got, atol=1e-5)
+
+
 def test_eigenbasis_of_a_point_and_of_nothing(spark):
     symk = spark.createDataFrame([(0, 0, 0, 1.0)], "cloud_id long, src long, dst long, s double")
-    nodes = spark.createDataFrame([(0, 0, 1.0, 1.0)], "cloud_id long, point_id long, row_sum double, mu double")
+    nodes = spark.createDataFrame([(0, 0, 1.0, 1.0, 0.0, 0.0, 0.0)], NODES)
     assert spectral.eigenbasis(symk, nodes, 3, rounds=1)[0].first().phi == pytest.approx([1.0])
     assert spectral.eigenbasis(symk.limit(0), nodes.limit(0), 3, rounds=1)[0].count() == 0
 
