@@ -70,3 +70,19 @@ def geometric_product(a: Column, b: Column, signature: tuple[int, int, int], out
         terms.setdefault(k, []).append(F.get(a, F.lit(i)) * F.get(b, F.lit(j)) * F.lit(float(sign)))
     size = 1 << sum(signature)
     return F.array(*[sum(terms[k][1:], terms[k][0]) if k in terms else F.lit(0.0) for k in range(size)])
+
+
+def multivector_sum(a: Column, b: Column, sign: float = 1.0) -> Column:
+    """Sum of two multivectors, or their difference with ``sign`` -1; components that one lacks are 0."""
+    return F.zip_with(a, b, lambda p, q: F.coalesce(p, F.lit(0.0)) + sign * F.coalesce(q, F.lit(0.0)))
+
+
+def from_blade(bitmap: int, scale: Column | float = 1.0, axes: int = 3) -> Column:
+    """The multivector of one blade times ``scale``."""
+    value = scale if isinstance(scale, Column) else F.lit(float(scale))
+    return F.array(*[value if k == bitmap else F.lit(0.0) for k in range(1 << axes)])
+
+
+def longer_than(a: Vec, least: float = 1e-6) -> Column:
+    """Whether a vector's magnitude is above ``least``: a filter that drops vectors that are as good as 0."""
+    return norm(a) > least

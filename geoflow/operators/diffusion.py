@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import pin
+from ..functions.tables import stored
 
 
 def step(markov: DataFrame, field: DataFrame) -> DataFrame:
@@ -14,14 +14,22 @@ def step(markov: DataFrame, field: DataFrame) -> DataFrame:
     return markov.join(ends, ["cloud_id", "dst"]).groupBy("cloud_id", F.col("src").alias("point_id")).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def run(markov: DataFrame, field: DataFrame, steps: int, every: int = 5) -> DataFrame:
-    """(cloud_id, step, point_id, value): snapshots at 0 and after every ``every`` steps; lineage is cut at each."""
-    out = field.select("cloud_id", F.lit(0).alias("step"), "point_id", "value")
-    for k in range(1, steps + 1):
+def steps(markov: DataFrame, field: DataFrame, count: int, every: int = 5) -> DataFrame:
+    """(cloud_id, point_id, value): the field after ``count`` steps; for 0 or less the field itself. Lineage is cut at every ``every`` steps."""
+    for k in range(1, count + 1):
         field = step(markov, field)
         if k % every == 0:
-            field = pin(field)
-            out = out.union(field.select("cloud_id", F.lit(k).alias("step"), "point_id", "value"))
+            field = stored(field)
+    return field.select("cloud_id", "point_id", "value")
+
+
+def run(markov: DataFrame, field: DataFrame, count: int, every: int = 5) -> DataFrame:
+    """(cloud_id, step, point_id, value): snapshots at 0, after every ``every`` steps and after the last one."""
+    out = field.select("cloud_id", F.lit(0).alias("step"), "point_id", "value")
+    for k in range(0, count, every):
+        now = min(k + every, count)
+        field = stored(steps(markov, field, now - k, every + 1))
+        out = out.union(field.select("cloud_id", F.lit(now).alias("step"), "point_id", "value"))
     return out
 
 
