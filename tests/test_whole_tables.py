@@ -20,7 +20,7 @@ def vectors():
 
 
 def test_field_bounds_of_all_points(spark, vectors):
-    found = {r.cloud_id: (r.lo, r.hi) for r in queries.queries()["p3_field_bounds_whole"](spark, SF).collect()}
+    found = {r.cloud_id: (r.lo, r.hi) for r in queries.queries()["p3_field_bounds"](spark, SF).collect()}
     assert set(found) == set(vectors["label"])
     for label, v in vectors.groupby("label")["value"]:
         assert np.allclose(found[label], (v.mean() - 2 * v.std(ddof=0), v.mean() + 2 * v.std(ddof=0)), atol=1e-5)
@@ -35,12 +35,12 @@ def test_incidence_of_all_vertices(spark):
             for face, corners in ((2 * cell, (i, i + 1, i + side)), (2 * cell + 1, (i + 1, i + side + 1, i + side))):
                 for v in corners:
                     want.setdefault(v, []).append(face)
-    found = {r.vertex_id: r.faces for r in queries.queries()["m1_incidence_whole"](spark, SF).collect()}
+    found = {r.vertex_id: r.faces for r in queries.queries()["m1_incidence"](spark, SF).collect()}
     assert len(want) == side * side and found == {v: ",".join(map(str, sorted(f))) for v, f in want.items()}
 
 
 def test_agreement_of_all_points(spark, vectors):
-    found = {r.cloud_id: r for r in queries.queries()["q1_point_agreement_whole"](spark, SF).collect()}
+    found = {r.cloud_id: r for r in queries.queries()["q1_point_agreement"](spark, SF).collect()}
     for label, y in vectors.groupby("label")["y"]:
         r = found[label]
         assert (r.n, r.unmatched) == (len(y), 0) and np.allclose((r.rmse, r.most), (np.sqrt((y**2).mean() / 300), y.abs().max() / 10), atol=1e-5)
