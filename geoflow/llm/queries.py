@@ -67,6 +67,23 @@ def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "role", "body", "n_quoted", "reply_to", "thread_root", "position")
 
 
+def quoting_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as if each message quoted the three before it, nested: the given ones hold no quotes."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    found = rows
+    for k in (1, 2, 3):
+        marks = "> " * k
+        before = rows.select("conv_id", (F.col("turn") + k).alias("turn"), F.concat(F.lit(marks), F.replace("text", F.lit("\n"), F.lit(f"\n{marks}"))).alias(f"q{k}"))
+        found = found.join(before, ["conv_id", "turn"], "left")
+    return found.select("conv_id", "turn", "role", F.concat_ws("\n", "q3", "q2", "q1", "text").alias("text"))
+
+
+def nested_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking on ``quoting_conversations``."""
+    found = quotes.reply_ordered(quoting_conversations(spark, sf_dir))
+    return found.select("conv_id", "turn", "role", "body", "n_quoted", "reply_to", "thread_root", "position")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontaminate.n_hit())
@@ -95,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_order_minhash": op4_order_minhash,
         "op5_near_duplicates": op5_near_duplicates, "op6_line_dedup": op6_line_dedup, "op7_quotation_linking": op7_quotation_linking,
         "op8_decontamination": op8_decontamination, "op9_toxicity": op9_toxicity, "op10_language": op10_language, "pipeline": corpus_pipeline.run,
+        "nested_quotes": nested_quotes,
     }
 
 
@@ -125,6 +143,11 @@ select conv_id, turn, role, trim(array_to_string(list_filter(parts, lambda x: no
   cast(len(list_filter(parts, lambda x: starts_with(x, '>'))) as bigint) as n_quoted, reply_to, thread_root,
   row_number() over (partition by conv_id order by thread_root, root, turn, r) - 1 as position from f""",
 }
+QUOTING = ", ".join(f"'{'> ' * k}' || replace(q{k}.text, chr(10), chr(10) || '{'> ' * k}')" for k in (3, 2, 1))
+QUOTED = " ".join(f"left join given q{k} on q{k}.conv_id = g.conv_id and q{k}.turn + {k} = g.turn" for k in (1, 2, 3))
+VIEW = f"""given as (select conv_id, cast(turn as bigint) as turn, role, text from conversations),
+quoting as (select g.conv_id, g.turn, g.role, concat_ws(chr(10), {QUOTING}, g.text) as text from given g {QUOTED})"""
+SQL["nested_quotes"] = SQL["op7_quotation_linking"].replace("from conversations)", "from quoting)").replace("with recursive m as", f"with recursive {VIEW}, m as")
 
 
 def oracle_sql() -> dict[str, str]:
