@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.vec import product_signs
-
 K, STEPS = 32, 20
 
 
@@ -125,13 +123,17 @@ def _matrices(names: tuple[str, ...]) -> str:
     return f"select unnest(l, recursive := true) from (select [{', '.join(out)}] as l from t)"
 
 
+#: Signed pairs of blades (1, e1, e2, e12, e3, e13, e23, e123 by number) whose products of three Euclidean
+#: axes give the blade after the letter; p: geometric, w: outer.
+BLADES = {
+    "p0": "+00 +11 +22 -33 +44 -55 -66 -77", "p1": "+01 +10 -23 +32 -45 +54 -67 -76", "p3": "+03 +30 +12 -21 +47 +74 -56 +65",
+    "p6": "+06 +60 +24 -42 +17 +71 -35 +53", "p7": "+07 +70 +16 +61 -25 -52 +34 +43",
+    "w0": "+00", "w1": "+01 +10", "w3": "+03 +30 +12 -21", "w6": "+06 +60 +24 -42", "w7": "+07 +70 +16 +61 -25 -52 +34 +43",
+}
+
+
 def _products() -> str:
-    out = []
-    for letter, outer in (("p", False), ("w", True)):
-        for k in (0, 1, 3, 6, 7):
-            terms = [f"{s} * a[{i + 1}] * b[{j + 1}]" for i, j, at, s in product_signs((3, 0, 0), outer) if at == k]
-            out.append(r(" + ".join(terms), f"{letter}{k}", 8))
-    return ", ".join(out)
+    return ", ".join(r(" ".join(f"{t[0]} a[{int(t[1]) + 1}] * b[{int(t[2]) + 1}]" for t in terms.split()), name, 8) for name, terms in BLADES.items())
 
 
 MATRICES = f"{GRAPH}, {WIDE}, {ALL_GAMMAS}, m as materialized ({_matrices(("g0", "g1", "g2", "d0", "e0", "e1"))})"
