@@ -19,7 +19,8 @@ def pin(df: DataFrame) -> DataFrame:
 
     Cuts lineage and fixes what depends on how rows were dealt out (partition ids, generated ids), so that a
     stage which is run again after a lost executor sees the very same rows. The folder is the one that the
-    cluster names in ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is taken.
+    cluster names in ``spark.checkpoint.dir``; where that is unset a temporary one is taken in local mode, as in tests,
+    and anything else is an error: executors would not share it.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -29,7 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder, set as ``pin`` says."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
