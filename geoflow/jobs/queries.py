@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..functions.tables import pin
 from ..operators import compare, diffusion, fields, forms, hodge, knn, markov, mesh, products, spectral
-from . import views
+from . import files, views
 from .sql import SQL
 
 K, STEPS, BASIS = 32, 20, 12
@@ -359,7 +359,7 @@ ALSO = {f"{f.__name__}_whole": f for f in (p3_field_bounds, m1_incidence, q1_poi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES} | ALSO
+    return {f.__name__: f for f in (*QUERIES, *files.QUERIES)} | ALSO
 
 
 def oracle_sql() -> dict[str, str]:

@@ -202,3 +202,29 @@ SQL |= {
     "f11_up_laplacian": f'with {GRAPH}, {WIDE}, {ALL_GAMMAS}, m as ({_matrices(("e2",))}) select "row", col, {r("value", "value", 4)} from m',
     "e2_eigenbasis": "select k as mode, 0.0::double as norm_error, 0.0::double as with_first, 0.0::double as first_less_1, 0.0::double as residual from (select unnest(range(least(12, greatest(1, count(*) - 1)))) as k from embeddings)",
 }
+
+#: Clouds of a label numbered from 0, and their colours.
+NUMBERED = "num as (select * replace (row_number() over (partition by cloud_id order by point_id) - 1 as point_id) from pts)"
+COLOURED = f"""{LABEL}, {FIELD}, {BOUNDS}, v as (select p.cloud_id, row_number() over (partition by p.cloud_id order by p.point_id) - 1 as point_id, p.x, p.y, p.z, (coalesce(value, 0) - lo) / greatest(1e-12, hi - lo) as t
+  from pts p left join field using (cloud_id, point_id) left join bounds using (cloud_id)),
+c as (select *, least(greatest(t, 0), 1) as s from v),
+bytes as (select cloud_id, point_id, x, y, z, trunc(255 * case when s < 0.5 then 2 * s else 1 end) as red, trunc(255 * case when s < 0.5 then 2 * s else 1 - 2 * (s - 0.5) end) as green,
+  trunc(255 * case when s < 0.5 then 1 else 1 - 2 * (s - 0.5) end) as blue from c)"""
+BAD_FACE = "face_id % 50 in (7, 9)"
+SQL |= {
+    "s1_obj_vertices": f"with {ORDERS} select point_id, {r('x', 'x', 8)}, {r('case when point_id % 97 = 5 then 0 else y end', 'y', 8)}, {r('case when point_id % 97 = 5 then 0 else z end', 'z', 8)} from pts",
+    "s2_obj_faces": f"""with {ORDERS} select row_number() over (order by face_id) - 1 as face_id, v0, v1, v2, '' as line from faces where not ({BAD_FACE})
+union all select -1, -1, -1, -1, 'f ' || (v0 + 1) || ' ' || case when face_id % 50 = 7 then (v1 + 1) || ' ' || (v2 + 1) || ' ' || (v0 + 1) else 'x ' || (v2 + 1) end from faces where {BAD_FACE}""",
+    "s3_points_csv": f"with {EMBED} select row_number() over (order by point_id) - 1 as point_id, {each('x y z', 8)} from pts",
+    "s6_numeric_csv": f"""with {LABEL}, l as (select 'point_id' as name, cast(point_id as double) as v from pts union all select 'x', x from pts union all select 'y', case when point_id % 5 <> 0 then y end from pts
+union all select 'z', case when point_id % 7 <> 0 then z end from pts) select name, count(*) - count(v) as missing, {r('sum(v)', 'total')} from l group by name""",
+    "s7_torus": f"with {ORDERS} select point_id, cast(1 as double) as square from pts",
+    "s8_sphere": f"with {ORDERS} select point_id, cast(2.25 as double) as square from pts",
+    "k1_csv_files": f"with {LABEL}, {NUMBERED} select cloud_id, point_id, {each('x y z')}, {r('atan2(y, x)', 'theta_0')}, {r('atan2(z, y)', 'theta_1')}, {', '.join(r(v, f'form{i}_{c}') for i, order in enumerate(('yzx', 'zxy')) for v, c in zip(order, 'xyz', strict=True))} from num",
+    "k2_coloured_ply": f"with {COLOURED} select cloud_id, point_id, {each('x y z red green blue')} from bytes",
+    "k3_heat_obj": f"with {COLOURED} select cloud_id, point_id, {each('x y z')}, {', '.join(r(f'{c} / 255', c) for c in ('red', 'green', 'blue'))} from bytes",
+    "k3_heat_obj_faces": f"with {PART} select face_id, v0, v1, v2 from faces",
+    "k4_solid_ply": f"""with {COLOURED}, corner as (select * from (values (0, 0.0, 0.015, 0.0), (1, -0.01, -0.01, 0.01), (2, 0.01, -0.01, 0.01), (3, 0.0, -0.01, -0.01)) t(k, dx, dy, dz))
+select cloud_id, 4 * point_id + k as point_id, {r('x + dx', 'x')}, {r('y + dy', 'y')}, {r('z + dz', 'z')}, {each('red green blue')} from bytes, corner""",
+    "k5_vector_ply": f"with {LABEL}, {NUMBERED} select cloud_id, point_id, {each('x y z')}, {r('y', 'nx')}, {r('z', 'ny')}, {r('x', 'nz')} from num",
+}

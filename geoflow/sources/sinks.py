@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vec
 from ..operators.fields import glyph_faces, glyph_vertices
 
 
@@ -16,8 +17,8 @@ def _write_lines(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("cloud_id", "at").sortWithinPartitions("cloud_id", "at").select("cloud_id", "line").write.partitionBy("cloud_id").text(path)
 
 
-def _body(points: DataFrame, columns: list[str], between: str) -> DataFrame:
-    return points.select("cloud_id", F.col("point_id").alias("at"), F.concat_ws(between, *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns]).alias("line"))
+def _body(points: DataFrame, columns: list[str], between: str, order: str = "point_id") -> DataFrame:
+    return points.select("cloud_id", F.col(order).cast("long").alias("at"), F.concat_ws(between, *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns]).alias("line"))
 
 
 def write_ply(points: DataFrame, columns: dict[str, str], path: str) -> None:
@@ -39,10 +40,51 @@ def write_vector_ply(points: DataFrame, vectors: DataFrame, path: str) -> None:
     write_ply(points.join(named, ["cloud_id", "point_id"]), dict.fromkeys(("x", "y", "z", "nx", "ny", "nz"), "float"), path)
 
 
+def write_csv(rows: DataFrame, order: str, columns: list[str], path: str) -> None:
+    """Comma-separated ``columns`` of each cloud in ``order`` (numbers of at least 0), under a header; null: nan."""
+    head = rows.select("cloud_id").distinct().select("cloud_id", F.lit(-1).cast("long").alias("at"), F.lit(",".join(columns)).alias("line"))
+    _write_lines(head.union(_body(rows, columns, ",", order)), path)
+
+
 def write_points_csv(points: DataFrame, columns: list[str], path: str) -> None:
-    """Comma-separated columns of each cloud in order of points, under a header."""
-    head = points.select("cloud_id").distinct().select("cloud_id", F.lit(-1).cast("long").alias("at"), F.lit(",".join(columns)).alias("line"))
-    _write_lines(head.union(_body(points, columns, ",")), path)
+    """Columns of points in order of their ids."""
+    write_csv(points, "point_id", columns, path)
+
+
+def write_spectrum_csv(spectra: DataFrame, path: str) -> None:
+    """mode, lambda."""
+    write_csv(spectra, "mode", ["mode", "lambda"], path)
+
+
+def write_coefficients_csv(forms: list[DataFrame], path: str) -> None:
+    """coeff_index, form0, form1, ...: coefficients (cloud_id, coefficients) side by side; a shorter one ends in nan."""
+    rows = None
+    for i, form in enumerate(forms):
+        long = form.select("cloud_id", F.posexplode("coefficients").alias("coeff_index", f"form{i}"))
+        rows = long if rows is None else rows.join(long, ["cloud_id", "coeff_index"], "full")
+    write_csv(rows, "coeff_index", ["coeff_index", *[f"form{i}" for i in range(len(forms))]], path)
+
+
+def write_ambient_csv(points: DataFrame, fields: list[DataFrame], path: str) -> None:
+    """x, y, z, form0_x, form0_y, form0_z, ...: places with vector fields (vx, vy, vz)."""
+    names = []
+    for i, field in enumerate(fields):
+        names += [f"form{i}_{c}" for c in "xyz"]
+        points = points.join(field.select("cloud_id", "point_id", *[v.alias(f"form{i}_{c}") for v, c in zip(vec.vec("v"), "xyz", strict=True)]), ["cloud_id", "point_id"])
+    write_csv(points, "point_id", ["x", "y", "z", *names], path)
+
+
+def write_circular_csv(points: DataFrame, angles: list[DataFrame], path: str) -> None:
+    """x, y, z, theta_0, theta_1, ...: places with angles (value)."""
+    for i, angle in enumerate(angles):
+        points = points.join(angle.select("cloud_id", "point_id", F.col("value").alias(f"theta_{i}")), ["cloud_id", "point_id"])
+    write_csv(points, "point_id", ["x", "y", "z", *[f"theta_{i}" for i in range(len(angles))]], path)
+
+
+def write_modes_csv(modes: DataFrame, path: str) -> None:
+    """name, mode, lambda, eigenvalue_real, eigenvalue_imag of circular modes (cloud_id, name, mode, lambda, re, im) by mode."""
+    rows = modes.select("cloud_id", "name", "mode", "lambda", F.col("re").alias("eigenvalue_real"), F.col("im").alias("eigenvalue_imag"))
+    write_csv(rows, "mode", ["name", "mode", "lambda", "eigenvalue_real", "eigenvalue_imag"], path)
 
 
 def write_heat_obj(points: DataFrame, faces: DataFrame | None, path: str) -> None:

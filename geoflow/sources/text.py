@@ -1,4 +1,7 @@
-"""Readers of text files with points: CSV, OBJ and PLY. Ids follow the order of lines inside each file."""
+"""Readers of text files with points: CSV, OBJ and PLY. Ids follow the order of lines inside each file.
+
+``parts`` reads each folder of part files as one file (see ``numbered_lines``).
+"""
 
 from __future__ import annotations
 
@@ -10,61 +13,67 @@ from ..functions.ranking import gapless_rank
 from ..functions.tables import pin
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, at): lines of all files; ``at`` grows with the place in a file."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    return lines.withColumn("at", F.struct("block", F.monotonically_increasing_id().alias("id"))).drop("block")
+def numbered_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """(file, line, at): lines of all files; ``at`` grows with the place in a file.
+
+    With ``parts`` a folder stands for one file, which its part files make up one after the other by name, as the
+    writers in ``sinks`` leave them.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    at = F.struct("path", "block", F.monotonically_increasing_id().alias("id"))
+    return lines.select((F.regexp_replace("path", "/[^/]*$", "") if parts else F.col("path")).alias("file"), "line", at.alias("at"))
 
 
-def _with_ids(rows: DataFrame, name: str) -> DataFrame:
+def with_ids(rows: DataFrame, name: str) -> DataFrame:
+    """Number the rows of each file from 0 along ``at``."""
     return gapless_rank(rows, ["file"], [F.col("at")], name).drop("at")
 
 
-def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_points_csv(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """(file, point_id, x, y, z): the first three numbers of each line; lines without them are skipped."""
-    parts = F.split(F.trim(F.translate("line", ",", " ")), r"\s+")
-    rows = numbered_lines(spark, path).select("file", "at", *[F.get(parts, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate("xyz")])
-    return _with_ids(rows.dropna(subset=["x", "y", "z"]), "point_id").select("file", "point_id", "x", "y", "z")
+    words = F.split(F.trim(F.translate("line", ",", " ")), r"\s+")
+    rows = numbered_lines(spark, path, parts).select("file", "at", *[F.get(words, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    return with_ids(rows.dropna(subset=["x", "y", "z"]), "point_id").select("file", "point_id", "x", "y", "z")
 
 
-def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_obj(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices (file, point_id, x, y, z), faces (file, face_id, v0, v1, v2) and bad face lines (file, line).
 
     A bad coordinate and those after it are 0. Faces have exactly three corners numbered from 1.
     """
-    rows = numbered_lines(spark, path).withColumn("t", F.split(F.trim("line"), r"\s+"))
+    rows = numbered_lines(spark, path, parts).withColumn("t", F.split(F.trim("line"), r"\s+"))
     number = [F.get("t", F.lit(i + 1)).try_cast("double") for i in range(3)]
     good = [F.coalesce(F.when(sum((n.isNull().cast("int") for n in number[:i]), F.lit(0)) == 0, number[i]), F.lit(0.0)) for i in range(3)]
     points = rows.filter(F.get("t", F.lit(0)) == "v").select("file", "at", *[g.alias(c) for g, c in zip(good, "xyz", strict=True)])
     faces = rows.filter(F.get("t", F.lit(0)) == "f").withColumn("v", F.transform(F.slice("t", 2, 1 << 30), lambda t: F.get(F.split(t, "/"), F.lit(0)).try_cast("long") - 1))
     right = (F.size("v") == 3) & F.forall("v", lambda v: F.coalesce(v >= 0, F.lit(False)))
     sound = faces.filter(right).select("file", "at", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(3)])
-    return _with_ids(points, "point_id").select("file", "point_id", "x", "y", "z"), _with_ids(sound, "face_id").select("file", "face_id", "v0", "v1", "v2"), faces.filter(~right).select("file", "line")
+    return with_ids(points, "point_id").select("file", "point_id", "x", "y", "z"), with_ids(sound, "face_id").select("file", "face_id", "v0", "v1", "v2"), faces.filter(~right).select("file", "line")
 
 
-def read_obj_colours(spark: SparkSession, path: str) -> DataFrame:
+def read_obj_colours(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """(file, point_id, x, y, z, red, green, blue) of OBJ vertices; colours are null unless every vertex of the file has them.
 
     Colours over 1 are taken as bytes, for the whole file; results lie in 0 to 1. Lines with fewer than three numbers go.
     """
-    rows = numbered_lines(spark, path).withColumn("t", F.split(F.trim("line"), r"\s+")).filter(F.get("t", F.lit(0)) == "v")
+    rows = numbered_lines(spark, path, parts).withColumn("t", F.split(F.trim("line"), r"\s+")).filter(F.get("t", F.lit(0)) == "v")
     names = ("x", "y", "z", "red", "green", "blue")
     rows = rows.select("file", "at", *[F.get("t", F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(names)]).dropna(subset=names[:3])
     whole = F.count_if(F.col("red").isNull() | F.col("green").isNull() | F.col("blue").isNull()) == 0
     files = rows.groupBy("file").agg(whole.alias("__all"), F.max(F.greatest("red", "green", "blue")).alias("__most"))
-    rows = _with_ids(rows, "point_id").join(files, "file")
+    rows = with_ids(rows, "point_id").join(files, "file")
     scale = F.when(F.col("__most") > 1, 255.0).otherwise(1.0)
     colours = [F.when(F.col("__all"), F.least(F.greatest(F.col(n) / scale, F.lit(0.0)), F.lit(1.0))).alias(n) for n in names[3:]]
     return rows.select("file", "point_id", *names[:3], *colours)
 
 
-def read_ply(spark: SparkSession, path: str, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+def read_ply(spark: SparkSession, path: str, columns: tuple[str, ...] = ("x", "y", "z"), parts: bool = False) -> DataFrame:
     """(file, point_id, *columns) of ASCII PLY vertices; a property that a file lacks is null, rows too short are dropped.
 
     Only header lines of a file meet in one task; list properties and comments are passed over. Files that are
     not ASCII PLY have no rows.
     """
-    lines = pin(gapless_rank(numbered_lines(spark, path), ["file"], [F.col("at")], "nth").select("file", "nth", F.trim("line").alias("line")))
+    lines = pin(gapless_rank(numbered_lines(spark, path, parts), ["file"], [F.col("at")], "nth").select("file", "nth", F.trim("line").alias("line")))
     ends = lines.filter("line = 'end_header'").groupBy("file").agg(F.min("nth").alias("end"))
 
     def header(rows: pd.DataFrame) -> pd.DataFrame:
@@ -83,7 +92,7 @@ def read_ply(spark: SparkSession, path: str, columns: tuple[str, ...] = ("x", "y
     body = lines.join(heads, "file").filter("nth > end and nth <= end + n").withColumn("t", F.split("line", r"\s+")).filter(F.size("t") >= F.size("names"))
     values = F.map_from_arrays("names", F.slice("t", F.lit(1), F.size("names")))
     rows = body.select("file", F.col("nth").alias("at"), *[F.try_element_at(values, F.lit(c)).try_cast("double").alias(c) for c in columns])
-    return _with_ids(rows, "point_id").select("file", "point_id", *columns)
+    return with_ids(rows, "point_id").select("file", "point_id", *columns)
 
 
 def read_numeric_csv(spark: SparkSession, path: str) -> DataFrame:
