@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import vec
 from ..functions.tables import pin
@@ -301,25 +302,71 @@ def f11_up_laplacian(spark, sf_dir):
 
 
 def f17_projection(spark, sf_dir):
-    """Coefficients of the points' second coordinate, which is the basis' third function."""
-    form = views.pts_embed(spark, sf_dir).select("cloud_id", "point_id", F.array("y").alias("form"))
+    """Coefficients of the product of the points' first two coordinates, which no combination of the basis equals."""
+    form = views.pts_embed(spark, sf_dir).select("cloud_id", "point_id", F.array(F.col("x") * F.col("y")).alias("form"))
     found = products.project(form, monomials(spark, sf_dir), graph(spark, sf_dir).nodes)
     return shown(found.select(F.posexplode("coefficients").alias("i", "c")).select(F.col("i").cast("long").alias("i"), "c"), "i")
 
 
+def f12_down_laplacian(spark, sf_dir):
+    """The codifferential of 1-forms and their down-Laplacian on a basis that is not orthonormal."""
+    found = pin(matrices(spark, sf_dir, graph(spark, sf_dir)))
+    rows = hodge.codifferential(found, 1).union(hodge.down_laplacian(found, 1))
+    return shown(rows.select("name", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"), "name", "row", "col", digits=4)
+
+
+def synthetic_spectra(spark, sf_dir):
+    """A spectrum for each label: points in order of their ids as modes, and a second one near it."""
+    nth = F.row_number().over(Window.partitionBy("cloud_id").orderBy("point_id")).cast("int") - 1
+    rows = views.pts_label(spark, sf_dir).select("cloud_id", nth.alias("mode"), (F.col("x") / 100).alias("lambda"), "y")
+    return rows.drop("y"), rows.select("cloud_id", "mode", (F.col("lambda") + F.col("y") / 1000).alias("lambda"))
+
+
+def f15_harmonic_modes(spark, sf_dir):
+    rows = hodge.harmonic_modes(synthetic_spectra(spark, sf_dir)[0])
+    return shown(rows.select("cloud_id", F.col("mode").cast("long").alias("mode"), "lambda"), "cloud_id", "mode")
+
+
+def q6_spectrum_error(spark, sf_dir):
+    return shown(compare.spectrum_error(*synthetic_spectra(spark, sf_dir)), "cloud_id")
+
+
+def f22_padded(spark, sf_dir):
+    """The coefficients of one derivative, as those of six modes."""
+    found = products.padded(hodge.coefficients_of(matrices(spark, sf_dir, graph(spark, sf_dir)), "d0", 1), 6)
+    return shown(found.select(F.posexplode("coefficients").alias("i", "c")).select(F.col("i").cast("long").alias("i"), "c"), "i")
+
+
+def f25_ambient_dual(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    form = hodge.pointwise(monomials(spark, sf_dir), hodge.coefficients_of(matrices(spark, sf_dir, g), "d1", 4), 3)
+    return shown(hodge.ambient_duals(form, data_immersion(spark, sf_dir, g)).drop("cloud_id"), "point_id")
+
+
+def f26_facing_outward(spark, sf_dir):
+    """The field of the form whose coefficients are those of f24 with the other sign, turned to face outward."""
+    g, points = graph(spark, sf_dir), views.pts_embed(spark, sf_dir)
+    one = hodge.ambient_vectors(one_form(spark, sf_dir, g), data_immersion(spark, sf_dir, g))
+    turned = one.select("cloud_id", "point_id", *[(-F.col(f"v{c}")).alias(f"v{c}") for c in "xyz"])
+    out = hodge.facing_outward(one, points).join(hodge.facing_outward(turned, points).toDF("cloud_id", "point_id", "tx", "ty", "tz"), ["cloud_id", "point_id"])
+    return shown(out.drop("cloud_id"), "point_id")
+
+
 def f20_wedge(spark, sf_dir):
     """Two derivatives' wedge product and the sum of it and the turned one, which is 0."""
     g, basis = graph(spark, sf_dir), monomials(spark, sf_dir)
     found = pin(matrices(spark, sf_dir, g))
     a, b = (hodge.coefficients_of(found, "d0", i) for i in (1, 2))
     one, two = (products.wedge(x, 1, y, 1, basis, g.nodes).select("cloud_id", F.posexplode("coefficients").alias("i", c)) for x, y, c in ((a, b, "value"), (b, a, "turned")))
-    return shown(one.join(two, ["cloud_id", "i"]).withColumn("both", F.col("value") + F.col("turned")).drop("turned"), "cloud_id", "i")
+    rows = one.join(two, ["cloud_id", "i"]).withColumn("both", F.col("value") + F.col("turned")).drop("turned")
+    return shown(rows.withColumn("i", F.col("i").cast("long")), "cloud_id", "i")
 
 
 def f21_wedge_operator(spark, sf_dir):
     g = graph(spark, sf_dir)
     alpha = hodge.coefficients_of(matrices(spark, sf_dir, g), "d0", 1)
-    return shown(products.wedge_operator(alpha, 1, 1, monomials(spark, sf_dir), g.nodes).select("row", "col", "value"), "row", "col")
+    rows = products.wedge_operator(alpha, 1, 1, monomials(spark, sf_dir), g.nodes)
+    return shown(rows.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"), "row", "col", digits=4)
 
 
 def f23_circular_coordinates(spark, sf_dir):
@@ -351,6 +398,7 @@ QUERIES = (
     e4_condition, f11_up_laplacian, f17_projection, f20_wedge, f21_wedge_operator, f23_circular_coordinates, q2_subspaces, q7_composite_score,
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
     p11_multivector_sum, p12_long_vectors, d2_steps, d6_matrices, e2_eigenbasis, e3_eigenvalues, harmonic_coordinates,
+    f12_down_laplacian, f15_harmonic_modes, q6_spectrum_error, f22_padded, f25_ambient_dual, f26_facing_outward,
 )
 
 

@@ -190,7 +190,6 @@ select cloud_id, conjugate, {each("correlation mean p95 most")} from g qualify r
 
 SUBSPACES = "select cloud_id, degrees(acos(least(1.0, abs(sum(x * (x + y / 2))) / sqrt(sum(x * x) * sum((x + y / 2) * (x + y / 2)))))) as angle, sqrt(greatest(0, sum(x * x) + sum((x + y / 2) * (x + y / 2)) - 2 * abs(sum(x * (x + y / 2))))) / sqrt(sum(x * x)) as procrustes from pts group by cloud_id"
 SQL |= {
-    "f17_projection": f"with {EMBED}, n as (select unnest(range(4)) as i from (select count(*) from pts)) select i, cast(case when i = 2 then 1 else 0 end as double) as c from n",
     "q2_subspaces": f"with {LABEL}, s as ({SUBSPACES}) select cloud_id, {each('angle procrustes')} from s",
     "q7_composite_score": f"with {LABEL}, s as ({SUBSPACES}), c as ({SQL['q4_circular_agreement']}) select {r('0.35 * max(angle) / 90 + 0.35 * max(procrustes) + 0.15 * (1 - min(correlation)) + 0.15 * max(p95) / pi()', 'score', 4)} from s join c using (cloud_id)",
 }
@@ -228,3 +227,60 @@ union all select 'z', case when point_id % 7 <> 0 then z end from pts) select na
 select cloud_id, 4 * point_id + k as point_id, {r('x + dx', 'x')}, {r('y + dy', 'y')}, {r('z + dz', 'z')}, {each('red green blue')} from bytes, corner""",
     "k5_vector_ply": f"with {LABEL}, {NUMBERED} select cloud_id, point_id, {each('x y z')}, {r('y', 'nx')}, {r('z', 'ny')}, {r('x', 'nz')} from num",
 }
+
+
+def _inverse() -> str:
+    """inv (i, j, v): the inverse of g0, four by four, by cofactors; needs m."""
+
+    def det3(rows: list[int], cols: list[int]) -> str:
+        (a, b, c), (p, q, s) = rows, cols
+        return f"(g{a}{p} * (g{b}{q} * g{c}{s} - g{b}{s} * g{c}{q}) - g{a}{q} * (g{b}{p} * g{c}{s} - g{b}{s} * g{c}{p}) + g{a}{s} * (g{b}{p} * g{c}{q} - g{b}{q} * g{c}{p}))"
+
+    def cofactor(i: int, j: int) -> str:
+        return f"{'-' if (i + j) % 2 else ''}{det3([k for k in range(4) if k != i], [k for k in range(4) if k != j])}"
+
+    cells = ", ".join(f"max(case when \"row\" = {i} and col = {j} then value end) as g{i}{j}" for i in range(4) for j in range(4))
+    det = " + ".join(f"g0{j} * ({cofactor(0, j)})" for j in range(4))
+    entries = ", ".join(f"{{'i': {i}, 'j': {j}, 'v': ({cofactor(j, i)}) / det}}" for i in range(4) for j in range(4))
+    return f"gw as (select {cells} from m where name = 'g0'), gd as materialized (select *, {det} as det from gw), inv as materialized (select unnest([{entries}], recursive := true) from gd)"
+
+
+def _one_form(name: str, col: int) -> str:
+    """Components w0, w1, w2 of the derivative's column as a form at the points; needs m and pts."""
+    parts = ", ".join(f"sum(case when m.row % 3 = {c} then value * (case m.row // 3 when 0 then 1 when 1 then x when 2 then y else z end) else 0 end) as w{c}" for c in range(3))
+    return f"select point_id, {parts} from pts, m where name = '{name}' and col = {col} group by point_id"
+
+
+INVERSE = f"{MATRICES}, {_inverse()}"
+PHI = "phi as (select point_id, mu, u.k as k, u.v as v from (select point_id, mu, unnest([{'k': 0, 'v': u0}, {'k': 1, 'v': u1}, {'k': 2, 'v': u2}, {'k': 3, 'v': u3}]) as u from wide))"
+WEDGED = f"{INVERSE}, {PHI}, fa as ({_one_form('d0', 1)}), fb as ({_one_form('d0', 2)})"
+#: Target, left and right component and sign of the product of two 1-forms.
+TWO_FORM = ((0, 0, 1, 1), (0, 1, 0, -1), (1, 0, 2, 1), (1, 2, 0, -1), (2, 1, 2, 1), (2, 2, 1, -1))
+IMMERSED = f"ds as (select point_id, x, y, z, ix, iy, iz from nodes join pts using (point_id)), dq as ({gamma([(f'g_{a}_i{b}', a, f'i{b}') for a in 'xyz' for b in 'xyz'], 'ds')})"
+SPECTRA = "sp as (select cloud_id, row_number() over (partition by cloud_id order by point_id) - 1 as mode, x / 100 as lam, y from pts)"
+
+
+def _dual(a: str, b: str) -> str:
+    return " + ".join(f"w{k} * (g_{a}_i{i} * g_{b}_i{j} - g_{a}_i{j} * g_{b}_i{i})" for k, (i, j) in enumerate((("x", "y"), ("x", "z"), ("y", "z"))))
+
+
+WEDGE_SUMS = " union all ".join(f"select k, {c} as c, sum(phi.mu * phi.v * ({' + '.join(f'{s} * fa.w{a} * fb.w{b}' for t, a, b, s in TWO_FORM if t == c)})) as b from phi join fa using (point_id) join fb using (point_id) group by k" for c in range(3))
+TRIPLES = " union all ".join(f"select p.k as k, q.k as l, {a} as a, sum(p.mu * p.v * q.v * w{a}) as s from phi p join phi q using (point_id) join fa using (point_id) group by p.k, q.k" for a in range(3))
+SQL |= {
+    "f17_projection": f"with {INVERSE}, {PHI}, b as (select k, sum(phi.mu * v * x * y) as b from phi join pts using (point_id) group by k) select cast(i as bigint) as i, {r('sum(v * b)', 'c')} from inv join b on j = k group by i",
+    "f12_down_laplacian": f"""with {INVERSE}, c as (select i, "row" as col, sum(v * value) as value from inv join m on name = 'd0' and m.col = j group by i, "row"),
+o as (select 'c1' as name, i as "row", col, value from c union all select 'down1', m."row", c.col, sum(m.value * c.value) from m join c on m.name = 'd0' and m.col = i group by m."row", c.col)
+select name, cast("row" as bigint) as "row", cast(col as bigint) as col, {r("value", "value", 4)} from o""",
+    "f20_wedge": f"with {WEDGED}, b as ({WEDGE_SUMS}) select cast(0 as bigint) as cloud_id, cast(3 * i + c as bigint) as i, {r('sum(v * b)', 'value')}, cast(0 as double) as both from inv join b on j = k group by i, c",
+    "f21_wedge_operator": f"""with {WEDGED}, tr as ({TRIPLES}), signs as (select unnest([{', '.join(f"{{'t': {t}, 'a': {a}, 'b': {b}, 's': {s}}}" for t, a, b, s in TWO_FORM)}], recursive := true)),
+every as (select i.i as i, l.l as l, c.c as c, d.d as d from range(4) i(i), range(4) l(l), range(3) c(c), range(3) d(d)),
+o as (select i, l, g.t as c, g.b as d, sum(v * g.s * tr.s) as value from inv join tr on j = k join signs g on g.a = tr.a group by i, l, g.t, g.b)
+select cast(3 * i + c as bigint) as "row", cast(3 * l + d as bigint) as col, {r("coalesce(value, 0)", "value", 4)} from every left join o using (i, l, c, d)""",
+    "f15_harmonic_modes": f"""with {LABEL}, {SPECTRA}, n as (select *, abs(lam) <= 0.001 as near, bool_or(abs(lam) <= 0.001) over (partition by cloud_id) as any_near from sp)
+select cloud_id, mode, {r('lam', '"lambda"')} from n where near = any_near qualify row_number() over (partition by cloud_id order by mode) <= 3""",
+    "q6_spectrum_error": f"with {LABEL}, {SPECTRA} select cloud_id, {r('sqrt(sum(y * y / 1000000)) / sqrt(sum(lam * lam))', 'error')} from sp where mode < 20 group by cloud_id",
+    "f22_padded": f"with {MATRICES} select cast(i as bigint) as i, {r('coalesce(value, 0)', 'c')} from range(18) t(i) left join m on name = 'd0' and col = 1 and \"row\" = i",
+    "f25_ambient_dual": f"with {GRAPH}, {WIDE}, {ALL_GAMMAS}, m as materialized ({_matrices(('d1',))}), form as ({_one_form('d1', 4)}), {IMMERSED} select point_id, {r(_dual('y', 'z'), 'vx')}, {r(f'-({_dual("x", "z")})', 'vy')}, {r(_dual('x', 'y'), 'vz')} from dq join form using (point_id)",
+    "f26_facing_outward": f"""with {ONE_FORM}, {IMMERSED}, v as (select point_id, {', '.join(f'g_{a}_ix * w0 + g_{a}_iy * w1 + g_{a}_iz * w2 as v{a}' for a in 'xyz')} from dq join form using (point_id)),
+s as (select case when avg(x * vx + y * vy + z * vz) < 0 then -1 else 1 end as s from v join pts using (point_id)) select point_id, {', '.join(r(f's * v{c}', f'v{c}') for c in 'xyz')}, {', '.join(r(f's * v{c}', f't{c}') for c in 'xyz')} from v, s""",
+}
