@@ -1,71 +1,135 @@
-"""Exact k nearest neighbours (self included) by grid cells."""
+"""Exact k nearest neighbours (self included) by cells that are small where points are many."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.tables import stored
+from ..functions.ranking import gapless_rank
+from ..functions.tables import partitions, stored
 
-#: Queries of one cell that one task answers, and distances held at a time.
-CELL_QUERIES, CHUNK = 4096, 4_000_000
-KNN = "cloud_id long, src long, rank int, dst long, dist double, sure boolean"
+#: Queries and candidates that one group holds (about), distances held at a time, copies of a place in one join key.
+CELL_QUERIES, CELL_POINTS, CHUNK, COPIES = 4096, 65_536, 4_000_000, 65_536
+#: The finest level of cells: a cloud's box is cut into 2 ** DEEPEST parts along each axis.
+DEEPEST = 20
+FOUND = "cloud_id long, src long, dst long, d2 double, want long, reach double"
 
 
-def knn(points: DataFrame, k: int = 32, rounds: int = 40) -> DataFrame:
-    """(cloud_id, src, rank, dst, dist), rank from 0, ordered by distance and then id; k is held to [1, n].
+def interleaved(cols: list[Column]) -> Column:
+    """The bits of three numbers of up to 20 bits in turn: an order in which near points are near each other."""
+
+    def spread(c: Column) -> Column:
+        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    x, y, z = (spread(c) for c in cols)
+    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
+
+
+def with_levels(points: DataFrame, k: int) -> DataFrame:
+    """Add places in the finest grid (ix, iy, iz) and the level of the smallest cell around a point with over k / 2 others.
 
-    Points are hashed to cubic cells. Candidates are sent to the 27 cells around their own, queries to their own,
-    where a task finds the k best. An answer stands if its last distance is smaller than the way to the edge of
-    the searched block, or if the block holds the whole cloud; the other queries go on with doubled cells. Cells
-    of many queries are split, each part with all candidates of the cell.
+    The level comes from the points k / 2 places before and after in the interleaved order; at the ends of a partition
+    it may be off, which costs time but no answer.
     """
-    points = points.select("cloud_id", "point_id", "x", "y", "z")
-    box = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"o{c}") for c in "xyz"], *[F.max(c).alias(f"m{c}") for c in "xyz"])
+    box = points.groupBy("cloud_id").agg(*[F.min(c).alias(f"o{c}") for c in "xyz"], *[F.max(c).alias(f"m{c}") for c in "xyz"], F.sum("copies").alias("n"))
     extent = F.greatest(*[F.col(f"m{c}") - F.col(f"o{c}") for c in "xyz"], F.lit(1e-9))
-    box = stored(box.select("cloud_id", "n", "ox", "oy", "oz", extent.alias("extent"), (extent / F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("n") / (2.0 * max(k, 1)))))).alias("h0")))
-    base = points.join(box, "cloud_id")
-    left, done = base, None
-    for r in range(rounds):
-        h = F.col("h0") * 2.0**r
-        cell = [F.floor((F.col(c) - F.col(f"o{c}")) / h) for c in "xyz"]
-        steps = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(s, ("dx", "dy", "dz"), strict=True)]) for s in np.ndindex(3, 3, 3)])
-        sent = base.select("*", F.explode(steps).alias("s")).select("cloud_id", "point_id", "x", "y", "z", *[(c + F.col(f"s.d{a}") - 1).alias(f"c{a}") for c, a in zip(cell, "xyz", strict=True)])
-        asked = left.select("*", *[c.alias(f"c{a}") for c, a in zip(cell, "xyz", strict=True)])
-        keys = ["cloud_id", "cx", "cy", "cz"]
-        crowd = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("parts"))
-        asked = asked.join(crowd, keys).withColumn("part", F.pmod(F.xxhash64("point_id"), "parts"))
-        asked = asked.select(*keys, "part", "point_id", "x", "y", "z", "n", h.alias("h"), "extent", *[(F.col(c) - F.col(f"o{c}") - F.col(f"c{c}") * h).alias(f"in{c}") for c in "xyz"])
-        sent = sent.join(crowd, keys).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        sent = sent.select(*[F.col(c).alias(c) for c in sent.columns])  # columns of its own: both sides stem from one table
-
-        def search(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(q) and len(c):
-                c = c.sort_values("point_id")
-                ids, at, n, h = c["point_id"].to_numpy(), c[["x", "y", "z"]].to_numpy(), int(q["n"].iloc[0]), float(q["h"].iloc[0])
-                want, whole = min(max(k, 1), n), len(ids) == n
-                inside = q[["inx", "iny", "inz"]].to_numpy()
-                reach = h + np.minimum(inside, h - inside).min(axis=1)
-                step = max(1, CHUNK // len(ids))
-                for i in range(0, len(q), step):
-                    p = q[["x", "y", "z"]].to_numpy()[i : i + step]
-                    d = p[:, None, :] - at[None, :, :]
-                    d2 = (d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1]) + d[:, :, 2] * d[:, :, 2]
-                    best = np.argsort(d2, axis=1, kind="stable")[:, :want]
-                    near = np.sqrt(np.take_along_axis(d2, best, axis=1))
-                    sure = whole | ((near.shape[1] == want) & (near[:, -1] < reach[i : i + step] * (1 - 1e-12)))
-                    m = best.shape[1]
-                    out.append(pd.DataFrame({"cloud_id": key[0], "src": np.repeat(q["point_id"].to_numpy()[i : i + step], m), "rank": np.tile(np.arange(m), len(p)), "dst": ids[best].ravel(), "dist": near.ravel(), "sure": np.repeat(sure, m)}))
-            return pd.concat(out) if out else pd.DataFrame({"cloud_id": [], "src": [], "rank": [], "dst": [], "dist": [], "sure": []})
-
-        found = stored(asked.groupBy(*keys, "part").cogroup(sent.groupBy(*keys, "part")).applyInPandas(search, KNN))
-        good = found.filter("sure").drop("sure")
+    box = stored(box.select("cloud_id", "n", "ox", "oy", "oz", extent.alias("extent")))
+    at = [F.least(F.floor((F.col(c) - F.col(f"o{c}")) / F.col("extent") * 2.0**DEEPEST), F.lit((1 << DEEPEST) - 1)).alias(f"i{c}") for c in "xyz"]
+    rows = points.join(box, "cloud_id").select("*", *at).withColumn("code", interleaved([F.col(f"i{c}") for c in "xyz"]))
+    rows = rows.repartitionByRange(partitions(points.sparkSession), "cloud_id", "code").withColumn("part", F.spark_partition_id())
+    order = Window.partitionBy("part", "cloud_id").orderBy("code")
+    shared = lambda other: F.when(other == F.col("code"), DEEPEST).otherwise(DEEPEST - F.ceil(F.length(F.bin(other.bitwiseXOR(F.col("code")))) / 3))
+    ends = [shared(f("code", max(1, k // 2)).over(order)) for f in (F.lag, F.lead)]
+    return rows.withColumn("level", F.coalesce(F.greatest(*ends), F.lit(0)).cast("int")).drop("code", "part")
+
+
+def cell(level: Column) -> list[Column]:
+    """A point's cell on a level."""
+    return [F.call_function("shiftright", F.col(f"i{c}"), F.lit(DEEPEST) - level).alias(f"c{c}") for c in "xyz"]
+
+
+def knn(points: DataFrame, k: int = 32) -> DataFrame:
+    """(cloud_id, src, rank, dst, dist), rank from 0, ordered by distance and then id; k is held to [1, n].
+
+    Points of one place have one answer, and only the first k of them can be in any: one stands for all as a query and
+    k as candidates, so that a place of many copies is no large group. Each query looks at the 27 cells around it on the level where
+    its own cell holds more than k / 2 points. Groups of many queries or candidates are split, and the best of their
+    parts merged. An answer stands if its last distance is smaller than the way to the edge of the 27 cells; the
+    other queries go on with cells of twice the width, until these cover the cloud. Points with a null coordinate have no rows.
+    """
+    k = max(k, 1)
+    place = ["cloud_id", "x", "y", "z"]
+    ranked = stored(gapless_rank(points.select("cloud_id", "point_id", "x", "y", "z").dropna(), place, [F.col("point_id")], "nth"))
+    copies = ranked.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"))
+    near = ranked.filter(F.col("nth") < k).join(copies, place)
+    near = stored(with_levels(near.withColumn("copies", F.when(F.col("nth") == 0, F.col("__n")).otherwise(0)).drop("__n"), k))
+    left, done = near.filter("nth = 0"), None
+    for _ in range(DEEPEST + 1):
+        own = Window.partitionBy("cloud_id", "src")
+        found = search(left, near, k).withColumn("nth", F.row_number().over(own.orderBy("d2", "dst"))).filter(F.col("nth") <= k)
+        last = (F.col("nth") == F.col("want")) & (F.sqrt("d2") < F.col("reach"))
+        found = stored(found.withColumn("sure", F.max(last).over(own)))
+        good = found.filter("sure").select("cloud_id", "src", (F.col("nth") - 1).alias("rank"), "dst", F.sqrt("d2").alias("dist"))
         done = good if done is None else done.union(good)
-        open_ = found.filter("rank = 0 and not sure").select("cloud_id", F.col("src").alias("point_id"))
+        open_ = found.filter("nth = 1 and not sure").select("cloud_id", F.col("src").alias("point_id"))
         if not open_.limit(1).count():
-            return done
-        left = base.join(open_, ["cloud_id", "point_id"], "left_semi")
+            return with_copies(done, ranked, copies, place)
+        left = left.join(open_, ["cloud_id", "point_id"], "left_semi").withColumn("level", F.greatest(F.col("level") - 1, F.lit(0)))
     raise RuntimeError("some queries were not answered")
+
+
+def with_copies(answers: DataFrame, ranked: DataFrame, copies: DataFrame, place: list[str]) -> DataFrame:
+    """The answers of first points given to the other points of their places, in blocks of ``COPIES`` points."""
+    salt = F.expr(f"nth div {COPIES}")
+    first = ranked.filter("nth = 0").join(copies.filter("__n > 1"), place).select(*place, F.col("point_id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {COPIES}"))).alias("salt"))
+    others = ranked.filter("nth > 0").select(*place, "point_id", salt.alias("salt"))
+    others = others.join(first, [*place, "salt"]).select("cloud_id", "src", "salt", "point_id")
+    given = answers.join(first.select("cloud_id", "src", "salt"), ["cloud_id", "src"]).join(others, ["cloud_id", "src", "salt"])
+    return answers.union(given.select("cloud_id", F.col("point_id").alias("src"), "rank", "dst", "dist"))
+
+
+def search(left: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """``FOUND`` rows of the queries ``left`` on their levels: the k best candidates of each part of the 27 cells around."""
+    home, around = ["cloud_id", "level", "cx", "cy", "cz"], ["cloud_id", "level", "nx", "ny", "nz"]
+    asked = left.select("*", *cell(F.col("level")))
+    levels = [r["level"] for r in left.select("level").distinct().collect()]  # DEEPEST + 1 at most
+    placed = near.select("cloud_id", "point_id", "x", "y", "z", "ix", "iy", "iz", F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(0)])).alias("level"))
+    placed = placed.select("cloud_id", "level", "point_id", "x", "y", "z", *[c.alias(n) for c, n in zip(cell(F.col("level")), around[2:], strict=True)])
+    steps = F.array(*[F.struct(*[F.lit(d - 1).alias(n) for d, n in zip(s, ("dx", "dy", "dz"), strict=True)]) for s in np.ndindex(3, 3, 3)])
+    homes = asked.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("asking"))
+    blocks = homes.select("*", F.explode(steps).alias("s")).select(*home, "asking", *[(F.col(f"c{a}") + F.col(f"s.d{a}")).alias(f"n{a}") for a in "xyz"])
+    sizes = placed.groupBy(*around).agg(F.count(F.lit(1)).alias("m"))
+    parts = stored(blocks.join(sizes, around).groupBy(*home).agg(F.max("asking").alias("asking"), F.ceil(F.sum("m") / CELL_POINTS).alias("parts")))
+    blocks = parts.select("*", F.explode(steps).alias("s")).select(*home, "asking", "parts", *[(F.col(f"c{a}") + F.col(f"s.d{a}")).alias(f"n{a}") for a in "xyz"])
+    sent = placed.join(blocks, around).withColumn("part", F.pmod(F.xxhash64("point_id"), "parts")).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
+    sent = sent.select(*[F.col(c).alias(c) for c in (*home, "ask", "part", "point_id", "x", "y", "z")])  # columns of its own: both sides stem from one table
+    width = F.col("extent") / F.pow(F.lit(2.0), F.col("level"))
+    ways = []
+    for a in "xyz":
+        inside, c = F.col(a) - F.col(f"o{a}") - F.col(f"c{a}") * width, F.col(f"c{a}")
+        ways += [F.when(c > 1, width + inside).otherwise(float("inf")), F.when(c + 2 < F.pow(F.lit(2.0), F.col("level")), 2 * width - inside).otherwise(float("inf"))]
+    reach = F.least(*ways) - 1e-12 * F.col("extent")  # cells are found by rounded numbers
+    asked = asked.join(parts, home).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asked = asked.select(*home, F.pmod(F.xxhash64("point_id"), "asking").alias("ask"), "part", "point_id", "x", "y", "z", F.least(F.lit(k), F.col("n")).alias("want"), reach.alias("reach"))
+
+    def best(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({n.split()[0]: [] for n in FOUND.split(", ")})]
+        if len(q) and len(c):
+            c = c.sort_values("point_id")
+            ids, at = c["point_id"].to_numpy(), c[["x", "y", "z"]].to_numpy()
+            step = max(1, CHUNK // len(ids))
+            for i in range(0, len(q), step):
+                rows = q.iloc[i : i + step]
+                d = rows[["x", "y", "z"]].to_numpy()[:, None, :] - at[None, :, :]
+                d2 = (d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1]) + d[:, :, 2] * d[:, :, 2]
+                order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                repeated = {n: np.repeat(rows[n].to_numpy(), order.shape[1]) for n in ("point_id", "want", "reach")}
+                out.append(pd.DataFrame({"cloud_id": key[0], "src": repeated.pop("point_id"), "dst": ids[order].ravel(), "d2": np.take_along_axis(d2, order, axis=1).ravel(), **repeated}))
+        return pd.concat(out[1:] or out)
+
+    return asked.groupBy(*home, "ask", "part").cogroup(sent.groupBy(*home, "ask", "part")).applyInPandas(best, FOUND)
