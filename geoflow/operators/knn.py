@@ -31,9 +31,9 @@ def interleaved(cols: list[Column]) -> Column:
 
 
 def with_levels(points: DataFrame, k: int) -> DataFrame:
-    """Add places in the finest grid (ix, iy, iz) and the level of the smallest cell around a point with over k / 2 others.
+    """Add places in the finest grid (ix, iy, iz) and the level of the smallest cell around a point with k others or more.
 
-    The level comes from the points k / 2 places before and after in the interleaved order; at the ends of a partition
+    The level comes from the points k places before and after in the interleaved order; at the ends of a partition
     it may be off, which costs time but no answer.
     """
     box = points.groupBy("cloud_id").agg(*[F.min(c).alias(f"o{c}") for c in "xyz"], *[F.max(c).alias(f"m{c}") for c in "xyz"], F.sum("copies").alias("n"))
@@ -44,7 +44,7 @@ def with_levels(points: DataFrame, k: int) -> DataFrame:
     rows = rows.repartitionByRange(partitions(points.sparkSession), "cloud_id", "code").withColumn("part", F.spark_partition_id())
     order = Window.partitionBy("part", "cloud_id").orderBy("code")
     shared = lambda other: F.when(other == F.col("code"), DEEPEST).otherwise(DEEPEST - F.ceil(F.length(F.bin(other.bitwiseXOR(F.col("code")))) / 3))
-    ends = [shared(f("code", max(1, k // 2)).over(order)) for f in (F.lag, F.lead)]
+    ends = [shared(f("code", k).over(order)) for f in (F.lag, F.lead)]
     return rows.withColumn("level", F.coalesce(F.greatest(*ends), F.lit(0)).cast("int")).drop("code", "part")
 
 
@@ -58,7 +58,7 @@ def knn(points: DataFrame, k: int = 32) -> DataFrame:
 
     Points of one place have one answer, and only the first k of them can be in any: one stands for all as a query and
     k as candidates, so that a place of many copies is no large group. Each query looks at the 27 cells around it on the level where
-    its own cell holds more than k / 2 points. Groups of many queries or candidates are split, and the best of their
+    its own cell holds more than k points. Groups of many queries or candidates are split, and the best of their
     parts merged. An answer stands if its last distance is smaller than the way to the edge of the 27 cells; the
     other queries go on with cells of twice the width, until these cover the cloud. Points with a null coordinate have no rows.
     """
