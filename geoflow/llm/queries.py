@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import table
-from . import decontaminate, language, lines, neardup, ordermin, packing, quotes, sharding, tokencount, toxicity
+from . import audit, decontaminate, encoding, language, lines, neardup, ordermin, packing, quotes, sharding, tokencount, toxicity, vectorcodes
 from .common import crc_of_id, whole_text
 
 SHARDS, CONTEXT, OVER, SITES = 24, 2048, 1024, 10
@@ -105,6 +105,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.with_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vectorcodes.train(vectors)
+    coded = vectorcodes.with_codes(vectors, books).select("vec_id", "label", "code", "error")
+    found = vectorcodes.with_label_errors(coded)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+def op13_bpe_reuse(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = encoding.with_encoding(docs, path or tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -112,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_order_minhash": op4_order_minhash,
         "op5_near_duplicates": op5_near_duplicates, "op6_line_dedup": op6_line_dedup, "op7_quotation_linking": op7_quotation_linking,
         "op8_decontamination": op8_decontamination, "op9_toxicity": op9_toxicity, "op10_language": op10_language, "pipeline": corpus_pipeline.run,
+        "op11_vector_codes": op11_vector_codes, "op12_filter_audit": op12_filter_audit, "op13_bpe_reuse": op13_bpe_reuse,
         "nested_quotes": nested_quotes,
     }
 
@@ -143,6 +162,48 @@ select conv_id, turn, role, trim(array_to_string(list_filter(parts, lambda x: no
   cast(len(list_filter(parts, lambda x: starts_with(x, '>'))) as bigint) as n_quoted, reply_to, thread_root,
   row_number() over (partition by conv_id order by thread_root, root, turn, r) - 1 as position from f""",
 }
+
+
+def codes_sql() -> str:
+    """Product codes with the rounds of refinement written out one after another."""
+    dim, far = "(select len(v) // 4 from q limit 1)", "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - c.v[i]) * (a.v[i] - c.v[i])))"
+    near = lambda k: f"select a.r, a.p, min((cast({far} as bigint), c.e)) as best from a join c{k} c using (p) group by a.r, a.p"
+    steps = []
+    for k in range(vectorcodes.ROUNDS):
+        steps.append(f"""n{k} as materialized ({near(k)}),
+m{k} as materialized (select p, e, list(m order by i) as v from (
+  select p, e, i, (s - ((s % n) + n) % n) // n as m from (select p, best[2] as e, i, sum(a.v[i]) as s, count(*) as n from n{k} join a using (r, p), range(1, {dim} + 1) t(i) group by all)) group by p, e),
+c{k + 1} as materialized (select c.p, c.e, coalesce(m.v, c.v) as v from c{k} c left join m{k} m using (p, e))""")
+    last = vectorcodes.ROUNDS
+    return f"""
+with q as materialized (select row_number() over (order by vec_id nulls last, embedding) - 1 as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as materialized (select r, p, v[p * {dim} + 1 : (p + 1) * {dim}] as v from q, range(4) t(p)),
+c0 as materialized (select p, r as e, v from a where r < 256),
+{", ".join(steps)},
+f as materialized ({near(last)}),
+rows as (select r, string_agg(lower(lpad(to_hex(best[2]), 2, '0')), '' order by p) as code, cast(sum(best[1]) as bigint) as error from f group by r),
+sums as (select label, sum(error) as label_error from rows join q using (r) group by label),
+books as (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) as codebooks_sha256 from c{last})
+select vec_id, code, error, cast(label_error as bigint) as label_error, codebooks_sha256 from rows join q using (r) join sums on sums.label is not distinct from q.label, books"""
+
+
+SQL["op11_vector_codes"] = codes_sql()
+SQL["op12_filter_audit"] = r"""
+with recursive d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part from documents),
+least as (select t, min(doc_id) as least from d group by t),
+marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as q, max(case when toxic = 1 then 1 else 0 end) as x from labels group by doc_id),
+w as (select d.*, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda s: s <> '') as words from d),
+f as (select part, coalesce(q, 0) as q, coalesce(x, 0) as x, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+  regexp_matches(t, '[#$%&*|]'), least is not null and (doc_id is null or doc_id > least)] as fails from w join least using (t) left join marks using (doc_id)),
+o as (select '' as done union all select done || l from o, (values ('A'), ('B'), ('C'), ('D'), ('E')) v(l) where position(l in done) = 0),
+s as (select done as filter_order, cast(k as integer) as step, ascii(done[k]) - 64 as own, list_transform(range(1, k), lambda i: ascii(done[i]) - 64) as before from o, range(1, 6) r(k) where length(done) = 5),
+g as (select part, fails, count(*) as n, sum(q) as q, sum(x) as x from f group by all),
+c as (select part, filter_order, step, own, n, q, x, fails[own] as fail, len(list_filter(before, lambda b: fails[b])) > 0 as early, len(list_filter(fails, lambda y: y)) = 1 as alone from g, s),
+e as (select part, filter_order, step, own, sum(case when not fail and not early then n else 0 end) as kept, sum(case when fail and not early then n else 0 end) as removed,
+  sum(case when fail and early then n else 0 end) as redundant, sum(case when fail and alone then n else 0 end) as unique_fails, sum(case when fail and not early then q else 0 end) as good_lost, sum(case when fail and not early then x else 0 end) as toxic_lost from c group by all)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from e"""
 QUOTING = ", ".join(f"'{'> ' * k}' || replace(q{k}.text, chr(10), chr(10) || '{'> ' * k}')" for k in (3, 2, 1))
 QUOTED = " ".join(f"left join given q{k} on q{k}.conv_id = g.conv_id and q{k}.turn + {k} = g.turn" for k in (1, 2, 3))
 VIEW = f"""given as (select conv_id, cast(turn as bigint) as turn, role, text from conversations),
