@@ -32,3 +32,14 @@ def whole_text(df: DataFrame, name: str = "text") -> Column:
 def crc_of_id(name: str = "doc_id") -> Column:
     """crc32 of the id written as text (null as the empty text)."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
+
+
+#: Parts that the rows of one key are dealt into where they meet a table with one row for each key.
+SALTS = 16
+
+
+def salted(unique: DataFrame, many: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``unique`` (one row for each key, sent ``SALTS`` times), so that a frequent key is dealt out."""
+    copies = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = many.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")

@@ -20,13 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import stored
-from .common import small_batches, whole_text
+from .common import salted, small_batches, whole_text
 from .packing import encoder_of
 
 #: Bytes that the rolling hash sees; chunks have 2**CUT_BITS bytes in the mean beyond the least number, and at most MOST_BYTES.
 SEEN, CUT_BITS, LEAST_BYTES, MOST_BYTES = 32, 10, 256, 1 << 16
-#: Parts that the rows of one chunk or text are dealt into where they meet a table of chunks or texts.
-SALTS = 16
 #: What can be made of the ids of a text.
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -144,13 +142,6 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2")]
 
 
-def _salted(unique: DataFrame, many: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """``many`` joined with ``unique`` (one row for each key, sent ``SALTS`` times), so that a frequent key is dealt out."""
-    copies = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = many.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
-
-
 def chunks_of(texts: DataFrame) -> DataFrame:
     """(__h1, __h2, c): the digests of each text's chunks, each once for a row."""
 
@@ -173,7 +164,7 @@ def roles(occurrences: DataFrame) -> DataFrame:
     The owner is the text of the least key. Texts that share nothing have no row.
     """
     shared = occurrences.groupBy("c").agg(F.min("__h1").alias("owner"), F.max("__h1").alias("last")).filter("owner <> last").drop("last")
-    rows = _salted(shared, occurrences, ["c"]).distinct()
+    rows = salted(shared, occurrences, ["c"]).distinct()
     own = F.col("__h1") == F.col("owner")
     return rows.groupBy("__h1", "__h2").agg(F.collect_list(F.when(~own, F.col("c"))).alias("borrowed"), F.collect_list(F.when(own, F.col("c"))).alias("owned"))
 
@@ -213,7 +204,7 @@ def encode_texts(texts: DataFrame, path: str, outputs: list[str]) -> DataFrame:
     whole = first.filter("done is not null").select("__h1", "__h2", *[F.col(f"done.{o}").alias(o) for o in outputs])
     lent = first.select(F.explode("published").alias("p")).select("p.c", "p.ids").dropDuplicates(["c"])
     wanted = first.filter("done is null").select("__h1", "__h2", F.explode(F.array_distinct(F.transform("holes", lambda h: h["c"]))).alias("c"))
-    found = _salted(lent, wanted, ["c"]).groupBy("__h1", "__h2").agg(F.collect_list(F.struct("c", "ids")).alias("lent"))
+    found = salted(lent, wanted, ["c"]).groupBy("__h1", "__h2").agg(F.collect_list(F.struct("c", "ids")).alias("lent"))
     open_ = first.filter("done is null").select("__h1", "__h2", "segments", "holes").join(found, ["__h1", "__h2"])
     return whole.unionByName(open_.mapInPandas(assemble, f"__h1 long, __h2 long, {kinds}"))
 
@@ -230,4 +221,4 @@ def with_encoding(df: DataFrame, path: str, text: str = "text", outputs: tuple[s
     kept = [c for c in df.columns if c not in outputs or c == text]
     rows = df.select(*kept, *_key(whole_text(df, text)))
     texts = df.select(*_key(whole_text(df, text)), whole_text(df, text).alias("text"))
-    return _salted(encode_texts(texts, path, list(outputs)), rows, ["__h1", "__h2"]).select(*[c for c in kept if c not in outputs], *outputs)
+    return salted(encode_texts(texts, path, list(outputs)), rows, ["__h1", "__h2"]).select(*[c for c in kept if c not in outputs], *outputs)

@@ -15,6 +15,16 @@ def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
+def _without(lines: Column, places: Column) -> Column:
+    """The lines but for those at ``places``, joined again; the work grows with the number of lines, not with its square."""
+
+    def rest(all_lines: Column) -> Column:  # as an argument the lines are split once
+        left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), places)
+        return F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n")
+
+    return F.get(F.transform(F.array(lines), rest), F.lit(0))
+
+
 def _row(df: DataFrame, key: str, text: str) -> list[Column]:
     """128 bits that stand for a row's id and text."""
     return [F.xxhash64(F.lit(n), F.col(key).cast("string"), text).alias(f"__r{n}") for n in (1, 2)]
@@ -49,7 +59,8 @@ def spread_lines(df: DataFrame, sites: int, text: str = "text", site: str = "sou
 def removed_lines(df: DataFrame, sites: int, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """For each distinct (id, text) with such lines: its 128-bit key and the places of the lines to remove."""
     spread = spread_lines(df, sites, text, site)
-    placed = df.select(*_row(df, key, text), F.posexplode(_lines(text)).alias("place", "line")).filter(F.trim("line") != "")
+    # In one step Spark would take the row's key after the lines, that is once for each line.
+    placed = df.select(*_row(df, key, text), _lines(text).alias("__lines")).select("__r1", "__r2", F.posexplode("__lines").alias("place", "line")).filter(F.trim("line") != "")
     placed = placed.select("__r1", "__r2", "place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
     return _semi(placed, spread).groupBy("__r1", "__r2").agg(F.collect_set("place").alias("__places"))
 
@@ -63,7 +74,7 @@ def without_boilerplate(df: DataFrame, sites: int = 10, key: str = "doc_id", tex
     """
     rows = df.select("*", *_row(df, key, text)).join(removed_lines(df, sites, key, text, site), ["__r1", "__r2"], "left")
     some = F.col("__places").isNotNull()
-    kept = F.when(some, F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__places", i)), "\n")).otherwise(F.col(text))
+    kept = F.when(some, _without(_lines(text), F.col("__places"))).otherwise(F.col(text))
     more = {"n_lines": F.size(_lines(text)).cast("long"), "n_removed": F.when(some, F.size("__places")).otherwise(0).cast("long")} if counts else {}
     columns = [kept.alias(text) if c == text else F.col(c) for c in df.columns if c not in more]
     return rows.select(*columns, *[v.alias(k) for k, v in more.items()])

@@ -25,6 +25,10 @@ PIECE = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 LATIN = re.compile("([" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250") + "]+)([!-&(-/:-@[-`{-~]*)").fullmatch
 
 
+#: Characters of the longest word that is remembered.
+LONGEST = 64
+
+
 class WordEncoder(dict):
     """Token ids of whole texts for a tokenizer that lower-cases and drops white space, one remembered word at a time.
 
@@ -54,7 +58,9 @@ class WordEncoder(dict):
         if ids is None:
             spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.shown)
             packed = self.packed
-            ids = self.letters[low] = b"".join([packed[t.id] for t in self.tokenize(spelt)])
+            ids = b"".join([packed[t.id] for t in self.tokenize(spelt)])
+            if len(low) <= LONGEST:
+                self.letters[low] = ids
         return ids
 
     def _of_marks(self, marks: str) -> bytes:
@@ -62,7 +68,9 @@ class WordEncoder(dict):
         if ids is None:
             if len(self.marks) > 10_000:
                 self.marks.clear()
-            ids = self.marks[marks] = self._library(marks)
+            ids = self._library(marks)
+            if len(marks) <= LONGEST:
+                self.marks[marks] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -75,7 +83,8 @@ class WordEncoder(dict):
                 ids = self._of_letters(found[1].lower())
                 if found[2]:
                     ids += self._of_marks(found[2])
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

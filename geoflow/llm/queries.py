@@ -154,8 +154,8 @@ p as (select r, conv_id, turn, level, string_agg(rest, chr(10) order by place) a
       union all select r, conv_id, turn, level, rest from u),
 q as (select distinct r, conv_id, turn, level, trim(regexp_replace(lower(passage), '\s+', ' ', 'g')) as passage from p),
 own as (select conv_id, passage, arg_min(r, turn) as parent, min(turn) as parent_turn from q where level = 0 and passage <> '' group by conv_id, passage),
-link as (select q.r, arg_max(parent, length(q.passage) * 1000000 + parent_turn) as parent, arg_max(parent_turn, length(q.passage) * 1000000 + parent_turn) as reply_to
-      from q join own using (conv_id, passage) where level > 0 and parent_turn < q.turn group by q.r),
+quoted as (select q.r, level, length(q.passage) as n, parent, parent_turn from q join own using (conv_id, passage) where level > 0 and parent_turn < q.turn),
+link as (select r, parent, parent_turn as reply_to from quoted qualify row_number() over (partition by r order by level, n desc, parent_turn desc) = 1),
 up as (select r, r as root from m where r not in (select r from link) union all select link.r, up.root from link join up on link.parent = up.r),
 f as (select m.*, reply_to, root, t.turn as thread_root from m left join link using (r) join up using (r) join (select r as root, turn from m) t using (root))
 select conv_id, turn, role, trim(array_to_string(list_filter(parts, lambda x: not starts_with(x, '>')), chr(10))) as body,

@@ -33,6 +33,8 @@ CHUNK = 128
 STRIP = 1_000_000
 #: Bytes at the start of a piece over which the machine's path is remembered as one step.
 HEAD = 7
+#: Characters of the longest piece that is remembered.
+LONGEST = 64
 #: The code points with Unicode's White_Space property.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -258,10 +260,11 @@ class TokenCounter:
         pieces = [joined[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
         if len(self.memo) > self.most:
             self.memo.clear()
-        memo, count = self.memo, self.machine.count
-        for p in set(pieces).difference(memo):
-            memo[p] = count(p.encode("utf-8", "surrogatepass"))
-        counts = np.fromiter(map(memo.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        memo, count, long = self.memo, self.machine.count, {}
+        for p in set(pieces).difference(memo):  # long pieces are counted for this strip alone
+            (memo if len(p) <= LONGEST else long)[p] = count(p.encode("utf-8", "surrogatepass"))
+        of = (lambda p: memo[p] if len(p) <= LONGEST else long[p]) if long else memo.__getitem__
+        counts = np.fromiter(map(of, pieces), dtype=np.int64, count=len(pieces))
         return np.bincount(np.searchsorted(stops, begins), weights=counts, minlength=len(texts)).astype(np.int64)
 
     def count(self, texts: list[str]) -> np.ndarray:
