@@ -1,7 +1,7 @@
 """Filter interaction audit: what each filter removes for every order of the filters, by streaming with retraction.
 
 Files arrive as available-now micro-batches. Whether a text is a copy depends on rows that come later: the state of
-a text holds the least id so far and the rows that have it. When a smaller id arrives, the mask under which those rows
+a text holds the least id so far and the rows that have it; texts are kept in buckets by their hash. When a smaller id arrives, the mask under which those rows
 were counted is retracted and they are counted again as copies. Counters of masks by part are all that the audit needs.
 """
 
@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -28,13 +28,15 @@ COPY = 1 << FILTERS.index("E")
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Micro-batches that the files are dealt into.
 BATCHES = 4
-#: Memory for the states of all texts on one executor.
-STATE_MB = 256
 #: The id of rows without one: after all others.
 LAST = (1 << 63) - 1
-ROW = "a long, b long, id long, mask int, quality int, toxic int, parts array<string>, counts array<long>, done boolean"
+#: What a row counts for; what the state holds of a text.
+COUNTED = ["part", "mask", "quality", "toxic"]
+TEXT = ["a", "b", "id", *COUNTED, "n"]
+ROW = "bucket long, a long, b long, id long, part string, mask int, quality int, toxic int, n long, done boolean"
 CHANGE = "part string, mask int, quality int, toxic int, n long"
-STATE = "id long, mask int, quality int, toxic int, parts array<string>, counts array<long>"
+#: Rows of the table for each bucket of texts: the states of a bucket are read and written together.
+BUCKET_ROWS = 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -60,71 +62,59 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(marks, "doc_id", "left").select("a", "b", "id", "part", "mask", *flags)
 
 
-def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the rows of a text in one batch, those of the least id as one row; all others are copies for good, counted at once.
+def _counted(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    return rows.groupby(keys, sort=False)["n"].sum().reset_index()
+
+
+def folded(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of the rows of a text in one batch, those of the least id; all others are copies for good and only counted.
 
     So a text that a third of all rows have sends one row for each batch to its state.
     """
-    for batch in batches:
-        if not len(batch):
-            continue
-        least = batch.groupby(["a", "b"], sort=False)["id"].transform("min")
-        copies = batch[batch["id"] > least]
-        first = batch[batch["id"] == least].groupby(["a", "b", "id", "mask", "quality", "toxic", "part"], sort=False).size().rename("n").reset_index()
-        grouped = first.groupby(["a", "b"], sort=False)
-        rows = grouped[["id", "mask", "quality", "toxic"]].first().reset_index()
-        lists = grouped.agg(parts=("part", list), counts=("n", list))
-        yield rows.assign(parts=lists["parts"].to_numpy(), counts=lists["counts"].to_numpy(), done=False)
-        if len(copies):
-            counted = copies.groupby(["mask", "quality", "toxic", "part"], sort=False).size().rename("n").reset_index()
-            out = counted.assign(a=np.arange(len(counted)), b=0, id=LAST, mask=counted["mask"] | COPY, parts=[[p] for p in counted["part"]], counts=[[n] for n in counted["n"]], done=True)
-            yield out[["a", "b", "id", "mask", "quality", "toxic", "parts", "counts", "done"]]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch["n"] = 1
+            least = batch.groupby(["a", "b"], sort=False)["id"].transform("min")
+            copy = batch["id"] > least
+            first = _counted(batch[~copy], ["a", "b", "id", *COUNTED])
+            copies = _counted(batch[copy].assign(mask=batch["mask"] | COPY), COUNTED)
+            copies = copies.assign(a=np.arange(len(copies)), b=0, id=LAST)
+            for rows, done in ((first, False), (copies, True)):
+                if len(rows):
+                    yield rows.assign(bucket=rows["a"] % buckets, done=done)[["bucket", "a", "b", "id", *COUNTED, "n", "done"]]
+
+    return fold
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def updated(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters that the new rows of a text bring; the state is (id, mask, quality, toxic, parts, counts) of its least id."""
-    out: list[tuple] = []
-    held = state.getOption if state.exists else None
-    before = held
-    for batch in batches:
-        for r in batch.itertuples(index=False):
-            row = (r.id, r.mask, r.quality, r.toxic, list(r.parts), list(r.counts))
-            if r.done:
-                out += [(p, r.mask, r.quality, r.toxic, n) for p, n in zip(r.parts, r.counts, strict=True)]
-            elif held is None or row[0] < held[0]:
-                if held is not None:  # a smaller id: what was counted is taken back and counted as copies
-                    out += [(p, mask, *held[2:4], sign * n) for p, n in zip(held[4], held[5], strict=True) for mask, sign in ((held[1], -1), (held[1] | COPY, 1))]
-                out += [(p, r.mask, r.quality, r.toxic, n) for p, n in zip(r.parts, r.counts, strict=True)]
-                held = row
-            else:
-                tie = row[0] == held[0]
-                out += [(p, r.mask if tie else r.mask | COPY, r.quality, r.toxic, n) for p, n in zip(r.parts, r.counts, strict=True)]
-                if tie:
-                    counts = dict(zip(held[4], held[5], strict=True))
-                    for p, n in zip(r.parts, r.counts, strict=True):
-                        counts[p] = counts.get(p, 0) + n
-                    held = (*held[:4], list(counts), list(counts.values()))
-    if held is not before:
-        state.update((*map(int, held[:4]), [str(p) for p in held[4]], [int(n) for n in held[5]]))
-    yield pd.DataFrame(out, columns=["part", "mask", "quality", "toxic", "n"])
-
-
-@contextmanager
-def states_on_disk(spark: SparkSession) -> Iterator[None]:
-    """While a stream runs, its state lies in RocksDB on the executors' disks, in bounded memory; what the session asks for itself goes first."""
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
-    }
-    unset = {k: v for k, v in wanted.items() if k not in spark.conf.getAll}
-    for k, v in unset.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k in unset:
-            spark.conf.unset(k)
+    """Changes of the counters that the new rows of a bucket's texts bring.
+
+    The state holds, for each text of the bucket, the least id so far and what is counted for its rows (part, mask, labels, number).
+    """
+    arrived = pd.concat([*batches], ignore_index=True)
+    final, arrived = arrived[arrived["done"]], arrived[~arrived["done"]]
+    held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else arrived.iloc[:0][TEXT]
+    both = pd.concat([held.assign(old=True), arrived[TEXT].assign(old=False)], ignore_index=True).astype({"old": bool})
+    least = both.groupby(["a", "b"], sort=False)["id"].transform("min")
+    late = both["id"] > least
+    changes = [final]
+    taken = both[late & both["old"]]  # a smaller id came: what was counted is taken back, then counted as copies
+    changes += [taken.assign(n=-taken["n"]), both[late].assign(mask=both["mask"] | COPY), both[~late & ~both["old"]]]
+    out = _counted(pd.concat([x[[*COUNTED, "n"]] for x in changes]), COUNTED)
+    if len(arrived):
+        state.update((packed(_counted(both[~late], TEXT[:-1])),))
+    yield out[out["n"] != 0][["part", "mask", "quality", "toxic", "n"]]
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -132,6 +122,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
 
     The files are read as a stream of about ``batches`` available-now micro-batches. The changes of a micro-batch are summed and
     written to a folder of its number in the shared folder, which a repeated one replaces; state and progress lie there too.
+    The states, about 50 bytes a distinct text, are held by the state store that the session asks for: where they are larger than
+    the executors' memory, that should be the one in RocksDB (``spark.sql.streaming.stateStore.providerClass``).
     """
     docs = spark.read.parquet(path)
     if not {"doc_id", "text", "lang"} <= set(docs.columns):
@@ -139,15 +131,15 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     folder = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
     each = -(-len(docs.inputFiles()) // batches)
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", max(each, 1)).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may also name a single file
-    rows = judged(stream, labels).mapInPandas(folded, ROW)
-    changes = rows.groupBy("a", "b", "done").applyInPandasWithState(updated, CHANGE, STATE, "append", "NoTimeout")
+    buckets = -(-docs.count() // BUCKET_ROWS) + 1
+    rows = judged(stream, labels).mapInPandas(folded(buckets), ROW)
+    changes = rows.groupBy("bucket").applyInPandasWithState(updated, CHANGE, "rows binary", "append", "NoTimeout")
 
     def count(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask", "quality", "toxic").agg(F.sum("n").alias("n")).filter("n <> 0").write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
 
     count(spark.createDataFrame([], CHANGE), -1)  # so that an empty table has counters as well
-    with states_on_disk(spark):
-        changes.writeStream.foreachBatch(count).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    changes.writeStream.foreachBatch(count).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(f"{CHANGE}, batch long").parquet(f"{folder}/counters")
     return found.groupBy("part", "mask", "quality", "toxic").agg(F.sum("n").alias("n")).filter("n <> 0")
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geoflow.llm import audit, encoding, queries, vectorcodes
+from geoflow.llm import audit, common, encoding, queries, vectorcodes
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -102,7 +102,8 @@ def brute_audit(docs, labels):
     return {k: (*v, share[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
 
 
-def test_audit_retracts_when_smaller_ids_come_later(spark, tmp_path):
+def test_audit_retracts_when_smaller_ids_come_later(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(audit, "BUCKET_ROWS", 100)
     rng = random.Random(2)
     long = " ".join(f"w{k}" for k in range(250))
     texts = [None, "", "a b a b", long, long + " #", "A" * 40 + long, "x " * 60_000, "tail"]
@@ -124,10 +125,10 @@ def test_changes_of_one_text_add_up():
     """Whatever the order of arrival, the counters of one text are those of all its rows at once."""
 
     class State:
-        exists, getOption = False, None
+        exists, get = False, None
 
         def update(self, new):
-            self.exists, self.getOption = True, new
+            self.exists, self.get = True, new
 
     import pandas as pd
 
@@ -136,11 +137,10 @@ def test_changes_of_one_text_add_up():
         state, total = State(), Counter()
         for chunk in (order[:2], order[2:3], order[3:]):
             batch = pd.DataFrame([(1, 2, i, p, 4, 0, 1) for i, p in chunk], columns=["a", "b", "id", "part", "mask", "quality", "toxic"])
-            for part in audit.folded(iter([batch])):
-                for done, some in part.groupby("done"):
-                    for out in audit.updated((1, 2, done), iter([some]), State() if done else state):
-                        for r in out.itertuples():
-                            total[r.part, r.mask] += r.n
+            for part in audit.folded(5)(iter([batch])):
+                for out in audit.updated((1,), iter([part]), state):
+                    for r in out.itertuples():
+                        total[r.part, r.mask] += r.n
         assert {k: n for k, n in total.items() if n} == {("fr", 4): 2, ("en", 20): 3, ("de", 20): 2}
 
 
@@ -229,3 +229,20 @@ def test_encoding_of_documents(spark):
     for r in found:
         ids, decoded = library(texts[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_rows_of_frequent_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROWS_A_SALT", 3)
+    many = spark.createDataFrame([(i % 7 if i % 2 else 3, i) for i in range(100)], "k long, v int")
+    unique = spark.createDataFrame([(k, f"u{k}") for k in range(6)], "k long, u string")
+    for how in ("inner", "left"):
+        want = sorted(map(repr, many.join(unique, ["k"], how).select("k", "v", "u").collect()))
+        assert sorted(map(repr, common.salted(unique, many, ["k"], how).select("k", "v", "u").collect())) == want
+
+
+def test_encoding_with_frequent_texts_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROWS_A_SALT", 3)
+    passage = " ".join(f"word{i}" for i in range(900))
+    texts = [passage] * 20 + [f"{passage} {i}" for i in range(20)]
+    found = encoding.with_encoding(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), WORDS, outputs=("ids",)).collect()
+    assert len(found) == 40 and all(r.ids == library(texts[r.doc_id])[0] for r in found)
