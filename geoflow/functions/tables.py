@@ -48,6 +48,37 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` written once as a table bucketed by ``keys``, in the shared folder, and read by name.
+
+    Spark knows how such a table is dealt out: joins on the keys read it in place. It has as many buckets as there are shuffle
+    partitions, each in one file. ``drop_bucketed`` forgets the table.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    n = partitions(spark)
+    path = f"{shared_folder(spark)}/{name}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    found.bucketed_name = name
+    return found
+
+
+def batches_by_bytes(spark: SparkSession, most: int = 64 << 20) -> None:
+    """Ends Arrow batches at ``most`` bytes, for rows that are large. Only ever lowers what the session asks for; it stays, as plans run later."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdecimal() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Forgets a table of ``bucketed`` and deletes its files."""
+    spark, name = df.sparkSession, df.bucketed_name
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

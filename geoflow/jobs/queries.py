@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vec
-from ..functions.tables import pin
+from ..functions.tables import pin, shared_folder
 from ..operators import compare, diffusion, fields, forms, hodge, knn, markov, mesh, products, spectral
 from . import files, views
 from .sql import SQL
@@ -163,14 +164,37 @@ def d1_markov_step(spark, sf_dir):
 
 def d3_heat_run(spark, sf_dir):
     points = views.pts_embed(spark, sf_dir)
-    rows = diffusion.run(graph(spark, sf_dir).markov, fields.impulse(points), STEPS)
+    rows = diffusion.run(graph(spark, sf_dir).markov, fields.impulse(points), STEPS, places=points)
     return shown(rows.select(F.col("step").cast("long").alias("step"), "point_id", "value"), "step", "point_id", digits=4)
 
 
 def d2_steps(spark, sf_dir):
     """Seven steps of the heights: no multiple of the steps between snapshots."""
     points = views.pts_embed(spark, sf_dir)
-    return shown(diffusion.steps(graph(spark, sf_dir).markov, fields.height(points), 7).drop("cloud_id"), "point_id")
+    return shown(diffusion.steps(graph(spark, sf_dir).markov, fields.height(points), 7, points).drop("cloud_id"), "point_id")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A new folder for the snapshots of a run."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def d3_heat_program(spark, sf_dir):
+    """100 steps from the impulse; every fifth is written as a partition and the run broken off once and resumed."""
+    points, folder = views.pts_embed(spark, sf_dir), run_folder(spark)
+    markov, begin = graph(spark, sf_dir).markov, pin(fields.impulse(points))
+    diffusion.run_to(folder, markov, begin, 100, places=points, stop_after=40)
+    rows = diffusion.run_to(folder, markov, begin, 100, places=points)
+    return shown(rows.select(F.col("step").cast("long").alias("step"), "point_id", "value"), "step", "point_id", digits=4)
+
+
+def m8_flow_frames(spark, sf_dir):
+    """Curvature, export and flow of six frames of the normalised surface, broken off once and resumed."""
+    points, faces = views.mesh_part(spark, sf_dir)
+    points, folder = pin(fields.normalize(points)), run_folder(spark)
+    mesh.flow_to(folder, points, faces, 6, stop_after=2)
+    rows = mesh.flow_to(folder, points, faces, 6)
+    return rows.select(F.col("step").cast("long").alias("frame"), "point_id", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("x", 6), ("y", 6), ("z", 6), ("h", 5), ("k", 3))])
 
 
 def d4_carre_du_champ(spark, sf_dir):
@@ -399,16 +423,13 @@ QUERIES = (
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
     p11_multivector_sum, p12_long_vectors, d2_steps, d6_matrices, e2_eigenbasis, e3_eigenvalues, harmonic_coordinates,
     f12_down_laplacian, f15_harmonic_modes, q6_spectrum_error, f22_padded, f25_ambient_dual, f26_facing_outward,
+    d3_heat_program, m8_flow_frames,
 )
 
 
-#: Second names of queries that once ran over a part of their table under the first one.
-ALSO = {f"{f.__name__}_whole": f for f in (p3_field_bounds, m1_incidence, q1_point_agreement)}
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*QUERIES, *files.QUERIES)} | ALSO
+    return {f.__name__: f for f in (*QUERIES, *files.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | {name: SQL[f.__name__] for name, f in ALSO.items()}
+    return dict(SQL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 K, STEPS = 32, 20
 
 
@@ -29,6 +31,8 @@ sides as (select v0 as src, v1 as dst from faces union select v1, v0 from faces
 
 
 ORDERS, PART = grid("orders", "o_orderkey", "o_totalprice / 100000"), grid("part", "p_partkey", "p_retailprice / 100")
+NORMALIZED = """box as (select (min(x) + max(x)) / 2 as cx, (min(y) + max(y)) / 2 as cy, (min(z) + max(z)) / 2 as cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) as e from pts),
+f0 as materialized (select point_id, (x - cx) * 2 / e as x, (y - cy) * 2 / e as y, (z - cz) * 2 / e as z from pts, box)"""
 CORNERS = """c as (select f.v as point_id, p.x, p.y, p.z, a.x - p.x as ux, a.y - p.y as uy, a.z - p.z as uz, b.x - p.x as wx, b.y - p.y as wy, b.z - p.z as wz, a.x + b.x as sx, a.y + b.y as sy, a.z + b.z as sz
   from (select v0 as v, v1 as a, v2 as b from faces union all select v1, v2, v0 from faces union all select v2, v0, v1 from faces) f
   join pts p on p.point_id = f.v join pts a on a.point_id = f.a join pts b on b.point_id = f.b),
@@ -71,6 +75,18 @@ def gamma(pairs: list[tuple[str, str, str]], source: str) -> str:
     return f"select src as point_id, {terms} from markov join {source} i on i.point_id = src join {source} j on j.point_id = dst join (select point_id, bw from nodes) b on b.point_id = src group by src"
 
 
+def bent(k: int) -> str:
+    """v<k>: curvature of the vertices f<k>."""
+    tables = re.sub(r"\b([cwg]) as \(", rf"\g<1>_{k} as (", CORNERS)
+    tables = re.sub(r"from ([cwg])\b", rf"from \g<1>_{k}", tables).replace("join pts ", f"join f{k} ")
+    return f"""{tables}, v{k} as (select point_id, case when nx * nx + ny * ny + nz * nz > 1e-12 then ((sx / (2 * n) - x) * nx + (sy / (2 * n) - y) * ny + (sz / (2 * n) - z) * nz) / sqrt(nx * nx + ny * ny + nz * nz) else 0 end as h,
+case when area > 1e-12 then (2 * pi() - angles) / area else 0 end as k from g_{k})"""
+
+
+def heat(count: int) -> str:
+    return ", ".join(f"h{k} as materialized (select src as point_id, sum(w * value) as value from markov join h{k - 1} on dst = h{k - 1}.point_id group by src)" for k in range(1, count + 1))
+
+
 HEAT = ", ".join(f"h{k} as materialized (select src as point_id, sum(w * value) as value from markov join h{k - 1} on dst = h{k - 1}.point_id group by src)" for k in range(1, STEPS + 1))
 FLOW = ", ".join(
     f"f{k} as materialized (select p.point_id, coalesce(p.x + 0.5 * (m.x - p.x), p.x) as x, coalesce(p.y + 0.5 * (m.y - p.y), p.y) as y, coalesce(p.z + 0.5 * (m.z - p.z), p.z) as z from f{k - 1} p left join (select src, avg(x) as x, avg(y) as y, avg(z) as z from sides join f{k - 1} on dst = point_id group by src) m on src = p.point_id)"
@@ -172,6 +188,10 @@ case when area > 1e-12 then (2 * pi() - angles) / area else 0 end as k from g) s
     "d1_markov_step": f"with {GRAPH} select src as point_id, {r('sum(w * y)', 'value')} from markov join pts on dst = point_id group by src",
     "d3_heat_run": f"with {GRAPH}, h0 as (select point_id, case when point_id = (select point_id from pts order by y desc, point_id limit 1) then 1000.0 else 0.0 end as value from pts), {HEAT} "
     + " union all ".join(f"select cast({k} as bigint) as step, point_id, {r('value', 'value', 4)} from h{k}" for k in range(0, STEPS + 1, 5)),
+    "d3_heat_program": f"with {GRAPH}, h0 as (select point_id, case when point_id = (select point_id from pts order by y desc, point_id limit 1) then 1000.0 else 0.0 end as value from pts), {heat(100)} "
+    + " union all ".join(f"select cast({k} as bigint) as step, point_id, {r('value', 'value', 4)} from h{k}" for k in range(0, 101, 5)),
+    "m8_flow_frames": f"with {PART}, {NORMALIZED}, {FLOW}, {', '.join(map(bent, range(6)))} "
+    + " union all ".join(f"select cast({k} as bigint) as frame, point_id, {each('x y z', 6)}, {r('coalesce(h, 0)', 'h')}, {r('coalesce(k, 0)', 'k', 3)} from f{k} left join v{k} using (point_id)" for k in range(6)),
     "d4_carre_du_champ": f"with {GRAPH}, s as (select point_id, ix as x, iy as y, iz as z from nodes), q as ({gamma([('g_x_x', 'x', 'x'), ('g_x_y', 'x', 'y'), ('g_z_z', 'z', 'z')], 's')}) select point_id, {each('g_x_x g_x_y g_z_z')} from q",
     "d8_data_immersion": f"with {GRAPH}, s as (select point_id, x, y, z, ix, iy, iz from nodes join pts using (point_id)), q as ({gamma([(f'g_{a}_i{b}', a, f'i{b}') for a in 'xyz' for b in 'xyz'], 's')}) select point_id, {each(' '.join(f'g_{a}_i{b}' for a in 'xyz' for b in 'xyz'))} from q",
     "f_form_matrices": f'with {GRAPH}, {WIDE}, {ALL_GAMMAS}, m as ({_matrices(("g0", "g1", "g2", "d0", "e0", "e1"))}) select name, cast("row" as bigint) as "row", cast(col as bigint) as col, {r("value", "value")} from m',

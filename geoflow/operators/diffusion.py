@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import gapless_rank
 from ..functions.tables import stored
+from . import blocks, runs
 
 
 def step(markov: DataFrame, field: DataFrame) -> DataFrame:
@@ -14,25 +17,78 @@ def step(markov: DataFrame, field: DataFrame) -> DataFrame:
     return markov.join(ends, ["cloud_id", "dst"]).groupBy("cloud_id", F.col("src").alias("point_id")).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def steps(markov: DataFrame, field: DataFrame, count: int, every: int = 5) -> DataFrame:
-    """(cloud_id, point_id, value): the field after ``count`` steps; for 0 or less the field itself. Lineage is cut at every ``every`` steps."""
-    for k in range(1, count + 1):
-        field = step(markov, field)
-        if k % every == 0:
-            field = stored(field)
-    return field.select("cloud_id", "point_id", "value")
+def _means(moved: np.ndarray, v: np.ndarray, prev: np.ndarray, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    return moved, v, extra
 
 
-def run(markov: DataFrame, field: DataFrame, count: int, every: int = 5) -> DataFrame:
+def _laid_out(markov: DataFrame, field: DataFrame, places: DataFrame | None) -> blocks.Blocks:
+    """The chain by blocks of points: near ones where ``places`` (cloud_id, point_id, x, y, z) are given, else of near ids."""
+    if places is not None:
+        return blocks.layout(markov, blocks.along_curve(places))
+    ids = field.select("cloud_id", "point_id").union(markov.select("cloud_id", "src")).distinct()
+    return blocks.layout(markov, gapless_rank(ids, ["cloud_id"], [F.col("point_id")], "at"))
+
+
+def _begun(plan: blocks.Blocks, field: DataFrame) -> DataFrame:
+    return blocks.start(plan, field.select("cloud_id", "point_id", F.array("value").alias("v")))
+
+
+def _values(plan: blocks.Blocks, state: DataFrame) -> DataFrame:
+    return blocks.unpacked(plan, state).select("cloud_id", "point_id", F.get("v", F.lit(0)).alias("value"))
+
+
+def steps(markov: DataFrame, field: DataFrame, count: int, places: DataFrame | None = None) -> DataFrame:
+    """(cloud_id, point_id, value): the field after ``count`` steps; for 0 or less the field itself. Points without a value have 0.
+
+    The edges are packed into blocks once and stay there; all steps are one plan.
+    """
+    if count <= 0:
+        return field.select("cloud_id", "point_id", "value")
+    plan = _laid_out(markov, field, places)
+    found = stored(_values(plan, blocks.walk(plan, _begun(plan, field), [_means] * count)))
+    plan.drop()
+    return found
+
+
+def run(markov: DataFrame, field: DataFrame, count: int, every: int = 5, places: DataFrame | None = None) -> DataFrame:
     """(cloud_id, step, point_id, value): snapshots at 0, after every ``every`` steps and after the last one."""
     out = field.select("cloud_id", F.lit(0).alias("step"), "point_id", "value")
+    if count <= 0:
+        return out
+    plan = _laid_out(markov, field, places)
+    state = _begun(plan, field)
     for k in range(0, count, every):
         now = min(k + every, count)
-        field = stored(steps(markov, field, now - k, every + 1))
-        out = out.union(field.select("cloud_id", F.lit(now).alias("step"), "point_id", "value"))
+        state = stored(blocks.walk(plan, state, [_means] * (now - k)))
+        out = out.union(stored(_values(plan, state)).select("cloud_id", F.lit(now).alias("step"), "point_id", "value"))
+    plan.drop()
     return out
 
 
+def run_to(folder: str, markov: DataFrame, field: DataFrame, count: int, every: int = 5, places: DataFrame | None = None, stop_after: int | None = None) -> DataFrame:
+    """Like ``run``, with each snapshot written to ``folder`` as a partition of its step.
+
+    A run that was broken off goes on from its last whole snapshot: a step's files are replaced whole, and a step counts only once
+    the manifest names it. ``field`` must be the same as before. ``stop_after`` ends a run early, after that step.
+    """
+    spark = markov.sparkSession
+    wanted = sorted({*range(0, count + 1, every), count})
+    done = runs.finished(spark, folder, wanted)
+    if not done:
+        runs.finish(field.select("cloud_id", "point_id", "value"), folder, 0)
+        done = [0]
+    plan = None
+    for before, now in zip(wanted, wanted[1:], strict=False):
+        if now in done or stop_after is not None and now > stop_after:
+            continue
+        plan = plan or _laid_out(markov, field, places)
+        state = _begun(plan, runs.snapshot(spark, folder, before))
+        runs.finish(_values(plan, blocks.walk(plan, state, [_means] * (now - before))), folder, now)
+    if plan:
+        plan.drop()
+    return runs.snapshots(spark, folder, wanted)
+
+
 def carre_du_champ(markov: DataFrame, nodes: DataFrame, fields: DataFrame, pairs: list[tuple[str, str]], mean_centres: bool = True) -> DataFrame:
     """(cloud_id, point_id, g_<f>_<h>, ...): weighted local covariance of field columns over twice the diffusion time.
 

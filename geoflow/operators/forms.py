@@ -5,14 +5,19 @@ Basis: (cloud_id, point_id, phi array<double>). Matrices come out as (cloud_id,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+
 MATRIX = "cloud_id long, name string, row int, col int, value double"
+#: Points whose covariances are held at a time.
+POINTS = 256
 #: The ordered index pairs of 2-forms in three dimensions.
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
@@ -62,8 +67,11 @@ def form_matrices(gammas: DataFrame, n1: int) -> DataFrame:
         sums: dict[tuple[int, str], np.ndarray] = {}
         for rows in batches:
             for cloud, part in rows.groupby("cloud_id"):
-                for i in range(0, len(part), 256):
-                    for name, m in _one_batch(part.iloc[i : i + 256], n1):
+                for i in range(0, len(part), POINTS):
+                    some = part.iloc[i : i + POINTS]
+                    mu, u, g = some["mu"].to_numpy(), np.stack(some["phi"].to_numpy()), np.stack(some["g"].to_numpy())
+                    size = u.shape[1] + 3
+                    for name, m in _one_batch(mu, u, g.reshape(-1, size, size), n1):
                         sums[cloud, name] = sums.get((cloud, name), 0) + m
         for (cloud, name), m in sums.items():
             r, c = np.indices(m.shape)
@@ -72,11 +80,54 @@ def form_matrices(gammas: DataFrame, n1: int) -> DataFrame:
     return gammas.mapInPandas(partial, MATRIX).groupBy("cloud_id", "name", "row", "col").agg(F.sum("value").alias("value"))
 
 
-def _one_batch(part: pd.DataFrame, n1: int) -> Iterator[tuple[str, np.ndarray]]:
-    mu, u = part["mu"].to_numpy(), np.stack(part["phi"].to_numpy())[:, :n1]
-    g = np.stack(part["g"].to_numpy())
-    size = int(round(np.sqrt(g.shape[1])))
-    g = g.reshape(-1, size, size)
+@dataclass
+class Assembly:
+    """A basis at the points beside the chain, laid out by blocks: from it sums over all points' covariances are made, none of which leaves its block."""
+
+    plan: blocks.Blocks
+    state: DataFrame
+    mean_centres: bool = True
+
+    def sums(self, look: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], dict[str, np.ndarray]], extra: DataFrame | None = None) -> DataFrame:
+        """Matrices (cloud_id, name, row, col, value): what ``look`` makes of (mu, phi, covariances, extra) of some points, added up.
+
+        ``extra`` (cloud_id, extra binary) is given to each block of its cloud; clouds without one have no sums.
+        """
+        centred = self.mean_centres
+        state = self.state if extra is None else self.state.drop("extra").join(extra, "cloud_id")
+        return blocks.visit(self.plan, state, lambda near: (look(*part, near.extra) for part in _covariances(near, centred)))
+
+    def matrices(self, n1: int) -> DataFrame:
+        """What ``form_matrices`` gives of ``gamma_rows``, covariance and contraction in one pass."""
+        return self.sums(lambda mu, u, g, _: dict(_one_batch(mu, u, g, n1)))
+
+
+def assembly(markov: DataFrame, nodes: DataFrame, basis: DataFrame, mean_centres: bool = True) -> Assembly:
+    """Lays out chain and basis; each further sum over points costs one message from block to block."""
+    plan = blocks.layout(markov, blocks.along_curve(nodes, ("ix", "iy", "iz")))
+    field = nodes.join(basis, ["cloud_id", "point_id"]).select("cloud_id", "point_id", F.concat(F.array("mu", "bw", "ix", "iy", "iz"), "phi").alias("v"))
+    return Assembly(plan, blocks.start(plan, field), mean_centres)
+
+
+def _covariances(near: blocks.Near, mean_centres: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """mu, phi and the covariances of (ix, iy, iz, phi...) around each point, for ``POINTS`` points at a time."""
+    starts = near.starts()
+    ends = np.append(starts[1:], len(near.src))
+    for k in range(0, len(starts), POINTS):
+        own = near.v[near.src[starts[k : k + POINTS]]]
+        g = np.empty((len(own), near.v.shape[1] - 2, near.v.shape[1] - 2))
+        for p, (a, b) in enumerate(zip(starts[k : k + POINTS], ends[k : k + POINTS], strict=True)):
+            d, w = near.ends[near.dst[a:b], 2:] - own[p, 2:], near.w[a:b]
+            g[p] = d.T @ (d * w[:, None])
+            if mean_centres:
+                m = w @ d
+                g[p] -= np.outer(m, m)
+            g[p] /= 2 * max(own[p, 1], 1e-8)
+        yield own[:, 0], own[:, 5:], g
+
+
+def _one_batch(mu: np.ndarray, u: np.ndarray, g: np.ndarray, n1: int) -> Iterator[tuple[str, np.ndarray]]:
+    u = u[:, :n1]
     metric, mixed, inner = g[:, :3, :3], g[:, :3, 3 : 3 + n1], g[:, 3 : 3 + n1, 3 : 3 + n1]
     flat = lambda m: m.reshape(m.shape[0] * m.shape[1], -1)
     for k in range(4):

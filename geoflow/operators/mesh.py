@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vec
 from ..functions.ranking import gapless_rank
-from ..functions.tables import partitions, pin
+from ..functions.tables import partitions, pin, stored
+from ..sources.sinks import write_heat_obj
+from . import blocks, fields, runs
 
 
 def vertices_of(points: DataFrame) -> DataFrame:
@@ -100,14 +103,63 @@ def flow_step(points: DataFrame, ring: DataFrame, dt: float = 0.5) -> DataFrame:
     return rows.select("cloud_id", "point_id", *[F.coalesce(F.col(c) + dt * (F.col(f"m{c}") - F.col(c)), F.col(c)).alias(c) for c in "xyz"])
 
 
-def flow(points: DataFrame, faces: DataFrame, frames: int, dt: float = 0.5, every: int = 4) -> DataFrame:
-    """``frames`` steps; the lineage is cut every few."""
-    ring = pin(one_ring(points, faces))
-    for k in range(1, frames + 1):
-        points = flow_step(points, ring, dt)
-        if k % every == 0 and k < frames:
-            points = pin(points)
-    return points
+def _laid_out(points: DataFrame, faces: DataFrame) -> blocks.Blocks:
+    """The means over rings as an operator by blocks; a vertex without a ring is its own mean."""
+    ring = stored(one_ring(points, faces).select(F.col("mesh_id").alias("cloud_id"), "src", "dst"))
+    degree = ring.groupBy("cloud_id", "src").agg((1 / F.count(F.lit(1))).alias("w"))
+    alone = points.select("cloud_id", F.col("point_id").alias("src")).join(degree, ["cloud_id", "src"], "left_anti")
+    edges = ring.join(degree, ["cloud_id", "src"]).union(alone.select("cloud_id", "src", F.col("src").alias("dst"), F.lit(1.0)).toDF("cloud_id", "src", "dst", "w"))
+    return blocks.layout(edges, blocks.along_curve(points))
+
+
+def _toward(dt: float) -> blocks.Combine:
+    def combine(moved: np.ndarray, v: np.ndarray, prev: np.ndarray, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        return v + dt * (moved - v), v, extra
+
+    return combine
+
+
+def _begun(plan: blocks.Blocks, points: DataFrame) -> DataFrame:
+    return blocks.start(plan, points.select("cloud_id", "point_id", F.array("x", "y", "z").alias("v")))
+
+
+def _places(plan: blocks.Blocks, state: DataFrame) -> DataFrame:
+    return blocks.unpacked(plan, state).select("cloud_id", "point_id", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
+
+
+def flow(points: DataFrame, faces: DataFrame, frames: int, dt: float = 0.5) -> DataFrame:
+    """``frames`` steps in one plan; the rings are packed into blocks once and stay there."""
+    if frames <= 0:
+        return points.select("cloud_id", "point_id", "x", "y", "z")
+    plan = _laid_out(points, faces)
+    found = stored(_places(plan, blocks.walk(plan, _begun(plan, points), [_toward(dt)] * frames)))
+    plan.drop()
+    return found
+
+
+def flow_to(folder: str, points: DataFrame, faces: DataFrame, frames: int, dt: float = 0.5, export: bool = True, stop_after: int | None = None) -> DataFrame:
+    """(cloud_id, point_id, x, y, z, h, k, step) of all frames: curvature at each frame, then one step of the flow.
+
+    Frame f is a partition of ``folder``, and, with ``export``, a coloured OBJ of the mean curvature in ``folder``/_obj/frame=<f>.
+    A run that was broken off goes on from its last whole frame. ``stop_after`` ends a run early, after that frame.
+    """
+    spark, wanted = points.sparkSession, list(range(frames))
+    done, plan = runs.finished(spark, folder, wanted), None
+    for frame in wanted:
+        if frame in done or stop_after is not None and frame > stop_after:
+            continue
+        at = points.select("cloud_id", "point_id", "x", "y", "z")
+        if frame:
+            plan = plan or _laid_out(points, faces)
+            at = stored(_places(plan, blocks.walk(plan, _begun(plan, runs.snapshot(spark, folder, frame - 1)), [_toward(dt)])))
+        bent = stored(at.join(curvature(at, faces).withColumnRenamed("mesh_id", "cloud_id"), ["cloud_id", "point_id"]))
+        if export:
+            coloured = fields.coloured(at, bent.select("cloud_id", "point_id", F.col("h").alias("value")))
+            write_heat_obj(coloured, faces, f"{folder}/_obj/frame={frame}")
+        runs.finish(bent, folder, frame)
+    if plan:
+        plan.drop()
+    return runs.snapshots(spark, folder, wanted)
 
 
 def dense_vertex_ids(rows: DataFrame, mesh: str, order: str) -> DataFrame:
