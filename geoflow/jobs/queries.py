@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vec
-from ..functions.tables import pin, shared_folder
+from ..functions.tables import pin, shared_folder, table
 from ..operators import compare, diffusion, fields, forms, hodge, knn, markov, mesh, products, spectral
+from ..sources.samples import torus_at
 from . import files, views
 from .sql import SQL
 
@@ -414,6 +415,86 @@ def q7_composite_score(spark, sf_dir):
     return shown(compare.composite_score(subspaces(spark, sf_dir).join(q4_circular_agreement(spark, sf_dir), "cloud_id"), compare.ONE_FORM_SHARES), digits=4)
 
 
+TORUS_BASIS, TORUS_K, TORUS_RADIUS = 50, 24, 0.8
+
+
+def torus_program(spark, sf_dir):
+    """A torus with a point for each part, its graph, eigenbasis, form matrices and laid out covariances."""
+    ids = table(spark, sf_dir, "part").select(F.lit(0).cast("long").alias("cloud_id"), F.col("p_partkey").alias("point_id"))
+    points = pin(torus_at(ids, small=TORUS_RADIUS))
+    g = markov.build(points, knn.knn(points, TORUS_K))
+    basis = pin(spectral.eigenbasis(g.symk, g.nodes, TORUS_BASIS)[0])
+    made = forms.assembly(g.markov, g.nodes, basis)
+    return points, g, basis, made, pin(made.matrices(TORUS_BASIS))
+
+
+def laplacian_of(found: DataFrame, k: int) -> DataFrame:
+    return hodge.added(hodge.down_laplacian(found, k), found.filter(F.col("name") == f"e{k}"), f"hodge{k}")
+
+
+def torus_circles(spark, sf_dir):
+    """Circular coordinates of the two harmonic 1-forms of a torus against its known angles: which form follows which angle, and whether well."""
+    points, g, basis, made, found = torus_program(spark, sf_dir)
+    modes = pin(hodge.spectrum(laplacian_of(found, 1), found.filter("name = 'g1'")))
+    angles = None
+    for form in (0, 1):
+        alpha = modes.filter(F.col("mode") == form).select("cloud_id", "coefficients")
+        one = products.circular_coordinates(basis, products.circular_mode_of(made, alpha, 1.0, 0)).withColumn("form", F.lit(form))
+        angles = one if angles is None else angles.union(one)
+    angles = pin(angles)
+    known = {"u": F.atan2("y", "x"), "v": F.atan2(F.col("z"), F.sqrt(F.col("x") ** 2 + F.col("y") ** 2) - 2.0)}
+    out = None
+    for form in (0, 1):
+        for name, angle in known.items():
+            reference = points.select("cloud_id", "point_id", angle.alias("value"))
+            one = compare.circular_agreement(reference, angles.filter(F.col("form") == form).select("cloud_id", "point_id", "value"))
+            one = one.select(F.lit(form).cast("long").alias("form"), F.lit(name).alias("angle"), (F.col("correlation") >= 0.95).alias("follows"), (F.col("correlation") <= 0.2).alias("apart"))
+            out = one if out is None else out.union(one)
+    return out
+
+
+def torus_two_forms(spark, sf_dir):
+    """The 2-form chain on a torus: spectrum, harmonic 2-form, wedge of the two harmonic 1-forms, dual field.
+
+    Each row is a check: how far a value is from what it must be, and whether within the bound.
+    """
+    points, g, basis, made, found = torus_program(spark, sf_dir)
+    checks = None
+    one_forms = two_forms = None
+    for k in (1, 2):
+        laplacian, mass = laplacian_of(found, k), found.filter(F.col("name") == f"g{k}")
+        modes = pin(hodge.spectrum(laplacian, mass))
+        one_forms, two_forms = (modes, two_forms) if k == 1 else (one_forms, modes)
+        rows = hodge.residuals(laplacian, mass, modes).agg(F.max("residual").alias("residual"), F.max("norm_error").alias("norm_error"), F.min("lambda").alias("lambda"))
+        for what, holds in (("residual", F.col("residual") < 1e-6), ("norm", F.col("norm_error") < 1e-8), ("positive", F.col("lambda") > -1e-8)):
+            row = rows.select(F.lit(f"{what} of {k}-forms").alias("check"), holds.alias("holds"))
+            checks = row if checks is None else checks.union(row)
+    first, second = (pin(one_forms.filter(F.col("mode") == i).select("cloud_id", "coefficients")) for i in (0, 1))
+    ab, ba = (pin(products.wedge(x, 1, y, 1, basis, g.nodes)) for x, y in ((first, second), (second, first)))
+    pairs = ab.join(ba.withColumnRenamed("coefficients", "turned"), "cloud_id")
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    sums = pairs.select(size(F.zip_with("coefficients", "turned", lambda a, b: a + b)).alias("sum"), size(F.col("coefficients")).alias("own"))
+    own = products.wedge(first, 1, first, 1, basis, g.nodes).select(size(F.col("coefficients")).alias("own"))
+    harmonic = two_forms.filter("mode = 0").select("cloud_id", "coefficients")
+    mass = found.filter("name = 'g2'")
+    products_ = [hodge.inner(mass, p, q).withColumnRenamed("value", n) for p, q, n in ((ab, harmonic, "both"), (ab, ab, "aa"), (harmonic, harmonic, "hh"))]
+    alike = products_[0].join(products_[1], "cloud_id").join(products_[2], "cloud_id").select((F.abs("both") / F.sqrt(F.col("aa") * F.col("hh"))).alias("alike"))
+    # Out of the surface: away from the circle in the middle of the tube.
+    ring = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)
+    normal = [F.col("x") * (1 - 2 / ring), F.col("y") * (1 - 2 / ring), F.col("z")]
+    immersed = g.nodes.select("cloud_id", "point_id", "mu", *[F.col(f"i{a}").alias(a) for a in "xyz"])
+    field = hodge.dual_vectors(hodge.pointwise(basis, ab, 3)).join(immersed, ["cloud_id", "point_id"])
+    dot = lambda p, q: F.sum(F.col("mu") * sum((a * b for a, b in zip(p, q, strict=True)), F.lit(0.0)))
+    v = [F.col(f"v{c}") for c in "xyz"]
+    outward = field.agg((F.abs(dot(v, normal)) / F.sqrt(dot(v, v) * dot(normal, normal))).alias("outward"))
+    return (
+        checks.union(sums.select(F.lit("wedge turns sign"), (F.col("sum") < 1e-9 * F.col("own")) & (F.col("own") > 1e-3)))
+        .union(own.select(F.lit("wedge with itself is 0"), F.col("own") < 1e-9))
+        .union(outward.select(F.lit("wedge of harmonic forms has the normal as dual"), F.col("outward") > 0.85))
+        .union(alike.select(F.lit("wedge of harmonic forms is the harmonic 2-form"), F.col("alike") > 0.7))
+    )
+
+
 QUERIES = (
     p1_normalize, p3_field_bounds, p4_coloured, p6_impulse, p7_glyphs, p8_vectors, p9_geometric_product, p14_strided, p15_validity,
     m1_incidence, m2_one_ring, m3_csr_offsets, m4_face_normals, m5_curvature, m7_flow_step, m8_flow, n1_knn, n1_knn_clouds, n2_local_bandwidth,
@@ -423,7 +504,7 @@ QUERIES = (
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
     p11_multivector_sum, p12_long_vectors, d2_steps, d6_matrices, e2_eigenbasis, e3_eigenvalues, harmonic_coordinates,
     f12_down_laplacian, f15_harmonic_modes, q6_spectrum_error, f22_padded, f25_ambient_dual, f26_facing_outward,
-    d3_heat_program, m8_flow_frames,
+    d3_heat_program, m8_flow_frames, torus_circles, torus_two_forms,
 )
 
 

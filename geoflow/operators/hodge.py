@@ -99,6 +99,34 @@ def spectrum(laplacian: DataFrame, mass: DataFrame, rcond: float = RCOND) -> Dat
     return both.groupBy("cloud_id").applyInPandas(run, "cloud_id long, mode int, lambda double, coefficients array<double>")
 
 
+def inner(mass: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(cloud_id, value): the product a' M b of two forms (cloud_id, coefficients)."""
+    rows = mass.select("cloud_id", "row", "col", "value").join(a.select("cloud_id", F.col("coefficients").alias("a")), "cloud_id").join(b.select("cloud_id", F.col("coefficients").alias("b")), "cloud_id")
+    return rows.groupBy("cloud_id").agg(F.sum(F.col("value") * F.get("a", F.col("row")) * F.get("b", F.col("col"))).alias("value"))
+
+
+def residuals(laplacian: DataFrame, mass: DataFrame, spectra: DataFrame) -> DataFrame:
+    """(cloud_id, mode, lambda, residual, norm_error): how far each pair is from L c = lambda M c, where M can be inverted, and c' M c from 1.
+
+    The residual is taken in the space of c that ``spectrum`` searches, so that what M drops counts for nothing.
+    """
+    both = laplacian.withColumn("name", F.lit("l")).union(mass.select(*laplacian.columns).withColumn("name", F.lit("m")))
+
+    def run(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        found = dense(rows) if len(rows) else {}
+        pairs = pairs.sort_values("mode")
+        if len(found) < 2 or not len(pairs):
+            return pd.DataFrame(columns=["cloud_id", "mode", "lambda", "residual", "norm_error"], dtype=object)
+        c, lam = np.stack(pairs["coefficients"].to_numpy()).T, pairs["lambda"].to_numpy()
+        away = found["l"] @ c - found["m"] @ c * lam
+        inside = c.T @ away  # c spans the space that is searched
+        norm = np.einsum("ij,ij->j", c, found["m"] @ c)
+        return pd.DataFrame({"cloud_id": pairs["cloud_id"], "mode": pairs["mode"], "lambda": lam, "residual": np.abs(inside).max(axis=0), "norm_error": np.abs(norm - 1)})
+
+    kind = "cloud_id long, mode int, lambda double, residual double, norm_error double"
+    return both.groupBy("cloud_id").cogroup(spectra.select(*[F.col(c).alias(c) for c in ("cloud_id", "mode", "lambda", "coefficients")]).groupBy("cloud_id")).applyInPandas(run, kind)
+
+
 def harmonic_modes(spectra: DataFrame, tolerance: float = TOLERANCE, most: int = MODES) -> DataFrame:
     """The first ``most`` modes of each cloud with an eigenvalue of magnitude up to ``tolerance``; the first ones if none has."""
     near = (F.abs("lambda") <= tolerance).cast("int")

@@ -1,7 +1,9 @@
-"""Exact k nearest neighbours (self included) by cells that are small where points are many."""
+"""Exact k nearest neighbours (self included) on the leaves of a split tree, which is as deep as the points ask for."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,78 +11,144 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import gapless_rank
-from ..functions.tables import partitions, stored
-
-#: Queries and candidates that one group holds (about), distances held at a time, copies of a place in one join key.
-CELL_QUERIES, CELL_POINTS, CHUNK, COPIES = 4096, 65_536, 4_000_000, 65_536
-#: The finest level of cells: a cloud's box is cut into 2 ** DEEPEST parts along each axis.
-DEEPEST = 20
-FOUND = "cloud_id long, src long, dst long, d2 double, want long, reach double"
-
-
-def interleaved(cols: list[Column]) -> Column:
-    """The bits of three numbers of up to 20 bits in turn: an order in which near points are near each other."""
-
-    def spread(c: Column) -> Column:
-        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
-        return c
+from ..functions.tables import stored
 
-    x, y, z = (spread(c) for c in cols)
-    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
+#: Points of a leaf at most, queries that meet a leaf in one group, parts that a cell is split into, copies of a place in one join key.
+LEAF_POINTS, ASKING, PARTS, COPIES = 2048, 4096, 16, 65_536
+#: Distances held at a time.
+CHUNK = 4_000_000
+#: Levels of splits; each leaves at most about a ``PARTS``-th of a cell's points together, or halves its box.
+DEEPEST = 400
+FOUND = "cloud_id long, src long, dst long, d2 double, want long"
+SIDES = [f"{e}{a}" for e in ("lo", "hi") for a in "xyz"]
+CELL = ["cloud_id", "cell"]
 
 
-def with_levels(points: DataFrame, k: int) -> DataFrame:
-    """Add places in the finest grid (ix, iy, iz) and the level of the smallest cell around a point with k others or more.
+def split_tree(points: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Points with the leaf (cell) that they lie in, and all cells (cloud_id, cell, parent, n, box, leaf) of the tree.
 
-    The level comes from the points k places before and after in the interleaved order; at the ends of a partition
-    it may be off, which costs time but no answer.
+    A cell of more than ``most`` points is cut across the widest side of its box, at about every 1/``PARTS`` of its points; where
+    these cuts fall together, in the middle. Cells that are small enough are left alone, so that a level handles only what is
+    still too large. Of a point's place at most ``most`` copies may be given. Boxes are tight around their points.
     """
-    box = points.groupBy("cloud_id").agg(*[F.min(c).alias(f"o{c}") for c in "xyz"], *[F.max(c).alias(f"m{c}") for c in "xyz"], F.sum("copies").alias("n"))
-    extent = F.greatest(*[F.col(f"m{c}") - F.col(f"o{c}") for c in "xyz"], F.lit(1e-9))
-    box = stored(box.select("cloud_id", "n", "ox", "oy", "oz", extent.alias("extent")))
-    at = [F.least(F.floor((F.col(c) - F.col(f"o{c}")) / F.col("extent") * 2.0**DEEPEST), F.lit((1 << DEEPEST) - 1)).alias(f"i{c}") for c in "xyz"]
-    rows = points.join(box, "cloud_id").select("*", *at).withColumn("code", interleaved([F.col(f"i{c}") for c in "xyz"]))
-    rows = rows.repartitionByRange(partitions(points.sparkSession), "cloud_id", "code").withColumn("part", F.spark_partition_id())
-    order = Window.partitionBy("part", "cloud_id").orderBy("code")
-    shared = lambda other: F.when(other == F.col("code"), DEEPEST).otherwise(DEEPEST - F.ceil(F.length(F.bin(other.bitwiseXOR(F.col("code")))) / 3))
-    ends = [shared(f("code", k).over(order)) for f in (F.lag, F.lead)]
-    return rows.withColumn("level", F.coalesce(F.greatest(*ends), F.lit(0)).cast("int")).drop("code", "part")
-
-
-def cell(level: Column) -> list[Column]:
-    """A point's cell on a level."""
-    return [F.call_function("shiftright", F.col(f"i{c}"), F.lit(DEEPEST) - level).alias(f"c{c}") for c in "xyz"]
+    active = stored(points.withColumn("cell", F.lit("")).withColumn("parent", F.lit(None).cast("string")))
+    placed, cells = None, None
+    for _ in range(DEEPEST):
+        sides = [f(a).alias(f"{e}{a}") for e, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"]
+        boxes = active.groupBy(*CELL, "parent").agg(F.count(F.lit(1)).alias("n"), *sides)
+        width = {a: F.col(f"hi{a}") - F.col(f"lo{a}") for a in "xyz"}
+        widest = F.greatest(*width.values())
+        axis = F.when(width["x"] == widest, "x").when(width["y"] == widest, "y").otherwise("z")
+        boxes = stored(boxes.select("*", axis.alias("axis"), ((F.col("n") <= most) | (widest == 0)).alias("leaf")))
+        cells = boxes if cells is None else cells.union(boxes)
+        done = boxes.filter("leaf").select(*CELL)
+        leaves = active.join(done, CELL, "left_semi").drop("parent")
+        placed = leaves if placed is None else placed.union(leaves)
+        large = boxes.filter("not leaf")
+        if large.isEmpty():
+            return placed, cells.drop("axis")
+        value = F.when(F.col("axis") == "x", F.col("x")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("z"))
+        ends = {e: F.when(F.col("axis") == "x", F.col(f"{e}x")).when(F.col("axis") == "y", F.col(f"{e}y")).otherwise(F.col(f"{e}z")) for e in ("lo", "hi")}
+        rows = active.join(large.select(*CELL, "axis", *[v.alias(e) for e, v in ends.items()]), CELL).withColumn("value", value)
+        shares = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
+        cuts = rows.groupBy(*CELL).agg(F.percentile_approx("value", shares, F.lit(1000)).alias("cuts"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        kept = F.array_distinct(F.filter("cuts", lambda c: c < F.col("hi")))
+        middle = F.col("lo") + (F.col("hi") - F.col("lo")) / 2
+        middle = F.when(middle < F.col("hi"), middle).otherwise(F.col("lo"))
+        cuts = stored(cuts.select(*CELL, F.when(F.size(kept) > 0, kept).otherwise(F.array(middle)).alias("cuts")))
+        child = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+        rows = rows.join(cuts, CELL).withColumn("parent", F.col("cell")).withColumn("cell", F.concat_ws(".", "cell", child.cast("string")))
+        active = stored(rows.select(*active.columns))
+    raise RuntimeError("the tree is too deep")
+
+
+def apart(low: str, high: str, a: list[Column], b: list[Column] | None = None) -> Column:
+    """The squared way from box columns with the given prefixes to a box from ``a`` to ``b`` (or to the point ``a``)."""
+    gaps = [F.greatest(F.col(f"{low}{c}") - (b or a)[i], a[i] - F.col(f"{high}{c}"), F.lit(0.0)) for i, c in enumerate("xyz")]
+    return sum((g * g for g in gaps), F.lit(0.0))
+
+
+def best(queries: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, id, squared distance) of the k nearest of ``at`` for each query, by distance and then by id; ``ids`` ascend."""
+    k = min(k, len(ids))
+    step = max(1, CHUNK // max(len(ids), 1))
+    for i in range(0, len(queries), step):
+        d = queries[i : i + step, None, :] - at[None, :, :]
+        d2 = (d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1]) + d[:, :, 2] * d[:, :, 2]
+        if k < len(ids):
+            last = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]  # those as far as the k-th may tie: ids decide
+            row, col = np.nonzero(d2 <= last)
+        else:
+            row, col = (x.ravel() for x in np.indices(d2.shape))
+        far = d2[row, col]
+        order = np.lexsort((col, far, row))
+        row, col, far = row[order], col[order], far[order]
+        first = np.searchsorted(row, np.arange(len(d2)))
+        kept = np.arange(len(row)) - first[row] < k
+        yield row[kept] + i, ids[col[kept]], far[kept]
+
+
+def _answers(key: tuple, q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    c = c.sort_values("point_id")
+    ids, at = c["point_id"].to_numpy(), c[["x", "y", "z"]].to_numpy()
+    out = [pd.DataFrame({n.split()[0]: [] for n in FOUND.split(", ")})]
+    if len(q) and len(c):
+        src, want = q["point_id"].to_numpy(), q["want"].to_numpy()
+        out = [pd.DataFrame({"cloud_id": key[0], "src": src[row], "dst": dst, "d2": d2, "want": want[row]}) for row, dst, d2 in best(q[["x", "y", "z"]].to_numpy(), at, ids, k)]
+    return pd.concat(out)
 
 
 def knn(points: DataFrame, k: int = 32) -> DataFrame:
     """(cloud_id, src, rank, dst, dist), rank from 0, ordered by distance and then id; k is held to [1, n].
 
     Points of one place have one answer, and only the first k of them can be in any: one stands for all as a query and
-    k as candidates, so that a place of many copies is no large group. Each query looks at the 27 cells around it on the level where
-    its own cell holds more than k points. Groups of many queries or candidates are split, and the best of their
-    parts merged. An answer stands if its last distance is smaller than the way to the edge of the 27 cells; the
-    other queries go on with cells of twice the width, until these cover the cloud. Points with a null coordinate have no rows.
+    k as candidates, so that a place of many copies is no large group. Each query first looks into its own leaf of a split tree. What it
+    finds there bounds how far it has to look: a leaf's largest bound is followed down the tree to the leaves that it may reach, and
+    each query goes to those that its own bound reaches. Groups hold one leaf and ``ASKING`` queries at most. Points
+    with a null coordinate have no rows.
     """
     k = max(k, 1)
     place = ["cloud_id", "x", "y", "z"]
     ranked = stored(gapless_rank(points.select("cloud_id", "point_id", "x", "y", "z").dropna(), place, [F.col("point_id")], "nth"))
     copies = ranked.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"))
-    near = ranked.filter(F.col("nth") < k).join(copies, place)
-    near = stored(with_levels(near.withColumn("copies", F.when(F.col("nth") == 0, F.col("__n")).otherwise(0)).drop("__n"), k))
-    left, done = near.filter("nth = 0"), None
-    for _ in range(DEEPEST + 1):
-        own = Window.partitionBy("cloud_id", "src")
-        found = search(left, near, k).withColumn("nth", F.row_number().over(own.orderBy("d2", "dst"))).filter(F.col("nth") <= k)
-        last = (F.col("nth") == F.col("want")) & (F.sqrt("d2") < F.col("reach"))
-        found = stored(found.withColumn("sure", F.max(last).over(own)))
-        good = found.filter("sure").select("cloud_id", "src", (F.col("nth") - 1).alias("rank"), "dst", F.sqrt("d2").alias("dist"))
-        done = good if done is None else done.union(good)
-        open_ = found.filter("nth = 1 and not sure").select("cloud_id", F.col("src").alias("point_id"))
-        if not open_.limit(1).count():
-            return with_copies(done, ranked, copies, place)
-        left = left.join(open_, ["cloud_id", "point_id"], "left_semi").withColumn("level", F.greatest(F.col("level") - 1, F.lit(0)))
-    raise RuntimeError("some queries were not answered")
+    want = ranked.groupBy("cloud_id").agg(F.least(F.lit(k), F.count(F.lit(1))).cast("long").alias("want"))
+    near = ranked.filter(F.col("nth") < k).join(want, "cloud_id")
+    placed, cells = split_tree(near, max(LEAF_POINTS, 2 * k))
+    placed = stored(placed)
+    own = stored(placed.groupBy(*CELL).applyInPandas(lambda key, c: _answers(key, c[c["nth"] == 0], c, k), FOUND))
+    found = own if cells.filter("parent is not null").isEmpty() else with_other_leaves(own, placed, stored(cells), k)
+    nth = F.row_number().over(Window.partitionBy("cloud_id", "src").orderBy("d2", "dst"))
+    answers = found.withColumn("nth", nth).filter(F.col("nth") <= F.col("want"))
+    return with_copies(stored(answers.select("cloud_id", "src", (F.col("nth") - 1).alias("rank"), "dst", F.sqrt("d2").alias("dist"))), ranked, copies, place)
+
+
+def with_other_leaves(own: DataFrame, placed: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """``own`` and what queries find in the leaves besides their own that may hold nearer points, or equally near ones."""
+    slack = 1 + 1e-9  # ways to boxes are rounded
+    nth = own.groupBy("cloud_id", F.col("src").alias("point_id")).agg(F.count(F.lit(1)).alias("have"), F.max("d2").alias("most"))
+    queries = placed.filter("nth = 0").join(nth, ["cloud_id", "point_id"])
+    queries = stored(queries.select("cloud_id", "cell", "point_id", "x", "y", "z", "want", F.when(F.col("have") < F.col("want"), float("inf")).otherwise(F.col("most") * slack).alias("reach")))
+    leaves = cells.filter("leaf").join(queries.groupBy(*CELL).agg(F.max("reach").alias("reach")), CELL).select("cloud_id", "cell", "reach", *SIDES)
+    below = cells.select("cloud_id", F.col("parent").alias("other"), F.col("cell").alias("child"), F.col("leaf").alias("at_leaf"), *[F.col(c).alias(f"o{c}") for c in SIDES])
+    roots = cells.filter("parent is null").select("cloud_id", F.col("cell").alias("other"))
+    open_, pairs = leaves.join(roots, "cloud_id"), None
+    box = [[F.col(f"{e}{a}") for a in "xyz"] for e in ("lo", "hi")]
+    while True:  # one level of the tree at a time
+        ahead = stored(open_.join(below, ["cloud_id", "other"]).filter(apart("olo", "ohi", box[0], box[1]) <= F.col("reach")).filter("child <> cell"))
+        reached = ahead.filter("at_leaf").select("cloud_id", "cell", F.col("child").alias("other"), *[f"o{c}" for c in SIDES])
+        pairs = reached if pairs is None else pairs.union(reached)
+        open_ = ahead.filter("not at_leaf").select("cloud_id", "cell", "reach", *SIDES, F.col("child").alias("other"))
+        if open_.isEmpty():
+            break
+    asked = queries.join(pairs, CELL).filter(apart("olo", "ohi", [F.col(a) for a in "xyz"]) <= F.col("reach"))
+    asked = stored(asked.select("cloud_id", F.col("other").alias("cell"), "point_id", "x", "y", "z", "want"))
+    groups = asked.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("asking"))
+    asked = asked.join(groups, CELL).select("cloud_id", "cell", F.pmod(F.xxhash64("point_id"), "asking").alias("ask"), "point_id", "x", "y", "z", "want")
+    sent = placed.join(groups, CELL).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
+    sent = sent.select(*[F.col(c).alias(c) for c in ("cloud_id", "cell", "ask", "point_id", "x", "y", "z")])
+    keys = [*CELL, "ask"]
+    more = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(lambda key, q, c: _answers(key, q, c, k), FOUND)
+    return own.union(more)
 
 
 def with_copies(answers: DataFrame, ranked: DataFrame, copies: DataFrame, place: list[str]) -> DataFrame:
@@ -91,45 +159,3 @@ def with_copies(answers: DataFrame, ranked: DataFrame, copies: DataFrame, place:
     others = others.join(first, [*place, "salt"]).select("cloud_id", "src", "salt", "point_id")
     given = answers.join(first.select("cloud_id", "src", "salt"), ["cloud_id", "src"]).join(others, ["cloud_id", "src", "salt"])
     return answers.union(given.select("cloud_id", F.col("point_id").alias("src"), "rank", "dst", "dist"))
-
-
-def search(left: DataFrame, near: DataFrame, k: int) -> DataFrame:
-    """``FOUND`` rows of the queries ``left`` on their levels: the k best candidates of each part of the 27 cells around."""
-    home, around = ["cloud_id", "level", "cx", "cy", "cz"], ["cloud_id", "level", "nx", "ny", "nz"]
-    asked = left.select("*", *cell(F.col("level")))
-    levels = [r["level"] for r in left.select("level").distinct().collect()]  # DEEPEST + 1 at most
-    placed = near.select("cloud_id", "point_id", "x", "y", "z", "ix", "iy", "iz", F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(0)])).alias("level"))
-    placed = placed.select("cloud_id", "level", "point_id", "x", "y", "z", *[c.alias(n) for c, n in zip(cell(F.col("level")), around[2:], strict=True)])
-    steps = F.array(*[F.struct(*[F.lit(d - 1).alias(n) for d, n in zip(s, ("dx", "dy", "dz"), strict=True)]) for s in np.ndindex(3, 3, 3)])
-    homes = asked.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("asking"))
-    blocks = homes.select("*", F.explode(steps).alias("s")).select(*home, "asking", *[(F.col(f"c{a}") + F.col(f"s.d{a}")).alias(f"n{a}") for a in "xyz"])
-    sizes = placed.groupBy(*around).agg(F.count(F.lit(1)).alias("m"))
-    parts = stored(blocks.join(sizes, around).groupBy(*home).agg(F.max("asking").alias("asking"), F.ceil(F.sum("m") / CELL_POINTS).alias("parts")))
-    blocks = parts.select("*", F.explode(steps).alias("s")).select(*home, "asking", "parts", *[(F.col(f"c{a}") + F.col(f"s.d{a}")).alias(f"n{a}") for a in "xyz"])
-    sent = placed.join(blocks, around).withColumn("part", F.pmod(F.xxhash64("point_id"), "parts")).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
-    sent = sent.select(*[F.col(c).alias(c) for c in (*home, "ask", "part", "point_id", "x", "y", "z")])  # columns of its own: both sides stem from one table
-    width = F.col("extent") / F.pow(F.lit(2.0), F.col("level"))
-    ways = []
-    for a in "xyz":
-        inside, c = F.col(a) - F.col(f"o{a}") - F.col(f"c{a}") * width, F.col(f"c{a}")
-        ways += [F.when(c > 1, width + inside).otherwise(float("inf")), F.when(c + 2 < F.pow(F.lit(2.0), F.col("level")), 2 * width - inside).otherwise(float("inf"))]
-    reach = F.least(*ways) - 1e-12 * F.col("extent")  # cells are found by rounded numbers
-    asked = asked.join(parts, home).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    asked = asked.select(*home, F.pmod(F.xxhash64("point_id"), "asking").alias("ask"), "part", "point_id", "x", "y", "z", F.least(F.lit(k), F.col("n")).alias("want"), reach.alias("reach"))
-
-    def best(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({n.split()[0]: [] for n in FOUND.split(", ")})]
-        if len(q) and len(c):
-            c = c.sort_values("point_id")
-            ids, at = c["point_id"].to_numpy(), c[["x", "y", "z"]].to_numpy()
-            step = max(1, CHUNK // len(ids))
-            for i in range(0, len(q), step):
-                rows = q.iloc[i : i + step]
-                d = rows[["x", "y", "z"]].to_numpy()[:, None, :] - at[None, :, :]
-                d2 = (d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1]) + d[:, :, 2] * d[:, :, 2]
-                order = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                repeated = {n: np.repeat(rows[n].to_numpy(), order.shape[1]) for n in ("point_id", "want", "reach")}
-                out.append(pd.DataFrame({"cloud_id": key[0], "src": repeated.pop("point_id"), "dst": ids[order].ravel(), "d2": np.take_along_axis(d2, order, axis=1).ravel(), **repeated}))
-        return pd.concat(out[1:] or out)
-
-    return asked.groupBy(*home, "ask", "part").cogroup(sent.groupBy(*home, "ask", "part")).applyInPandas(best, FOUND)
