@@ -415,6 +415,38 @@ def q7_composite_score(spark, sf_dir):
     return shown(compare.composite_score(subspaces(spark, sf_dir).join(q4_circular_agreement(spark, sf_dir), "cloud_id"), compare.ONE_FORM_SHARES), digits=4)
 
 
+def q2_near_dependent(spark, sf_dir):
+    """Three columns of which the last is the first but for a 10**-8 part, against three plain ones: the same space."""
+    points = views.pts_label(spark, sf_dir)
+    sets = [points.select("cloud_id", "point_id", F.array(*c).alias("form")) for c in (("x", "y", "z"), (F.col("x"), F.col("y"), F.col("x") + F.lit(1e-8) * F.col("z")))]
+    return compare.subspace_agreement(*sets).select("cloud_id", (F.round("angle", 3) + 0.0).alias("angle"))
+
+
+def q3_procrustes(spark, sf_dir):
+    """Three columns turned round and stretched by a tenth: no angle, and a tenth is left after the best rotation."""
+    points = views.pts_label(spark, sf_dir)
+    sets = [points.select("cloud_id", "point_id", F.array(*c).alias("form")) for c in (("x", "y", "z"), (1.1 * F.col("y"), -1.1 * F.col("x"), 1.1 * F.col("z")))]
+    return shown(compare.subspace_agreement(*sets), "cloud_id")
+
+
+def q7_gates(spark, sf_dir):
+    """Full score, worst metrics, final and commit gate of one set of results against another, with a row for each label."""
+    points = views.pts_label(spark, sf_dir)
+    x, y, z = (F.col(c) for c in "xyz")
+
+    def metrics(first, second) -> DataFrame:
+        out = None
+        for name, (a, b) in (("h1", (x, first)), ("h2", (y, second))):
+            one = compare.subspace_agreement(*[points.select("cloud_id", "point_id", F.array(c).alias("form")) for c in (a, b)])
+            one = one.toDF("cloud_id", f"{name}_angle", f"{name}_procrustes")
+            out = one if out is None else out.join(one, "cloud_id")
+        errors = q5_relative_error(spark, sf_dir).withColumnRenamed("error", "wedge").join(q6_spectrum_error(spark, sf_dir).withColumnRenamed("error", "spectrum"), "cloud_id")
+        return pin(out.join(errors, "cloud_id").join(q4_circular_agreement(spark, sf_dir).select("cloud_id", "correlation", "p95"), "cloud_id"))
+
+    found = compare.gates(metrics(x + y, y + z), metrics(x + y / 50, y + z / 50))
+    return shown(found, "final_pass", "commit_pass", digits=4)
+
+
 TORUS_BASIS, TORUS_K, TORUS_RADIUS = 50, 24, 0.8
 
 
@@ -504,7 +536,7 @@ QUERIES = (
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
     p11_multivector_sum, p12_long_vectors, d2_steps, d6_matrices, e2_eigenbasis, e3_eigenvalues, harmonic_coordinates,
     f12_down_laplacian, f15_harmonic_modes, q6_spectrum_error, f22_padded, f25_ambient_dual, f26_facing_outward,
-    d3_heat_program, m8_flow_frames, torus_circles, torus_two_forms,
+    d3_heat_program, m8_flow_frames, torus_circles, torus_two_forms, q2_near_dependent, q3_procrustes, q7_gates,
 )
 
 

