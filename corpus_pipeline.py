@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflow.functions.tables import pin, table
+from geoflow.functions.tables import remove, shared_folder, table
 from geoflow.llm import decontaminate, language, lines, neardup, packing
 from geoflow.llm.queries import CONTEXT, SITES, tokenizer_file
 
@@ -51,11 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to ``documents``; each stage's result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    pin(spark.range(1))  # makes sure that a shared folder is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """Applies all stages to ``documents``; each stage's result is written as Parquet, read again and removed after the next one."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # what the stage has read is needed no more
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs

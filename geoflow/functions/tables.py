@@ -74,8 +74,13 @@ def batches_by_bytes(spark: SparkSession, most: int = 64 << 20) -> None:
 def drop_bucketed(df: DataFrame) -> None:
     """Forgets a table of ``bucketed`` and deletes its files."""
     spark, name = df.sparkSession, df.bucketed_name
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove(spark, f"{shared_folder(spark)}/{name}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared storage, whatever file system that is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
