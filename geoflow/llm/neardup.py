@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tables import partitions, pin
-from .common import small_batches
+from .common import salted, small_batches
 
 #: Bands and rows of each, the first that shares no band at the threshold with a chance of at most ``MISS``:
 #: 24 x 6 from 0.85 on (1.2e-5), 32 x 5 from 0.8 on (3e-6; 24 x 6 would miss 7e-4 there), and so on.
@@ -24,8 +24,6 @@ SCHEMES, MISS = ((24, 6), (32, 5), (44, 4), (64, 3), (80, 2), (160, 1)), 1.2e-5
 BITS = 4
 #: Shares of estimate below the threshold at which a pair is still confirmed, from 0.85 on and below: about five standard deviations.
 MARGIN, WIDE_MARGIN = 0.15, 0.16
-#: Members up to which a set is compared whole, by 16-bit codes; of larger ones a share.
-CODES = 512
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 1024
 
@@ -170,7 +168,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     classes = pin(classes.filter("sample is not null").withColumn("node", F.monotonically_increasing_id()))
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    banded = pin(banded.join(hubs.select("bucket", F.col("h.node").alias("hub"), "size"), "bucket"))
+    banded = pin(salted(hubs.select("bucket", F.col("h.node").alias("hub"), "size"), banded, ["bucket"]))
     slim = classes.select("node", "n", "low")
     wanted = banded.select("node").distinct().join(classes, "node").select("node", "sample.id", "sample.h")
     sets = ids.join(wanted, ["id", "h"]).groupBy("id", "h", "node").agg(F.min("__text").alias("__text"))  # one of repeated rows
@@ -182,6 +180,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
 
     sets = pin(sets.select("node", whole_sets("__text").alias("all")))
 
+    @F.pandas_udf("binary")
+    def codes(found: pd.Series) -> pd.Series:
+        return found.map(lambda x: (np.asarray(x).view(np.uint64) >> np.uint64(16)).astype(np.uint16).tobytes())
+
     def likely(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(slim.toDF("a", "__na", "__la"), "a").join(slim.toDF("b", "__nb", "__lb"), "b")
         rows = rows.filter(100 * F.least("__na", "__nb") >= percent * F.greatest("__na", "__nb"))
@@ -196,8 +198,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     rest = banded.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rest.groupBy("bucket", "component").count()
     mixed = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", "component")).alias("most")).filter("parts > 1")
-    rest = rest.join(mixed.select("bucket", F.col("most.component").alias("main")), "bucket")
-    rest = rest.join(slim, "node").join(sets.select("node", sample_codes(F.col("all")).alias("codes")), "node")
+    rest = pin(salted(mixed.select("bucket", F.col("most.component").alias("main")), rest, ["bucket"]))
+    rest = rest.join(slim, "node").join(sets.select("node", codes("all").alias("codes")), "node")
     more = pin(cross_candidates(rest, percent))
     links = links.union(pin(_confirmed(more, sets, percent)))
     parts = pin(connected(links))
@@ -205,26 +207,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     linked = classes.select("key", "node", F.col("sample.id").alias("own")).join(parts, "node", "left")
     least = linked.filter("component is not null").groupBy("component").agg(F.min("own").alias("least"))
     of_class = linked.join(least, "component", "left").select("key", F.coalesce("least", "own").alias("component_id"))
-    out = base.select("id", "n", "key").join(of_class, "key", "left")
+    out = salted(of_class, base.filter("key is not null").select("id", "n", "key"), ["key"], "left").select("id", "n", "component_id")
+    out = out.union(base.filter("key is null").select("id", "n", F.lit(None).cast("long")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def sample_codes(all_hashes: Column) -> Column:
-    """16-bit codes of a set, or of a fixed share of it: 2**-level where it has more than ``CODES`` members.
-
-    The share is taken by the hashes' own low bits, so that two sets' shares at one level match.
-    """
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.size(all_hashes) / CODES))).cast("int")
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
-    return F.transform(F.filter(all_hashes, lambda h: h.bitwiseAND(step) == 0), lambda h: F.shiftrightunsigned(h, 16).bitwiseAND(0xFFFF).cast("int"))
-
-
 def _compare_cell(x: pd.DataFrame, y: pd.DataFrame, percent: int, out: list[tuple[int, int]]) -> None:
     """Adds pairs of a row of x and one of y that lie in different components and may be similar enough."""
     ones, least, minima = np.uint64(int("0001" * 16, 2)), percent / 100, math.prod(scheme(percent))
     need = (least - margin(percent)) * (1 - 2.0**-BITS) + 2.0**-BITS
     lows, n_y, c_y, id_y = np.stack(y["low"].to_numpy()).view(np.uint64), y["n"].to_numpy(), y["component"].to_numpy(), y["node"].to_numpy()
-    codes = [np.asarray(c) for c in y["codes"]]
+    codes = [np.frombuffer(c, dtype=np.uint16) for c in y["codes"]]
     for low, n, c, node, mine in zip(x["low"], x["n"], x["component"], x["node"], x["codes"], strict=True):
         d = lows ^ np.asarray(low).view(np.uint64)[None, :]
         d |= d >> np.uint64(1)
@@ -234,17 +227,11 @@ def _compare_cell(x: pd.DataFrame, y: pd.DataFrame, percent: int, out: list[tupl
         if not len(ok):
             continue
         have = np.zeros(1 << 16, dtype=bool)
-        have[np.asarray(mine)] = True
+        have[np.frombuffer(mine, dtype=np.uint16)] = True
         ends = np.cumsum([len(codes[i]) for i in ok])
-        both = np.add.reduceat(np.append(have[np.concatenate([codes[i] for i in ok])], False).astype(np.int64), np.concatenate(([0], ends[:-1])))
-        size = np.diff(ends, prepend=0)
-        # Shared codes over the smaller share stand for shared members; equal codes by chance only raise them.
-        # A pair at the threshold shares 2 * least / (1 + least) of its members' mean, less what chance takes.
-        whole = np.minimum(len(mine), size)
-        chance = 5 * np.sqrt(np.maximum(whole, 1)) * 0.4 * (np.maximum(n, n_y[ok]) > CODES) + 0.5
-        good = both + chance >= least * np.minimum(len(mine), size)
-        tight = (n <= CODES) & (n_y[ok] <= CODES)
-        good &= ~tight | (both * (1 + least) >= least * (n + n_y[ok]))
+        both = np.add.reduceat(have[np.concatenate([codes[i] for i in ok])].astype(np.int64), np.concatenate(([0], ends[:-1])))
+        # Whole sets stand behind the codes: codes that are equal by chance only raise the number that is shared, so that no pair is lost.
+        good = both * (1 + least) >= least * (n + n_y[ok]) * (1 - 1e-9)
         out.extend((max(node, o), min(node, o)) for o in id_y[ok[good]].tolist())
 
 
@@ -254,11 +241,11 @@ def cross_candidates(rest: DataFrame, percent: int) -> DataFrame:
     ``rest``: bucket, node, component, main (the bucket's largest component), n, low, codes. Members outside the
     main component meet each other and the main ones; both kinds are dealt into blocks of about ``BLOCK`` rows.
     A cell pairs one block with one other; cells are sorted together in their partition and compared one
-    after the other, first by packed bits, then by codes of the set, so that few pairs leave a cell.
+    after the other, first by packed bits, then by 16-bit codes of all members of the sets, so that few pairs leave a cell.
     """
     rest = rest.withColumn("minor", (F.col("component") != F.col("main")).cast("int"))
     sizes = rest.groupBy("bucket").agg(F.ceil(F.sum("minor") / BLOCK).alias("minors"), F.ceil(F.sum(1 - F.col("minor")) / BLOCK).alias("mains"))
-    rest = rest.join(sizes, "bucket")
+    rest = salted(sizes, rest, ["bucket"])
     block = F.pmod(F.xxhash64("node"), F.when(F.col("minor") == 1, F.col("minors")).otherwise(F.col("mains")))
     rest = rest.withColumn("block", block)
     # Cells (i, j): minor block i against minor block j >= i, or against main block j - minors.
@@ -298,7 +285,7 @@ def cross_candidates(rest: DataFrame, percent: int) -> DataFrame:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group; of rows with one id and group the first by text.
 
-    Groups are of similarity ``percent`` or more on five-word shingles. Of repeated rows of one id and text one stays;
+    Groups are of similarity ``percent`` or more on five-word shingles. Of repeated rows of one id and text one stays, the same in every run;
     rows of one id and several texts are one document and stay or go together. Rows of null id are kept, each by
     itself; null texts and texts without words are in no group and stay. An empty table gives an empty result. The
     columns are those of ``df``, whatever they are called.
@@ -306,6 +293,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     found = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text, percent=percent)
     losers = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
     rows = df.join(losers, id_col, "left_anti").select(df.columns)
-    once = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(text)
+    once = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(text, F.xxhash64(*df.columns))
     alone = rows.filter(F.col(id_col).isNull())
     return rows.filter(F.col(id_col).isNotNull()).withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").drop("__nth").union(alone)

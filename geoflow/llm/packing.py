@@ -204,11 +204,13 @@ def completions(room: int, left: np.ndarray, most_waste: int, tries: int = 400,
         others = left.copy()
         for s, k in fill:
             others[s] -= k
-        held = [s for s, k in fill for _ in range(min(k, 3))][:6]
-        sums = {0}
-        for s in held:
-            sums |= {t + s for t in sums}
-        return not any(others[t + 1 : t + waste + 1].any() for t in sums)  # a sum of t could be one longer piece
+        sums = 1  # bit t: some pieces of the filling add up to t
+        for s, k in fill:
+            for _ in range(k):
+                sums |= sums << s
+        longer = int.from_bytes(np.packbits(others[: room + waste + 1] > 0, bitorder="little").tobytes(), "little")
+        longer &= ~1
+        return not any(longer & (sums << w) for w in range(1, waste + 1))  # a sum of t could be one piece of up to waste more
 
     def grow(at: int, space: int, fill: Fill) -> None:
         budget[0] -= 1
