@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import gapless_rank
 from ..functions.tables import shared_folder
 from ..operators import fields
 from ..sources import samples, sinks, text
@@ -36,7 +37,8 @@ def shown(df: DataFrame, *keys: str, digits: int = 5) -> DataFrame:
 
 def numbered(points: DataFrame) -> DataFrame:
     """Points of a cloud numbered from 0, as files know them; clouds here are those of a label."""
-    return points.withColumn("point_id", F.row_number().over(Window.partitionBy("cloud_id").orderBy("point_id")).cast("long") - 1)
+    ranked = gapless_rank(points, ["cloud_id"], [F.col("point_id")], "__nth")
+    return ranked.select(*[F.col("__nth").alias(c) if c == "point_id" else F.col(c) for c in points.columns])
 
 
 def obj_file(spark: SparkSession, sf_dir: str) -> str:
@@ -100,6 +102,22 @@ def s8_sphere(spark, sf_dir):
     return samples.sphere_at(sample_ids(spark, sf_dir), 1.5).select("point_id", (F.round(x * x + y * y + z * z, 8) + 0.0).alias("square"))
 
 
+def spread(points: DataFrame) -> DataFrame:
+    """For each octant whether it holds an eighth of the points, give or take five standard deviations."""
+    octant = sum((F.when(F.col(c) > 0, 1 << i).otherwise(0) for i, c in enumerate("xyz")), F.lit(0)).cast("long")
+    counts = points.groupBy(octant.alias("octant")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.sum("n").over(Window.partitionBy(F.lit(1))) / 8  # of eight rows
+    return counts.select("octant", (F.abs(F.col("n") - share) <= 5 * F.sqrt(share)).alias("even"))
+
+
+def s7_torus_spread(spark, sf_dir):
+    return spread(samples.torus_at(sample_ids(spark, sf_dir)))
+
+
+def s8_sphere_spread(spark, sf_dir):
+    return spread(samples.sphere_at(sample_ids(spark, sf_dir), 1.5))
+
+
 def angle(points: DataFrame, a: str, b: str) -> DataFrame:
     return points.select("cloud_id", "point_id", F.atan2(a, b).alias("value"))
 
@@ -118,6 +136,37 @@ def k1_csv_files(spark, sf_dir):
     return shown(rows.withColumnRenamed("nth", "point_id"), "cloud_id", "point_id")
 
 
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cloud_id, mode, lambda, y): the points of a label in order of their ids as modes."""
+    points = numbered(views.pts_label(spark, sf_dir))
+    return points.select("cloud_id", F.col("point_id").cast("int").alias("mode"), (F.col("x") / 100).alias("lambda"), "y")
+
+
+def k1_spectrum_csv(spark, sf_dir):
+    path = new_path(spark)
+    sinks.write_spectrum_csv(spectra(spark, sf_dir), path)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return shown(csv_columns(spark, path).select("cloud_id", "nth", cell(0).cast("long").alias("mode"), cell(1).cast("double").alias("lambda")), "cloud_id", "nth", "mode", digits=7)
+
+
+def k1_coefficients_csv(spark, sf_dir):
+    """Two forms' coefficients side by side, of which the second has 20 at most: the rest is missing."""
+    rows, path = spectra(spark, sf_dir), new_path(spark)
+    column = lambda v, keep: rows.filter(keep).groupBy("cloud_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("mode", F.col(v).alias("v")))), lambda e: e["v"]).alias("coefficients"))
+    sinks.write_coefficients_csv([column("lambda", F.lit(True)), column("y", F.col("mode") < 20)], path)
+    cell = lambda i: F.nullif(F.get("cells", F.lit(i)), F.lit("nan"))
+    found = csv_columns(spark, path).select("cloud_id", cell(0).cast("long").alias("coeff_index"), cell(1).cast("double").alias("form0"), cell(2).cast("double").alias("form1"))
+    return shown(found, "cloud_id", "coeff_index", digits=7)
+
+
+def k1_modes_csv(spark, sf_dir):
+    rows, path = spectra(spark, sf_dir), new_path(spark)
+    sinks.write_modes_csv(rows.select("cloud_id", F.concat(F.lit("theta_"), F.col("mode").cast("string")).alias("name"), "mode", "lambda", F.col("y").alias("re"), (F.col("lambda") * 2).alias("im")), path)
+    cell = lambda i: F.get("cells", F.lit(i))
+    numbers = [cell(i).cast("double").alias(c) for i, c in enumerate(("lambda", "eigenvalue_real", "eigenvalue_imag"), 2)]
+    return shown(csv_columns(spark, path).select("cloud_id", cell(0).alias("name"), cell(1).cast("long").alias("mode"), *numbers), "cloud_id", "name", "mode", digits=7)
+
+
 def csv_columns(spark: SparkSession, path: str) -> DataFrame:
     """(cloud_id, nth, cells) of a writer's CSV files: lines after the header, numbered from 0."""
     lines = text.with_ids(text.numbered_lines(spark, path, parts=True), "nth")
@@ -166,5 +215,5 @@ def k5_vector_ply(spark, sf_dir):
 
 QUERIES = (
     s1_obj_vertices, s2_obj_faces, s3_points_csv, s6_numeric_csv, s7_torus, s8_sphere, k1_csv_files, k2_coloured_ply, k3_heat_obj, k3_heat_obj_faces,
-    k4_solid_ply, k5_vector_ply,
+    k4_solid_ply, k5_vector_ply, k1_spectrum_csv, k1_coefficients_csv, k1_modes_csv, s7_torus_spread, s8_sphere_spread,
 )

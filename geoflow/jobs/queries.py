@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vec
 from ..functions.tables import pin, shared_folder, table
@@ -65,7 +64,7 @@ def p9_geometric_product(spark, sf_dir):
     rows = views.multivectors(spark, sf_dir)
     p, w = vec.geometric_product(F.col("a"), F.col("b"), (3, 0, 0)), vec.geometric_product(F.col("a"), F.col("b"), (3, 0, 0), outer=True)
     rows = rows.select("l_orderkey", "l_linenumber", p.alias("p"), w.alias("w"))
-    return rows.select("l_orderkey", "l_linenumber", *[(F.round(F.get(c, F.lit(i)), 8) + 0.0).alias(f"{c}{i}") for c in ("p", "w") for i in (0, 1, 3, 6, 7)])
+    return rows.select("l_orderkey", "l_linenumber", *[(F.round(F.get(c, F.lit(i)), 8) + 0.0).alias(f"{c}{i}") for c in ("p", "w") for i in range(8)])
 
 
 def p11_multivector_sum(spark, sf_dir):
@@ -73,7 +72,7 @@ def p11_multivector_sum(spark, sf_dir):
     rows, a, b = views.multivectors(spark, sf_dir), F.col("a"), F.col("b")
     made = {"s": vec.multivector_sum(a, b), "d": vec.multivector_sum(a, b, -1.0), "t": vec.multivector_sum(a, vec.from_blade(0, F.get(a, F.lit(0))), -1.0)}
     rows = rows.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in made.items()])
-    return rows.select("l_orderkey", "l_linenumber", *[(F.round(F.get(c, F.lit(i)), 8) + 0.0).alias(f"{c}{i}") for c in made for i in (0, 1, 5, 7)])
+    return rows.select("l_orderkey", "l_linenumber", *[(F.round(F.get(c, F.lit(i)), 8) + 0.0).alias(f"{c}{i}") for c in made for i in range(8)])
 
 
 def p12_long_vectors(spark, sf_dir):
@@ -258,6 +257,28 @@ def e3_eigenvalues(spark, sf_dir):
     return shown(values.select(F.col("mode").cast("long").alias("mode"), "lambda"), "mode")
 
 
+def e5_eigenfunctions(spark, sf_dir):
+    """Two eigenfunctions as fields: their number of points, and how far mean, mean square and product are from those in the measure mu."""
+    g = graph(spark, sf_dir)
+    basis = pin(eigenbasis(spark, sf_dir, g)[0])
+    one, two = (spectral.eigenfunction(basis, i).withColumnRenamed("value", f"f{i}") for i in (1, 2))
+    rows = one.join(two, ["cloud_id", "point_id"]).join(g.nodes.select("cloud_id", "point_id", "mu"), ["cloud_id", "point_id"])
+    off = {"mean": F.sum(F.col("mu") * F.col("f1")), "square": F.sum(F.col("mu") * F.col("f2") ** 2) - 1, "product": F.sum(F.col("mu") * F.col("f1") * F.col("f2"))}
+    return shown(rows.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), *[F.abs(v).alias(k) for k, v in off.items()]), "cloud_id", "n", digits=4)
+
+
+def f14_spectrum_checks(spark, sf_dir):
+    """For the 1-forms and 2-forms of the plain basis: pairs solve their problem, have norm 1 and are not negative."""
+    found, out = pin(matrices(spark, sf_dir, graph(spark, sf_dir))), None
+    for k in (1, 2):
+        laplacian, mass = laplacian_of(found, k), found.filter(F.col("name") == f"g{k}")
+        rows = hodge.residuals(laplacian, mass, hodge.spectrum(laplacian, mass))
+        one = rows.groupBy("cloud_id").agg((F.max("residual") < 1e-6).alias("solves"), (F.max("norm_error") < 1e-8).alias("normed"), (F.min("lambda") > -1e-6).alias("positive"))
+        one = one.select("cloud_id", F.lit(k).cast("long").alias("k"), "solves", "normed", "positive")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def harmonic_coordinates(spark, sf_dir):
     """From points to angles: eigenbasis, forms, spectrum, harmonic 1-form, its field in space and circular coordinate."""
     g = graph(spark, sf_dir)
@@ -342,8 +363,7 @@ def f12_down_laplacian(spark, sf_dir):
 
 def synthetic_spectra(spark, sf_dir):
     """A spectrum for each label: points in order of their ids as modes, and a second one near it."""
-    nth = F.row_number().over(Window.partitionBy("cloud_id").orderBy("point_id")).cast("int") - 1
-    rows = views.pts_label(spark, sf_dir).select("cloud_id", nth.alias("mode"), (F.col("x") / 100).alias("lambda"), "y")
+    rows = files.spectra(spark, sf_dir)
     return rows.drop("y"), rows.select("cloud_id", "mode", (F.col("lambda") + F.col("y") / 1000).alias("lambda"))
 
 
@@ -536,7 +556,7 @@ QUERIES = (
     q1_point_agreement, q4_circular_agreement, q5_relative_error,
     p11_multivector_sum, p12_long_vectors, d2_steps, d6_matrices, e2_eigenbasis, e3_eigenvalues, harmonic_coordinates,
     f12_down_laplacian, f15_harmonic_modes, q6_spectrum_error, f22_padded, f25_ambient_dual, f26_facing_outward,
-    d3_heat_program, m8_flow_frames, torus_circles, torus_two_forms, q2_near_dependent, q3_procrustes, q7_gates,
+    d3_heat_program, m8_flow_frames, torus_circles, torus_two_forms, q2_near_dependent, q3_procrustes, q7_gates, e5_eigenfunctions, f14_spectrum_checks,
 )
 
 

