@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import dealt
+
 AXES = ("x", "y", "z")
 
 
@@ -33,7 +35,7 @@ def field_bounds(field: DataFrame, sigma_clip: float = 2.0) -> DataFrame:
 
 def coloured(points: DataFrame, field: DataFrame, sigma_clip: float = 2.0) -> DataFrame:
     """Points with value (0 where the field has none), t and colour bytes."""
-    rows = points.join(field, ["cloud_id", "point_id"], "left").join(field_bounds(field, sigma_clip), "cloud_id", "left")
+    rows = points.join(dealt(field), ["cloud_id", "point_id"], "left").join(field_bounds(field, sigma_clip), "cloud_id", "left")
     rows = rows.withColumn("value", F.coalesce("value", F.lit(0.0))).fillna(0.0, ["lo", "hi"])
     rows = rows.withColumn("t", (F.col("value") - F.col("lo")) / F.greatest(F.lit(1e-12), F.col("hi") - F.col("lo")))
     return rows.withColumns(dict(zip(("red", "green", "blue"), heat_colour(F.col("t")), strict=True))).drop("lo", "hi")

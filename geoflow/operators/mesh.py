@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vec
 from ..functions.ranking import gapless_rank
-from ..functions.tables import partitions, pin, stored
+from ..functions.tables import dealt, partitions, pin, stored
 from ..sources.sinks import write_heat_obj
 from . import blocks, fields, runs
 
@@ -23,7 +23,7 @@ def vertices_of(points: DataFrame) -> DataFrame:
 def incidence(points: DataFrame, faces: DataFrame) -> DataFrame:
     """(mesh_id, vertex_id, face_id, corner); corners that are no vertex are left out."""
     rows = faces.select("mesh_id", "face_id", F.posexplode(F.array("v0", "v1", "v2")).alias("corner", "vertex_id"))
-    return rows.join(vertices_of(points), ["mesh_id", "vertex_id"], "left_semi").select("mesh_id", "vertex_id", "face_id", "corner")
+    return rows.join(dealt(vertices_of(points)), ["mesh_id", "vertex_id"], "left_semi").select("mesh_id", "vertex_id", "face_id", "corner")
 
 
 def one_ring(points: DataFrame, faces: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def one_ring(points: DataFrame, faces: DataFrame) -> DataFrame:
     rows = faces.select("mesh_id", F.explode(F.array(*sides)).alias("s")).select("mesh_id", "s.*").filter("src <> dst").distinct()
     known = vertices_of(points)
     for end in ("src", "dst"):
-        rows = rows.join(known.withColumnRenamed("vertex_id", end), ["mesh_id", end], "left_semi")
+        rows = rows.join(dealt(known.withColumnRenamed("vertex_id", end)), ["mesh_id", end], "left_semi")
     return rows.select("mesh_id", "src", "dst")
 
 
@@ -42,7 +42,7 @@ def csr_offsets(relation: DataFrame, points: DataFrame, key: str) -> DataFrame:
     Vertices are dealt into ranges of ids whose totals are summed first, so that one huge mesh is no single task.
     """
     degree = relation.groupBy("mesh_id", F.col(key).alias("vertex_id")).agg(F.count(F.lit(1)).alias("degree"))
-    rows = vertices_of(points).join(degree, ["mesh_id", "vertex_id"], "left").fillna(0, ["degree"])
+    rows = vertices_of(points).join(dealt(degree), ["mesh_id", "vertex_id"], "left").fillna(0, ["degree"])
     rows = rows.repartitionByRange(partitions(points.sparkSession), "mesh_id", "vertex_id").withColumn("part", F.spark_partition_id())
     rows = pin(rows)
     before = Window.partitionBy("mesh_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +57,7 @@ def with_corners(points: DataFrame, faces: DataFrame) -> DataFrame:
     rows = faces.select("mesh_id", "face_id", F.posexplode(F.array("v0", "v1", "v2")).alias("corner", "point_id"))
     places = points.select(F.col("cloud_id").alias("mesh_id"), "point_id", F.struct("x", "y", "z").alias("p"))
     at = [F.max(F.when(F.col("corner") == k, F.col(c))).alias(f"{n}{k}") for k in range(3) for n, c in (("v", "point_id"), ("p", "p"))]
-    return rows.join(places, ["mesh_id", "point_id"]).groupBy("mesh_id", "face_id").agg(*at).filter("p0 is not null and p1 is not null and p2 is not null")
+    return rows.join(dealt(places), ["mesh_id", "point_id"]).groupBy("mesh_id", "face_id").agg(*at).filter("p0 is not null and p1 is not null and p2 is not null")
 
 
 def _at(k: int) -> vec.Vec:
@@ -92,14 +92,14 @@ def curvature(points: DataFrame, faces: DataFrame) -> DataFrame:
     h = F.when(length2 > 1e-12, vec.dot(way, n) / F.sqrt(length2)).otherwise(0.0)
     k = F.when(F.col("area") > 1e-12, (2 * math.pi - F.col("angles")) / F.col("area")).otherwise(0.0)
     found = sums.select("mesh_id", "point_id", h.alias("h"), k.alias("k"))
-    return vertices_of(points).toDF("mesh_id", "point_id").join(found, ["mesh_id", "point_id"], "left").fillna(0.0, ["h", "k"])
+    return vertices_of(points).toDF("mesh_id", "point_id").join(dealt(found), ["mesh_id", "point_id"], "left").fillna(0.0, ["h", "k"])
 
 
 def flow_step(points: DataFrame, ring: DataFrame, dt: float = 0.5) -> DataFrame:
     """Moves each vertex by ``dt`` of the way to the mean of its ring; those without a ring stay."""
     ends = points.select(F.col("cloud_id").alias("mesh_id"), F.col("point_id").alias("dst"), "x", "y", "z")
-    means = ring.join(ends, ["mesh_id", "dst"]).groupBy(F.col("mesh_id").alias("cloud_id"), F.col("src").alias("point_id")).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
-    rows = points.join(means, ["cloud_id", "point_id"], "left")
+    means = ring.join(dealt(ends), ["mesh_id", "dst"]).groupBy(F.col("mesh_id").alias("cloud_id"), F.col("src").alias("point_id")).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    rows = points.join(dealt(means), ["cloud_id", "point_id"], "left")
     return rows.select("cloud_id", "point_id", *[F.coalesce(F.col(c) + dt * (F.col(f"m{c}") - F.col(c)), F.col(c)).alias(c) for c in "xyz"])
 
 
@@ -107,8 +107,8 @@ def _laid_out(points: DataFrame, faces: DataFrame) -> blocks.Blocks:
     """The means over rings as an operator by blocks; a vertex without a ring is its own mean."""
     ring = stored(one_ring(points, faces).select(F.col("mesh_id").alias("cloud_id"), "src", "dst"))
     degree = ring.groupBy("cloud_id", "src").agg((1 / F.count(F.lit(1))).alias("w"))
-    alone = points.select("cloud_id", F.col("point_id").alias("src")).join(degree, ["cloud_id", "src"], "left_anti")
-    edges = ring.join(degree, ["cloud_id", "src"]).union(alone.select("cloud_id", "src", F.col("src").alias("dst"), F.lit(1.0)).toDF("cloud_id", "src", "dst", "w"))
+    alone = points.select("cloud_id", F.col("point_id").alias("src")).join(dealt(degree), ["cloud_id", "src"], "left_anti")
+    edges = ring.join(dealt(degree), ["cloud_id", "src"]).union(alone.select("cloud_id", "src", F.col("src").alias("dst"), F.lit(1.0)).toDF("cloud_id", "src", "dst", "w"))
     return blocks.layout(edges, blocks.along_curve(points))
 
 
@@ -152,7 +152,7 @@ def flow_to(folder: str, points: DataFrame, faces: DataFrame, frames: int, dt: f
         if frame:
             plan = plan or _laid_out(points, faces)
             at = stored(_places(plan, blocks.walk(plan, _begun(plan, runs.snapshot(spark, folder, frame - 1)), [_toward(dt)])))
-        bent = stored(at.join(curvature(at, faces).withColumnRenamed("mesh_id", "cloud_id"), ["cloud_id", "point_id"]))
+        bent = stored(at.join(dealt(curvature(at, faces).withColumnRenamed("mesh_id", "cloud_id")), ["cloud_id", "point_id"]))
         if export:
             coloured = fields.coloured(at, bent.select("cloud_id", "point_id", F.col("h").alias("value")))
             write_heat_obj(coloured, faces, f"{folder}/_obj/frame={frame}")

@@ -76,3 +76,14 @@ def test_gapless_rank_of_one_large_group(spark):
     rows = spark.range(1000).select(F.lit("a").alias("g"), "id")
     found = gapless_rank(rows, ["g"], [F.col("id").desc()], "n").toPandas()
     assert (found["n"] == 999 - found["id"]).all()
+
+
+def test_no_table_of_vertices_or_faces_is_broadcast(spark, tmp_path):
+    points = spark.createDataFrame([(0, i, float(i % 2), float(i // 2), 0.0) for i in range(4)], POINTS)
+    faces = spark.createDataFrame([(0, 0, 0, 1, 2), (0, 1, 0, 2, 3)], "mesh_id long, face_id long, v0 long, v1 long, v2 long")
+    points.write.parquet(f"{tmp_path}/points")
+    faces.write.parquet(f"{tmp_path}/faces")
+    points, faces = spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/faces")  # files are small enough to be broadcast
+    ring = mesh.one_ring(points, faces)
+    for made in (mesh.curvature(points, faces), mesh.incidence(points, faces), mesh.face_normals(points, faces), ring, mesh.flow_step(points, ring)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
