@@ -16,7 +16,7 @@ from ..functions.tables import stored
 #: Points of a leaf at most, queries that meet a leaf in one group, parts that a cell is split into, copies of a place in one join key.
 LEAF_POINTS, ASKING, PARTS, COPIES = 2048, 4096, 16, 65_536
 #: Distances held at a time.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Levels of splits; each leaves at most about a ``PARTS``-th of a cell's points together, or halves its box.
 DEEPEST = 400
 FOUND = "cloud_id long, src long, dst long, d2 double, want long"
@@ -73,8 +73,11 @@ def best(queries: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> Iterat
     k = min(k, len(ids))
     step = max(1, CHUNK // max(len(ids), 1))
     for i in range(0, len(queries), step):
-        d = queries[i : i + step, None, :] - at[None, :, :]
-        d2 = (d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1]) + d[:, :, 2] * d[:, :, 2]
+        d2 = 0.0
+        for axis in range(at.shape[1]):  # one axis at a time, so that little is held
+            d = queries[i : i + step, axis, None] - at[None, :, axis]
+            d *= d
+            d2 = d2 + d
         if k < len(ids):
             last = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]  # those as far as the k-th may tie: ids decide
             row, col = np.nonzero(d2 <= last)
