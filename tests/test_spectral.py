@@ -196,3 +196,22 @@ def test_writers(spark, tmp_path):
     assert got[2] == "element vertex 4000" and "element face 4000" in got and len(got) == got.index("end_header") + 1 + 8000
     (tmp_path / "whole.ply").write_text("\n".join(got))
     assert read_ply(spark, f"{tmp_path}/whole.ply").count() == 4000
+
+
+def test_neighbours_reach_python_as_flat_numbers(spark, monkeypatch):
+    points = torus(spark, 200, seed=3)
+    g = markov.build(points, knn.knn(points, 8))
+    basis = points.select("cloud_id", "point_id", F.array(F.lit(1.0), "x").alias("phi"))
+    made = forms.gamma_rows(g.markov, g.nodes, basis)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    call = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    assert "around" not in call  # an array of structs becomes an object for each edge
+    got = {r.point_id: np.array(r.g).reshape(5, 5) for r in made.collect()}
+    f = {r.point_id: np.array([r.ix, r.iy, r.iz, *r.phi]) for r in g.nodes.join(basis, ["cloud_id", "point_id"]).collect()}
+    bw = {r.point_id: r.bw for r in g.nodes.collect()}
+    want = {i: [] for i in f}
+    for r in g.markov.collect():
+        want[r.src].append((r.w, f[r.dst] - f[r.src]))
+    for i, near in want.items():
+        w, d = np.array([x for x, _ in near]), np.stack([x for _, x in near])
+        assert np.allclose(got[i], (d.T @ (d * w[:, None]) - np.outer(w @ d, w @ d)) / (2 * max(bw[i], 1e-8)), atol=1e-9)
