@@ -215,3 +215,14 @@ def test_neighbours_reach_python_as_flat_numbers(spark, monkeypatch):
     for i, near in want.items():
         w, d = np.array([x for x, _ in near]), np.stack([x for _, x in near])
         assert np.allclose(got[i], (d.T @ (d * w[:, None]) - np.outer(w @ d, w @ d)) / (2 * max(bw[i], 1e-8)), atol=1e-9)
+
+
+def test_rounds_start_from_smooth_independent_vectors(spark):
+    at = torus(spark, 500, seed=3).withColumns({f"i{c}": F.col(c) for c in "xyz"}).withColumn("row_sum", F.lit(1.0))
+    rows = spectral.begun(at, 20).orderBy("point_id").collect()
+    v = np.array([r.v for r in rows])
+    place = np.array([tuple(r) for r in at.orderBy("point_id").select("x", "y", "z").collect()])
+    d = ((place[:, None] - place[None]) ** 2).sum(axis=2) + 1e9 * np.eye(500)
+    near = d.argmin(axis=1)
+    assert np.allclose(v[:, 0], 1) and np.linalg.matrix_rank(v, tol=1e-4) == 20
+    assert all(np.corrcoef(x, x[near])[0, 1] > 0.8 for x in v.T[1:])  # white noise: about 0
