@@ -15,14 +15,18 @@ from ..sources import samples, sinks, text
 from . import views
 
 
+#: Places of faces in an OBJ file begin here, after those of all vertices.
+FACES_FROM = 1 << 62
+
+
 def new_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
 
 
-def written(lines: DataFrame, at: list[Column]) -> str:
-    """The folder to which ``line`` was written in the order ``at``."""
-    path = new_path(lines.sparkSession)
-    lines.select("line", F.struct(*at).alias("at")).repartitionByRange("at").sortWithinPartitions("at").select("line").write.text(path)
+def written(rows: DataFrame, at: str, line: Column) -> str:
+    """The folder to which ``line`` of each row was written in the order of the number ``at``. Text is made of rows in order: none is shuffled."""
+    path = new_path(rows.sparkSession)
+    rows.repartitionByRange(at).sortWithinPartitions(at).select(line.alias("line")).write.text(path)
     return path
 
 
@@ -44,24 +48,24 @@ def numbered(points: DataFrame) -> DataFrame:
 def obj_file(spark: SparkSession, sf_dir: str) -> str:
     """OBJ text of the orders' mesh with remarks, empty lines, a bad coordinate at some vertices, and bad faces."""
     points, faces = views.mesh_orders(spark, sf_dir)
-    p, f = F.col("point_id"), F.col("face_id")
+    p, f = F.col("at"), F.col("at") - FACES_FROM
     y = F.when(p % 97 == 5, F.lit("none")).otherwise(F.col("y").cast("string"))
     vertex = F.concat_ws(" ", F.lit("v"), F.col("x").cast("string"), y, F.col("z").cast("string"))
     before = F.when(p % 100 == 0, F.lit("# vertices\n\nvn 0 0 1\n")).otherwise(F.lit(""))
     corner = [(F.col(f"v{i}") + 1).cast("string") for i in range(3)]
     face = F.concat_ws(" ", F.lit("f"), *[F.concat(c, F.lit("/1/"), c) for c in corner])
     face = F.when(f % 50 == 7, F.concat_ws(" ", F.lit("f"), *corner, corner[0])).when(f % 50 == 9, F.concat_ws(" ", F.lit("f"), corner[0], F.lit("x"), corner[2])).otherwise(face)
-    lines = points.select(F.lit(0).alias("part"), p.alias("nth"), F.concat(before, vertex).alias("line")).union(faces.select(F.lit(1), f, face))
-    return written(lines, [F.col("part"), F.col("nth")])
+    rows = points.select(F.col("point_id").alias("at"), "x", "y", "z").unionByName(faces.select((F.col("face_id") + FACES_FROM).alias("at"), "v0", "v1", "v2"), allowMissingColumns=True)
+    return written(rows, "at", F.when(p < FACES_FROM, F.concat(before, vertex)).otherwise(face))
 
 
 def s1_obj_vertices(spark, sf_dir):
-    return shown(text.read_obj(spark, obj_file(spark, sf_dir), parts=True)[0].drop("file"), "point_id", digits=8)
+    return shown(text.read_obj_vertices(spark, obj_file(spark, sf_dir), parts=True).drop("file"), "point_id", digits=8)
 
 
 def s2_obj_faces(spark, sf_dir):
     """Sound faces, and bad lines under number -1."""
-    _, sound, bad = text.read_obj(spark, obj_file(spark, sf_dir), parts=True)
+    sound, bad = text.read_obj_faces(spark, obj_file(spark, sf_dir), parts=True)
     none = [F.lit(-1).cast("long").alias(f"v{i}") for i in range(3)]
     return sound.select("face_id", "v0", "v1", "v2", F.lit("").alias("line")).union(bad.select(F.lit(-1).cast("long"), *none, "line"))
 
@@ -71,7 +75,7 @@ def s3_points_csv(spark, sf_dir):
     p = F.col("point_id")
     body = F.concat_ws(",", *[F.col(c).cast("string") for c in "xyz"])
     line = F.concat(F.when(p % 10 == 0, F.lit("x,y,z\n\nno,numbers,here\n1.5,2.5\n")).otherwise(F.lit("")), F.when(p % 3 == 0, F.concat(body, F.lit(",7.0,more"))).otherwise(F.regexp_replace(body, ",", " , ")))
-    path = written(views.pts_embed(spark, sf_dir).select("point_id", line.alias("line")), [p])
+    path = written(views.pts_embed(spark, sf_dir), "point_id", line)
     return shown(text.read_points_csv(spark, path, parts=True).drop("file"), "point_id", digits=8)
 
 
@@ -169,7 +173,7 @@ def k1_modes_csv(spark, sf_dir):
 
 def csv_columns(spark: SparkSession, path: str) -> DataFrame:
     """(cloud_id, nth, cells) of a writer's CSV files: lines after the header, numbered from 0."""
-    lines = text.with_ids(text.numbered_lines(spark, path, parts=True), "nth")
+    lines = text.with_ids(text.numbered_lines(spark, path), "nth", parts=True)
     return cloud(lines.filter("nth > 0").select("file", (F.col("nth") - 1).alias("nth"), F.split("line", ",").alias("cells")))
 
 
@@ -197,7 +201,7 @@ def k3_heat_obj_faces(spark, sf_dir):
     heat = fields.coloured(points, fields.height(points))
     path = new_path(spark)
     sinks.write_heat_obj(heat, faces, path)
-    return cloud(text.read_obj(spark, path, parts=True)[1]).select("face_id", "v0", "v1", "v2")
+    return cloud(text.read_obj_faces(spark, path, parts=True)[0]).select("face_id", "v0", "v1", "v2")
 
 
 def k4_solid_ply(spark, sf_dir):
