@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..functions.tables import pin, shared_folder, table
+from ..functions.tables import pin, shared_folder, short_methods, table
 from ..operators import compare, diffusion, fields, forms, hodge, knn, markov, mesh, products, spectral
 from ..sources.samples import torus_at
 from . import files, views
@@ -61,6 +61,7 @@ def p8_vectors(spark, sf_dir):
 
 
 def p9_geometric_product(spark, sf_dir):
+    short_methods(spark)
     rows = views.multivectors(spark, sf_dir)
     p, w = vec.geometric_product(F.col("a"), F.col("b"), (3, 0, 0)), vec.geometric_product(F.col("a"), F.col("b"), (3, 0, 0), outer=True)
     rows = rows.select("l_orderkey", "l_linenumber", p.alias("p"), w.alias("w"))

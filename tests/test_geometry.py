@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 
 from geoflow.functions.ranking import gapless_rank
+from geoflow.functions.tables import short_methods
 from geoflow.functions.vec import product_signs
+from geoflow.jobs import queries
 from geoflow.operators import diffusion, fields, knn, markov, mesh
 from geoflow.sources.samples import sphere, torus
 from geoflow.sources.text import read_obj, read_points_csv
@@ -87,3 +89,16 @@ def test_no_table_of_vertices_or_faces_is_broadcast(spark, tmp_path):
     ring = mesh.one_ring(points, faces)
     for made in (mesh.curvature(points, faces), mesh.incidence(points, faces), mesh.face_normals(points, faces), ring, mesh.flow_step(points, ring)):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_run_in_methods_that_the_jvm_compiles(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(name)
+    rows = queries.queries()["p9_geometric_product"](spark, "/root/testdata/sf0.001")
+    made = rows._jdf.queryExecution().debug().codegenToSeq()
+    assert max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) > 8000  # as one method it would stay interpreted
+    assert int(spark.conf.get(name)) <= 8000
+    spark.conf.set(name, "4000")
+    short_methods(spark)
+    assert spark.conf.get(name) == "4000"
+    spark.conf.unset(name)
