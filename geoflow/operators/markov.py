@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,12 +20,24 @@ from ..functions.tables import stored
 SCALES = 2.0 ** (np.arange(80) / 4 - 10)
 
 
-class Graph(NamedTuple):
+@dataclass
+class Graph:
+    """A chain and what goes with it; ``symk`` and ``nodes`` are made, once, when they are first asked for: steps of the chain need neither."""
+
     knn: DataFrame
     markov: DataFrame
-    symk: DataFrame
-    nodes: DataFrame
     params: DataFrame
+    points: DataFrame
+    times: DataFrame
+
+    @cached_property
+    def symk(self) -> DataFrame:
+        return stored(symmetric(self.markov))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        found = measure(self.symk).join(self.times, ["cloud_id", "point_id"])
+        return stored(found.join(immersion(self.markov, self.points), ["cloud_id", "point_id"]))
 
 
 def local_bandwidth(knn: DataFrame, knn_bw: int = 8) -> DataFrame:
@@ -146,9 +159,7 @@ def build(points: DataFrame, knn: DataFrame, knn_bw: int = 8, beta: float = -0.5
     in_b = stored(scaled(knn, bw_b).select("cloud_id", "src", "rank", "dst", "dist", "v"))
     par_b = stored(tune_kernel(in_b))
     markov = stored(transition(in_b, density_b(in_b, bw_b, par_b), par_b, beta, c))
-    symk = stored(symmetric(markov))
     time = (F.greatest("eps", F.lit(1e-12)) * F.col("bw") * F.col("bw") / 4).alias("bw")
-    nodes = measure(symk).join(bw_b.join(par_b, "cloud_id").select("cloud_id", "point_id", time), ["cloud_id", "point_id"])
-    nodes = nodes.join(immersion(markov, points), ["cloud_id", "point_id"])
+    times = bw_b.join(par_b, "cloud_id").select("cloud_id", "point_id", time)
     params = par_a.toDF("cloud_id", "eps_a", "dim_a").join(par_b.toDF("cloud_id", "eps_b", "dim_b"), "cloud_id").withColumn("alpha", alpha(F.col("dim_b"), beta, c))
-    return Graph(knn, markov, symk, stored(nodes), params)
+    return Graph(knn, markov, params, points, times)

@@ -102,3 +102,13 @@ def test_products_run_in_methods_that_the_jvm_compiles(spark):
     short_methods(spark)
     assert spark.conf.get(name) == "4000"
     spark.conf.unset(name)
+
+
+def test_steps_of_a_chain_make_no_symmetric_kernel(spark, monkeypatch):
+    made = []
+    for name in ("symmetric", "measure", "immersion"):
+        monkeypatch.setattr(markov, name, lambda *a, f=getattr(markov, name), n=name: made.append(n) or f(*a))
+    points = torus(spark, 60, seed=3)
+    graph = markov.build(points, knn.knn(points, 8))
+    assert diffusion.step(graph.markov, fields.height(points)).count() == 60 and not made
+    assert graph.nodes.count() == 60 and graph.nodes is graph.nodes and sorted(made) == ["immersion", "measure", "symmetric"]
