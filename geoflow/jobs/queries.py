@@ -109,7 +109,7 @@ def m2_one_ring(spark, sf_dir):
 
 def m3_csr_offsets(spark, sf_dir):
     points, faces = views.mesh_orders(spark, sf_dir)
-    return mesh.csr_offsets(mesh.incidence(points, faces), points, "vertex_id").select("vertex_id", "degree", "first")
+    return mesh.csr_offsets(mesh.corners(faces), points, "vertex_id").select("vertex_id", "degree", "first")
 
 
 def m4_face_normals(spark, sf_dir):

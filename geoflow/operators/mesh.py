@@ -15,6 +15,9 @@ from ..functions.tables import dealt, partitions, pin, stored
 from ..sources.sinks import write_heat_obj
 from . import blocks, fields, runs
 
+#: Vertices of one range of ids.
+RANGE_VERTICES = 250_000
+
 
 def vertices_of(points: DataFrame) -> DataFrame:
     return points.select(F.col("cloud_id").alias("mesh_id"), F.col("point_id").alias("vertex_id"))
@@ -22,8 +25,12 @@ def vertices_of(points: DataFrame) -> DataFrame:
 
 def incidence(points: DataFrame, faces: DataFrame) -> DataFrame:
     """(mesh_id, vertex_id, face_id, corner); corners that are no vertex are left out."""
-    rows = faces.select("mesh_id", "face_id", F.posexplode(F.array("v0", "v1", "v2")).alias("corner", "vertex_id"))
-    return rows.join(dealt(vertices_of(points)), ["mesh_id", "vertex_id"], "left_semi").select("mesh_id", "vertex_id", "face_id", "corner")
+    return corners(faces).join(dealt(vertices_of(points)), ["mesh_id", "vertex_id"], "left_semi").select("mesh_id", "vertex_id", "face_id", "corner")
+
+
+def corners(faces: DataFrame) -> DataFrame:
+    """(mesh_id, vertex_id, face_id, corner) of all faces, whether the corner is a vertex or not."""
+    return faces.select("mesh_id", "face_id", F.posexplode(F.array("v0", "v1", "v2")).alias("corner", "vertex_id")).select("mesh_id", "vertex_id", "face_id", "corner")
 
 
 def one_ring(points: DataFrame, faces: DataFrame) -> DataFrame:
@@ -37,19 +44,23 @@ def one_ring(points: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def csr_offsets(relation: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """(mesh_id, vertex_id, degree, first): entries of each vertex, and of all vertices before it.
+    """(mesh_id, vertex_id, degree, first): entries of each vertex, and of all vertices before it; entries of no vertex are left out.
 
-    Vertices are dealt into ranges of ids whose totals are summed first, so that one huge mesh is no single task.
+    Vertices are counted by one aggregation and dealt into ranges of ids whose totals are summed first, so that one huge mesh is no single task.
+    There are as many ranges as keep ``RANGE_VERTICES`` in each: Spark sizes tasks by packed bytes, and ids in order take next to none.
     """
-    degree = relation.groupBy("mesh_id", F.col(key).alias("vertex_id")).agg(F.count(F.lit(1)).alias("degree"))
-    rows = vertices_of(points).join(dealt(degree), ["mesh_id", "vertex_id"], "left").fillna(0, ["degree"])
-    rows = rows.repartitionByRange(partitions(points.sparkSession), "mesh_id", "vertex_id").withColumn("part", F.spark_partition_id())
-    rows = pin(rows)
+    known = vertices_of(points)
+    ranges = max(partitions(points.sparkSession), math.ceil(known.count() / RANGE_VERTICES))
+    one = lambda rows, **n: rows.select("mesh_id", "vertex_id", *[F.lit(v).cast("long").alias(c) for c, v in n.items()])
+    rows = one(known, vertex=1, entry=0).union(one(relation.select("mesh_id", F.col(key).alias("vertex_id")), vertex=0, entry=1))
+    rows = rows.groupBy("mesh_id", "vertex_id").agg(F.sum("vertex").alias("n"), F.sum("entry").alias("entries")).filter("n > 0")
+    rows = rows.select("mesh_id", "vertex_id", (F.col("n") * F.col("entries")).alias("degree"))  # as a join of both would count
+    rows = pin(rows.repartitionByRange(ranges, "mesh_id", "vertex_id").withColumn("part", F.spark_partition_id()))
     before = Window.partitionBy("mesh_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("mesh_id", "part").agg(F.sum("degree").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     here = Window.partitionBy("mesh_id", "part").orderBy("vertex_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(totals, ["mesh_id", "part"]).withColumn("first", F.col("earlier") + F.coalesce(F.sum("degree").over(here), F.lit(0)))
-    return rows.select("mesh_id", "vertex_id", "degree", "first")
+    rows = rows.repartition(ranges, "mesh_id", "part").withColumn("inside", F.coalesce(F.sum("degree").over(here), F.lit(0)))
+    return rows.join(totals, ["mesh_id", "part"]).select("mesh_id", "vertex_id", "degree", (F.col("earlier") + F.col("inside")).alias("first"))
 
 
 def with_corners(points: DataFrame, faces: DataFrame) -> DataFrame:

@@ -112,3 +112,16 @@ def test_steps_of_a_chain_make_no_symmetric_kernel(spark, monkeypatch):
     graph = markov.build(points, knn.knn(points, 8))
     assert diffusion.step(graph.markov, fields.height(points)).count() == 60 and not made
     assert graph.nodes.count() == 60 and graph.nodes is graph.nodes and sorted(made) == ["immersion", "measure", "symmetric"]
+
+
+def test_offsets_in_ranges_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(mesh, "RANGE_VERTICES", 50)
+    points = spark.range(500).select(F.lit(0).cast("long").alias("cloud_id"), (2 * F.col("id")).alias("point_id"))
+    faces = spark.range(900).select(F.lit(0).cast("long").alias("mesh_id"), F.col("id").alias("face_id"), F.col("id").alias("v0"), (F.col("id") + 1).alias("v1"), F.lit(7).cast("long").alias("v2"))
+    for relation in (mesh.corners(faces), mesh.incidence(points, faces)):
+        found = mesh.csr_offsets(relation, points, "vertex_id")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ", 10), REPARTITION_BY_NUM" in plan
+        rows = sorted(tuple(r) for r in found.select("vertex_id", "degree", "first").collect())
+        degree = [(1 if v == 0 or v == 900 else 2) if v <= 900 else 0 for v in range(0, 1000, 2)]
+        assert rows == [(2 * i, d, sum(degree[:i])) for i, d in enumerate(degree)]
