@@ -226,3 +226,31 @@ def test_rounds_start_from_smooth_independent_vectors(spark):
     near = d.argmin(axis=1)
     assert np.allclose(v[:, 0], 1) and np.linalg.matrix_rank(v, tol=1e-4) == 20
     assert all(np.corrcoef(x, x[near])[0, 1] > 0.8 for x in v.T[1:])  # white noise: about 0
+
+
+def test_one_round_from_combined_waves_is_nearer_than_from_waves(spark):
+    points = torus(spark, 1500, small=0.8, seed=3)
+    g = markov.build(points, knn.knn(points, 16))
+    width = 24
+    plan = spectral.packed.layout(spectral.normalized(g.symk, g.nodes), spectral.packed.along_curve(g.nodes, ("ix", "iy", "iz")), 512)
+    places = spectral.packed.start(plan, spectral.placed(g.nodes))
+    states = [spectral.packed.start(plan, spectral.begun(g.nodes, width)), spectral.combined(places, spectral.ritz_of_waves(plan, places, width), width)]
+    plain, led = (spectral.krylov_round(plan, s, width, 16, 4)[1].first().residual for s in states)
+    assert led < plain / 2 and led < 1e-2
+
+
+def test_cycles_of_mixed_forms_and_slow_turns():
+    """Functions cos u, sin u, cos v, sin v; the forms of both angles mixed, and a little of u's turn in what is left of it in v's form."""
+    turn = lambda at, by: sum(by * s * np.outer(np.eye(4)[i], np.eye(4)[j]) for i, j, s in ((at, at + 1, 1), (at + 1, at, -1)))
+    flows = np.stack([turn(0, 0.41), turn(2, 1.03) + turn(0, 0.02)])
+    e, g = np.diag([0.27, 0.27, 1.13, 1.13]), np.eye(4)
+    values = np.linalg.eigvals(flows[1] - e)
+    first = min((x for x in values if x.imag > 1e-6), key=abs)
+    assert first.imag == pytest.approx(0.02)  # the one that circular_mode takes for v's form goes round u
+    for by in (0.0, 0.3, 0.8, 1.5):
+        c, s = np.cos(by), np.sin(by)
+        found = products.turned_to_cycles(np.einsum("ij,jkl->ikl", np.array([[c, s], [-s, c]]), flows), e, g)
+        assert len(found) == 2 and abs(found[0][0] @ found[1][0]) < 1e-6
+        for (_, value, z), at, most in zip(found, (0, 2), (0.41, 1.03), strict=True):
+            assert abs(value.imag - most) < 0.01 and np.linalg.norm(z[at : at + 2]) > 0.999 * np.linalg.norm(z)
+    assert products.turned_to_cycles(np.zeros((2, 4, 4)), e, g) == []
