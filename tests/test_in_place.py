@@ -16,11 +16,11 @@ def test_rounds_in_place_equal_rounds_of_one_plan_and_leave_little(spark, monkey
     plan = spectral.packed.layout(spectral.normalized(g.symk, g.nodes), spectral.packed.along_curve(g.nodes, ("ix", "iy", "iz")), 64)
     state = spectral.packed.start(plan, spectral.begun(g.nodes, 6))
     folder = tables.shared_folder(spark)
-    one, found = spectral.krylov_round(plan, state, 6, 4, 3)
+    one, found = spectral.krylov_round(plan, state, 6, 4, 5)
     monkeypatch.setattr(spectral, "AT_ONCE", 0)
     before = set(os.listdir(folder.removeprefix("file:")))
     with tables.scratch(spark) as kept:
-        two, again = spectral.krylov_round(plan, state, 6, 4, 3)
+        two, again = spectral.krylov_round(plan, state, 6, 4, 5)
         kept += [two, again]
     assert len(set(os.listdir(folder.removeprefix("file:"))) - before) == 2  # the state and the values
     assert np.isclose(found.first().residual, again.first().residual, rtol=1e-6)
